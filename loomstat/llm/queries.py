@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, tokens
+from . import licences, mixing, pieces, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_kd_shards": sharding.op3,
+        "op6_sentencepiece": pieces.op6,
         "op7_source_mix": mixing.op7,
         "op8_licence_scan": licences.op8,
         "op10_token_counts": tokens.op10,
