@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, pieces, quality, sharding, tokens, toxicity
+from . import licences, mixing, neardups, pieces, quality, sharding, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pu_quality": quality.op2,
         "op3_kd_shards": sharding.op3,
+        "op4_minhash_neardups": neardups.op4,
         "op5_toxic_segments": toxicity.op5,
         "op6_sentencepiece": pieces.op6,
         "op7_source_mix": mixing.op7,
