@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, neardups, pieces, quality, sharding, tokens, toxicity
+from . import licences, mixing, neardups, pieces, quality, search, sharding, tokens, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_cover_tree_topk": search.op1,
         "op2_pu_quality": quality.op2,
         "op3_kd_shards": sharding.op3,
         "op4_minhash_neardups": neardups.op4,
@@ -18,9 +19,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentencepiece": pieces.op6,
         "op7_source_mix": mixing.op7,
         "op8_licence_scan": licences.op8,
+        "op9_itq_neardups": vectors.op9,
         "op10_token_counts": tokens.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mix": mixing.SQL, "op8_licence_scan": licences.sql()}
+    return {
+        "op1_cover_tree_topk": search.SQL_TOP,
+        "op7_source_mix": mixing.SQL,
+        "op8_licence_scan": licences.sql(),
+        "op9_itq_neardups": vectors.SQL_NEAR,
+    }
