@@ -174,8 +174,9 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, sam
         i, j = np.nonzero(best.score > -np.inf)
         return pd.DataFrame({"query_id": best.q_ids[i], "vec_id": best.id[i, j], "score": best.score[i, j].astype(np.int64)})
 
-    left = q_rows.join(pairs, q_rows["block"] == pairs["qb"]).select("qb", "db", "vec_id", "v", "floor").groupBy("qb", "db")
-    right = d_rows.join(pairs, d_rows["block"] == pairs["db"]).select("qb", "db", "vec_id", "v").groupBy("qb", "db")
+    met = F.concat_ws("/", "qb", "db")
+    left = q_rows.withColumnRenamed("block", "qb").join(pairs, "qb").select(met.alias("met_q"), "vec_id", "v", "floor").groupBy("met_q")
+    right = d_rows.withColumnRenamed("block", "db").join(pairs, "db").select(met.alias("met_x"), "vec_id", "v").groupBy("met_x")
     found = left.cogroup(right).applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
