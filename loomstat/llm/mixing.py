@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Rows of a mix that are broadcast at most to meet their texts; beyond, texts are shuffled once.
+BROADCAST_ROWS = 2_000_000
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
@@ -98,6 +102,9 @@ def mixed_documents(docs: DataFrame, weights: Callable[[DataFrame], DataFrame],
         .agg(F.max("copies").alias("_copies"), F.max("part").alias("_part"))
         .where("_copies + _part > 0")
     )
+    plan = common.written(plan, "mix-plan")
+    if plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
     keyed = docs.withColumn("_key", common.unit_hash(F.lit(seed), F.col("doc_id").cast("string"), "text"))
     met = keyed.join(
         plan.withColumnRenamed("doc_id", "_id"), (keyed["_key"] == plan["_key"]) & keyed["doc_id"].eqNullSafe(F.col("_id"))

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import licences, mixing, neardups, pieces, quality, search, sharding, tokens, toxicity, vectors
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cover_tree_topk": search.op1,
@@ -21,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licence_scan": licences.op8,
         "op9_itq_neardups": vectors.op9,
         "op10_token_counts": tokens.op10,
+        "pipeline": pipeline,
     }
 
 
