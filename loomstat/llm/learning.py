@@ -14,6 +14,16 @@ def training_ids(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return common.one_label(labels, column).where(~common.held_out(F.col("doc_id")))
 
 
+#: Labels that are broadcast at most; more meet their documents by a shuffle.
+BROADCAST_LABELS = 4_000_000
+
+
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The documents of ``known`` with their label."""
+    few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
+
+
 def smallest(df: DataFrame, n: int) -> DataFrame:
     """At most ``n`` rows, those with the smallest hash of doc_id: the same ones in every run."""
     return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
