@@ -9,8 +9,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def _erfc(x):
+    return np.frompyfunc(math.erfc, 1, 1)(x)
+
+
+def _lgamma(x):
+    return np.frompyfunc(math.lgamma, 1, 1)(np.asarray(x, float))
+
+
 #: Median of the chi-square distribution with one degree of freedom.
 CHI2_MEDIAN = 0.45493642311957283
 
@@ -18,7 +26,7 @@ CHI2_MEDIAN = 0.45493642311957283
 def norm_sf(z) -> np.ndarray:
     """P(Z > z) of the standard normal."""
     z = np.asarray(z, float)
-    return np.where(np.isnan(z), np.nan, 0.5 * _erfc(np.nan_to_num(z, nan=0.0) / math.sqrt(2)).astype(float))
+    return np.where(np.isnan(z), np.nan, 0.5 * np.asarray(_erfc(np.nan_to_num(z, nan=0.0) / math.sqrt(2)), float))
 
 
 def norm_isf(p) -> np.ndarray:
@@ -53,7 +61,7 @@ def beta_tail(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             h = h * d * c
         if np.all(np.abs(d * c - 1) < 1e-15):
             break
-    lg = lambda v: _lgamma(v).astype(float)
+    lg = lambda v: np.asarray(_lgamma(v), float)
     with np.errstate(divide="ignore", invalid="ignore"):
         front = np.exp(lg(p + q) - lg(p) - lg(q) + p * np.log(y) + q * np.log1p(-y)) / p
     part = np.where(y <= 0, 0.0, front * h)
@@ -73,7 +81,7 @@ def gamma_sf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised upper incomplete gamma Q(a, x): the series below a + 1, the continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     xs = np.maximum(x, 1e-300)
-    front = np.exp(a * np.log(xs) - xs - _lgamma(a).astype(float))
+    front = np.exp(a * np.log(xs) - xs - np.asarray(_lgamma(a), float))
     term, total = 1 / a, 1 / a
     b = xs + 1 - a
     c, d = np.full(x.shape, 1e300), 1 / np.where(b == 0, 1e-300, b)

@@ -167,7 +167,7 @@ def z_scored(long: DataFrame, by: list[str], min_n: int = 30, every: bool = True
     z = F.lit(every) & F.when(F.col("kind") == "binary", flags["binary"]).when(F.col("kind") == "dosage", flags["dosage"]).otherwise(True)
     facts = kinds(long, by).where((F.col("n_obs") >= min_n) & (F.col("sd_pop") > 0)).withColumn("zscored", z)
     met = long.join(facts, by)
-    return met.withColumn("value", F.when(F.col("zscored"), (F.col("value") - F.col("predictor_mean")) / F.col("sd_pop")).otherwise(F.col("value")))
+    return met.withColumn("value", F.when(F.col("zscored"), (F.col("value") - F.col("predictor_mean")) / F.col("predictor_sd")).otherwise(F.col("value")))
 
 
 def baseline_values(df: DataFrame, id_column: str, time_column: str, columns: list[str]) -> DataFrame:
