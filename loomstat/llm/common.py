@@ -66,17 +66,19 @@ def prefix_sums(
     """
     from pyspark.sql import Window
 
-    sizes = df.groupBy(group).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("_ranges"))
-    df = df.join(sizes, group).withColumn("_range", F.floor(F.col(order) * F.col("_ranges")).cast("long"))
-    totals = df.groupBy(group, "_range").agg(F.sum(value).alias("_total"))
+    sizes = written(df.groupBy(group).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("_ranges")), "group-sizes")
+    # rows are dealt out by cell, group and range in one column, whatever the join with the sizes has done
+    cell = F.concat_ws(":", "_range", F.col(group).cast("string")).alias("_cell")
+    df = df.join(sizes, group).withColumn("_range", F.floor(F.col(order) * F.col("_ranges")).cast("long")).withColumn("_cell", cell).repartition("_cell")
+    totals = df.groupBy("_cell", group, "_range").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(group, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(group, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_cell", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_cell").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .join(starts, [group, "_range"])
+        .join(starts, "_cell")
         .withColumn(out, F.col("_start") + F.col("_within"))
-        .drop("_ranges", "_range", "_start", "_within")
+        .drop("_ranges", "_range", "_cell", "_start", "_within")
     )
 
 
