@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.least("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.least("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
