@@ -13,6 +13,7 @@ from ..functions.special import normal_p
 from ..operators import design, meta, nulls, report, scans, tails
 from ..sources import genotypes, results
 from . import trade
+from .stages import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -344,7 +345,8 @@ def slope_scan(spark, sf_dir):
 
 def mixed(spark, sf_dir):
     v = trade.visits(spark, sf_dir).join(trade.subjects(spark, sf_dir).select("IID", (F.col("acctbal") / 1000).alias("acct")), "IID").withColumn("strata", F.lit("ALL"))
-    products = nulls.subject_products(v, "price", "years", ["acct"], ["strata", "IID"]).persist()
+    products = nulls.subject_products(v, "price", "years", ["acct"], ["strata", "IID"])
+    products = written(products, "products")
     return v, products, nulls.fit_mixed(products, 3, rounds=60)
 
 
@@ -435,7 +437,7 @@ def cox_scan(spark, sf_dir):
 
 def cox_tail(spark, sf_dir):
     null, b = nulls.cox_null(survival(spark, sf_dir), "days", "event", ["acct"])
-    null = null.persist()
+    null = written(null, "null")
     lin = scans.linear_null(null.select("strata", "IID", F.col("_m").alias("m"), "acct"), "m", ["acct"])
     d = trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir))
     return scans.linear_scan(d, lin, 1, ["IID"], ["predictor"]), null.toPandas(), d

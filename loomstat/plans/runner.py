@@ -16,6 +16,7 @@ from ..functions.special import chi2_p, normal_p
 from ..operators import design, meta, nulls, report, scans, tails
 from ..sources import clinical, genotypes, results
 from ..sources.config import GENOMEWIDE, Config, Run, load
+from .stages import written
 
 log = logging.getLogger(__name__)
 REPEATED = ("slope", "gallop", "trajgwas")
@@ -64,7 +65,7 @@ class Study:
             t = t.join(F.broadcast(self.genotypes.samples.select("IID")), "IID", "left_semi")
         t = t.select("strata", "IID", clinical.ROW, *(F.col(c).cast("double").alias(c) for c in columns))
         t = design.complete(t, "IID", columns) if one_row else clinical.present(t, ["IID", *columns])
-        return design.large_enough(t, int(run.get("min_n")))
+        return written(design.large_enough(t, int(run.get("min_n"))), "frame")
 
     def conditioned(self, run: Run, frame: DataFrame) -> tuple[DataFrame, list[str]]:
         """Conditioning variants as covariates, missing dosages at the stratum's mean; unknown ids are left out."""
@@ -94,6 +95,8 @@ def identified(study: Study, run: Run, scan: DataFrame, subjects: DataFrame, val
 
 def refine(run: Run, scan: DataFrame, values: DataFrame, subjects: DataFrame, one, schema: str) -> DataFrame:
     """Tail rows of every stratum through ``one(subject table)(row, values)``; their results replace the scan's."""
+    scan = written(scan, "scan")
+    subjects = written(subjects, "subjects")
     cut = tails.tail(scan, float(run.defaults.get("spa_p_cutoff", 0.01)), float(run.defaults.get("spa_maf_cutoff", 0.05)))
     parts = []
     for r in subjects.select("strata").distinct().collect():  # one row a stratum
@@ -164,6 +167,7 @@ def cox_run(study: Study, run: Run) -> DataFrame:
     frame, snps = study.conditioned(run, study.frame(run, [t, e, *run.covariates]))
     covariates = [*run.covariates, *snps]
     null, _ = nulls.cox_null(frame, t, e, covariates)
+    null = written(null, "null")
     values = study.genotypes.values()
     lin = scans.linear_null(null.withColumnRenamed("_m", "m"), "m", covariates)
     out = scans.linear_scan(values, lin, len(covariates), ["IID"], ["variant_idx"])
@@ -203,7 +207,7 @@ def slope_run(study: Study, run: Run) -> DataFrame:
     slopes = design.subject_slopes(visits, "IID", y, t, ("strata",))
     at = F.struct(F.col(t), F.col(clinical.ROW))
     first = visits.groupBy("strata", "IID").agg(F.lit(1).alias("_one"), *(F.min_by(c, at).alias(c) for c in run.covariates)).drop("_one")
-    frame = design.large_enough(slopes.join(first, ["strata", "IID"]), int(run.get("min_n")))
+    frame = written(design.large_enough(slopes.join(first, ["strata", "IID"]), int(run.get("min_n"))), "slopes")
     values = study.genotypes.values()
     out = scans.linear_scan(values, scans.linear_null(frame, "slope", run.covariates), len(run.covariates), ["IID"], ["variant_idx"])
     n = frame.groupBy("strata").agg(F.sum("n_visits").alias("n_obs"))
@@ -213,7 +217,7 @@ def slope_run(study: Study, run: Run) -> DataFrame:
 
 def mixed_fit(study: Study, run: Run):
     visits, y, t = visits_of(study, run)
-    products = nulls.subject_products(visits, y, t, run.covariates, ["strata", "IID"])
+    products = written(nulls.subject_products(visits, y, t, run.covariates, ["strata", "IID"]), "products")
     fits = nulls.fit_mixed(products, len(run.covariates) + 2)
     null = nulls.gallop_null(products, fits, len(run.covariates) + 2)
     names = F.create_map(*(x for s, f in fits.items() for x in (F.lit(s), F.lit(run.model if f.converged else f"{run.model}_unconverged"))))
@@ -281,7 +285,7 @@ def tabular_run(study: Study, run: Run) -> DataFrame:
     predictors = [p for p in design.predictor_columns(study.table, run.get("predictors")) if p not in (y, *run.covariates)]
     iid = run.get("sample_id_col")
     t = design.stratified(design.filtered(study.table, run.spec.get("sample_filter")), run.get("strata_col"), run.strata)
-    frame = design.large_enough(design.complete(t.withColumn("IID", F.col(iid).cast("string")), "IID", [y, *run.covariates]), int(run.get("min_n")))
+    frame = written(design.large_enough(design.complete(t.withColumn("IID", F.col(iid).cast("string")), "IID", [y, *run.covariates]), int(run.get("min_n"))), "frame")
     flags = dict(every=bool(run.get("zscore_predictors")), binary=bool(run.get("zscore_binary")), dosage=bool(run.get("zscore_dosage")))
     long = design.z_scored(design.unpivoted(frame, ["strata", "IID"], predictors), ["strata", "predictor"], int(run.get("min_n")), **flags)
     facts = long.select("strata", "predictor", "zscored", "predictor_mean", F.col("predictor_sd").alias("_sd")).distinct()
@@ -331,17 +335,18 @@ def run_all(spark: SparkSession, config: Config | str, folder: str = ".", only:
     snps = [m[1] for how in entries.values() if (m := design.SNP.match(how))]
     dosages = geno.of(snps) if geno and snps else None
     table = design.all_derived(table, entries, id_column=base.get("sample_id_col"), time_column=base.get("time_col"), dosages=dosages)
-    study, out = Study(spark, table, geno), {}
+    study, out = Study(spark, written(table, "clinical"), geno), {}
     target = os.path.join(folder, base.get("output_dir"))
     os.makedirs(target, exist_ok=True)
     stamp = datetime.datetime.now().strftime("%Y%m%d_%H%M%S")
     for run in config.runs:
         if only and run.name not in only:
             continue
+        log.info("run %s", run.name)
         found = result(study, run)
         if found is None:
             continue
-        found = found.persist()
+        found = written(found, f"result-{run.name}")
         for r in report.lambda_gc(found, ["strata"]).collect():
             log.info("%s %s: %d tests, lambda %.3f", run.name, r["strata"], r["n"], r["lambda"] or float("nan"))
             results.write_csv(found.where(F.col("strata") == r["strata"]), os.path.join(target, f"{run.name}-{r['strata']}-{stamp}.csv"))
