@@ -45,7 +45,7 @@ class Shingler:
         try:
             return np.array([known[w] for w in words], np.uint64)
         except KeyError:
-            if len(known) > 400_000:
+            if len(known) > 120_000:
                 known.clear()
             for w in set(words):
                 if w not in known:

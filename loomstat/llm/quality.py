@@ -45,7 +45,7 @@ class Features:
         try:
             codes = [known[w] for w in words]
         except KeyError:
-            if len(known) > 300_000:
+            if len(known) > 120_000:
                 known.clear()
             for w in set(words):
                 if w not in known:
