@@ -234,12 +234,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     tried = common.written(possible(first.distinct().join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")), "minhash-pairs")
     links = common.written(linked(tried, sets, percent), "minhash-links")
     labels = common.written(common.components(ids, links), "minhash-components")
+    # written, so that the joins with them can split a key that many rows hold
     spanning = members.join(labels, "node").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rest = common.written(members.join(spanning.select("key"), "key").select("node").distinct(), "minhash-rest")
+    spanning = common.written(spanning.select("key"), "minhash-spanning")
+    rest = common.written(members.join(spanning, "key").select("node").distinct(), "minhash-rest")
     lists = common.written(rare_shingles(sets.join(rest, "node", "left_semi"), percent), "minhash-prefixes")
     placed = lists.join(labels, "node")
     spanning = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y")
-    parts = common.written(placed.join(spanning.select("key", "size"), "key"), "minhash-lists")
+    spanning = common.written(spanning.select("key", "size"), "minhash-spanning")
+    parts = common.written(placed.join(spanning, "key"), "minhash-lists")
     short = parts.where(F.col("size") <= SHORT_LIST)
     one, other = (short.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     new = possible(one.join(other, "key").where("a < b and ca <> cb")).join(tried, ["a", "b"], "left_anti")
