@@ -42,8 +42,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(count, "token binary, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, prior: float = 0.05, least: float = 3.0, floor: float = 1.5, most: int = 20_000) -> tuple[dict[bytes, float], float]:
-    """Tokens that are significantly more toxic than not, with their log-odds, and the mean of those over clean tokens.
+def log_odds(counts: DataFrame, prior: float = 0.05, least: float = 3.0, floor: float = 1.5, most: int = 20_000) -> tuple[dict[bytes, float], dict[bytes, int], float]:
+    """Tokens that are significantly more toxic than not, with their log-odds and their clean counts, and the mean of the log-odds over clean tokens.
 
     Both classes get an informative Dirichlet prior: pseudo-tokens as many as ``prior`` of all tokens, dealt out as in
     all labelled documents. A token stays if its log-odds are at least ``floor`` (so that what only follows a language
@@ -52,7 +52,7 @@ def log_odds(counts: DataFrame, prior: float = 0.05, least: float = 3.0, floor:
     """
     t, c = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not t or not c:
-        return {}, 0.0
+        return {}, {}, 0.0
     pseudo = prior * (t + c)
     share = F.lit(prior) * (F.col("toxic") + F.col("clean"))
     yt, yc = F.col("toxic") + share, F.col("clean") + share
@@ -66,7 +66,7 @@ def log_odds(counts: DataFrame, prior: float = 0.05, least: float = 3.0, floor:
         .collect()
     )
     mean = sum(r["delta"] * r["clean"] for r in rows) / c
-    return {bytes(r["token"]): r["delta"] for r in rows}, float(mean)
+    return {bytes(r["token"]): r["delta"] for r in rows}, {bytes(r["token"]): r["clean"] for r in rows}, float(mean)
 
 
 def segments(places: list[int], gains: list[float], drift: float) -> list[tuple[float, int, int]]:
@@ -152,12 +152,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, drift: float =
     """Counts tokens over all labelled documents that may be learned from; fits the curve on at most ``sample`` of them."""
     known = training_ids(docs, labels, "toxic")
     counts = common.written(token_counts(labelled(docs, known)), "token-counts")
-    gains, mean = log_odds(counts)
+    gains, clean, mean = log_odds(counts)
     # the mean over clean tokens must be negative for segments to stay short
     model = Model(gains, max(drift, 2 * mean))
-    some = [(bytes(r["token"]), r["clean"]) for r in counts.where(F.col("token").isin(list(gains))).collect()] if len(gains) <= 1000 else []
     total = counts.agg(F.sum("clean")).first()[0] or 0
-    model.decay, model.scale = extreme_values(gains, dict(some), total, model.drift)
+    model.decay, model.scale = extreme_values(gains, clean, total, model.drift)
     seen = evidence_rows(labelled(docs, smallest(known, sample)), model).toPandas()
     model.curve = calibration(np.log1p(seen["evidence"].to_numpy(float)), seen["label"].to_numpy(float))
     return model

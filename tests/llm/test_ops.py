@@ -325,6 +325,24 @@ def test_toxicity(spark, empty):
     assert toxicity.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_chance_with_many_toxic_words(spark):
+    """However many words are toxic, E[exp(lambda * s)] = 1 over the clean tokens that were counted."""
+    words = [f"bad{k}" for k in range(1300)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows, labels, clean = [], [], Counter()
+    for k, i in enumerate(ids):
+        toxic = k % 2
+        here = [w for j, w in enumerate(words) if toxic or (j + k // 2) % 12 == 0] + [f"plain{j}" for j in range(3000)]
+        rows.append((i, " ".join(here), None, None))
+        labels.append((i, 1, toxic))
+        clean.update([] if toxic else here)
+    model = toxicity.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(words) <= {w.decode() for w in model.gains}
+    mean = sum(n * math.exp(model.decay * model.gains.get(w.encode(), -model.drift)) for w, n in clean.items()) / clean.total()
+    assert abs(mean - 1) < 0.1
+    assert model.scale > 1e-3
+
+
 def test_segments_against_brute_force():
     """All maximal scoring segments, by their definition: split at the best segment, then left and right of it."""
     rng = random.Random(7)
