@@ -44,7 +44,7 @@ class Codes:
         _, _, axes = np.linalg.svd(centred, full_matrices=True)
         V, d = centred @ axes.T, sample.shape[1]
         turned = []
-        for _ in range(math.ceil(bits / d)):
+        for _ in range(max(1, math.ceil(bits / d))):
             R = np.linalg.qr(rng.normal(size=(d, d)))[0]
             for _ in range(rounds):
                 U, _, W = np.linalg.svd(np.where(V @ R >= 0, 1.0, -1.0).T @ V)
@@ -60,12 +60,61 @@ class Codes:
 
 def plan(n: int, threshold: float, miss: float) -> tuple[int, int]:
     """(bits of a table's key, number of tables): keys about as many as rows, tables so many that a pair at ``threshold``
-    agrees in none of them with probability ``miss`` at most."""
+    agrees in none of them with probability ``miss`` at most, if its angle is the one seen from where codes are cut."""
     b = int(np.clip(math.ceil(math.log2(max(n, 2) / 64)), 8, 16))
     same = (1 - math.acos(threshold) / math.pi) ** b
     return b, math.ceil(math.log(miss) / math.log(1 - same))
 
 
+def pairs_at(sample: np.ndarray, threshold: float, count: int, seed: int = 11) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of ``count`` pairs in all whose cosine is ``threshold``: a row of ``sample``, and that row moved away at a right angle.
+
+    Every other batch moves in any direction alike, the rest in that of another row, as data do that fill few dimensions.
+    """
+    rng = np.random.default_rng(seed)
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    for k in range(math.ceil(count / 1000)):
+        X = unit[rng.integers(len(unit), size=1000)]
+        away = rng.normal(size=X.shape)
+        if k % 2:
+            other = unit[rng.integers(len(unit), size=1000)] - X
+            other -= (other * X).sum(1, keepdims=True) * X
+            away = np.where(np.linalg.norm(other, axis=1, keepdims=True) > 1e-6, other, away)
+        away -= (away * X).sum(1, keepdims=True) * X
+        yield X, threshold * X + math.sqrt(1 - threshold**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+
+
+def missed(coder: Codes, sample: np.ndarray, b: int, m: int, threshold: float, miss: float, count: int = 20_000) -> float:
+    """The share of pairs at the threshold that agree in none of the tables, as ``pairs_at`` builds them; for a ``miss``
+    below what so many pairs show, what their mean agreement in a table gives if that is more."""
+    none, same = [0, 0], [0, 0]
+    for k, (X, Y) in enumerate(pairs_at(sample, threshold, count)):
+        agree = (coder(X).reshape(-1, m, b) == coder(Y).reshape(-1, m, b)).all(2)
+        none[k % 2] += (~agree.any(1)).sum()
+        same[k % 2] += agree.sum()
+    share = max(none) * 2 / count
+    return max(share, max((1 - x * 2 / count / m) ** m for x in same)) if miss < 20 / count else share
+
+
+def fitted(sample: np.ndarray, n: int, threshold: float, miss: float) -> tuple[Codes, int, int]:
+    """Codes, bits of a key and number of tables for ``n`` vectors like ``sample``.
+
+    Codes are cut at the middle of the data, so that buckets are even; seen from there a pair may be further apart than
+    from the origin, for which ``plan`` counts. So tables are added until the pairs of ``missed`` meet. If they would
+    cost more than comparing all with all, one table has everything in one bucket, and nothing is missed.
+    """
+    b, m = plan(n, threshold, miss)
+    coder = Codes(sample, b * m)
+    if sample.shape[1] < 2 or threshold >= 1:
+        return coder, b, m
+    while (lost := missed(coder, sample, b, m, threshold, miss)) > miss:
+        m = max(m + 1, math.ceil(m * min(4.0, 1.05 * math.log(miss) / math.log(min(lost, 0.999)))))
+        if m * (64 + n / 2**b) >= n:
+            return Codes(sample, 0), 0, 1
+        coder = Codes(sample, b * m)
+    return coder, b, m
+
+
 def bucket_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Per class and bucket: the rows it is linked with, and one class that its links reach in the bucket.
 
@@ -115,7 +164,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = 5000
     Rows are compared only within a label, and linked if the cosine of their vectors is at least ``threshold``.
     Equal vectors of a label form one class with its number of rows, so copies are never paired. Codes are fitted on
     at most ``sample`` classes, those with the smallest hash; every class is indexed. Pairs that agree in a table's
-    key are checked on the original vectors; a pair at the threshold is missed with probability ``miss``. Tasks return
+    key are checked on the original vectors; tables are added until of pairs built at the threshold around sampled rows
+    the share ``miss`` at most is missed. Tasks return
     a row for each class and bucket, not pairs: how many rows it is linked with there, and one class it is joined to.
 
     Null, zero, non-finite vectors, vectors of an unusual length and rows without a label are linked with nothing.
@@ -133,8 +183,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = 5000
     few = [r["embedding"] for r in classes.orderBy("cls").limit(sample).select("embedding").collect()]
     if not few:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    b, m = plan(n, threshold, miss)
-    coder = Codes(np.array(few, float), b * m)
+    coder, b, m = fitted(np.array(few, float), n, threshold, miss)
     powers = 1 << np.arange(b)
 
     @F.pandas_udf("array<int>")

@@ -268,6 +268,35 @@ def test_recall_of_codes():
     assert same.mean() > 0.98
 
 
+@pytest.mark.parametrize(("share", "clusters", "n"), [(0.8, 1, 5000), (0.8, 1, 3_000_000), (0.9, 1, 50_000), (0.5, 20, 100_000)])
+def test_recall_off_centre(share, clusters, n):
+    """Around strong common directions, too, pairs at the threshold meet but for the share that production allows."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(clusters, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    G = rng.normal(size=(6000, 64))
+    X = math.sqrt(share) * centres[rng.integers(clusters, size=6000)] + math.sqrt(1 - share) * G / np.linalg.norm(G, axis=1, keepdims=True)
+    codes, b, m = vectors.fitted(X[:3000], n, 0.98, 1e-3)
+    U = X[3000:] / np.linalg.norm(X[3000:], axis=1, keepdims=True)
+    N = rng.normal(size=U.shape)
+    N -= (N * U).sum(1, keepdims=True) * U
+    Y = 0.98 * U + math.sqrt(1 - 0.98**2) * N / np.linalg.norm(N, axis=1, keepdims=True)
+    same = (codes(U).reshape(-1, m, b) == codes(Y).reshape(-1, m, b)).all(2).any(1)
+    assert same.mean() > 0.995
+
+
+def test_near_vectors_off_centre(spark):
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(300, 16))
+    X = np.eye(16)[0] * math.sqrt(0.97) + X / np.linalg.norm(X, axis=1, keepdims=True) * math.sqrt(0.03)
+    X = X.astype(np.float32).astype(float)
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    links = (U @ U.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, x, 1, "x", 1) for i, x in enumerate(X.tolist())], VECTORS)
+    assert links.sum() > 100
+    assert [r["n_links"] for r in vectors.near_vectors(df).orderBy("vec_id").collect()] == links.tolist()
+
+
 def test_top_k(spark):
     good = some_vectors()
     df = spark.createDataFrame(good + [r for r in odd_vectors() if r[0] not in (9003, 9005)], VECTORS)
