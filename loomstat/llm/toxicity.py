@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -42,46 +42,34 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(count, "token binary, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, prior: float = 0.05, least: float = 3.0, floor: float = 1.5, most: int = 20_000) -> tuple[dict[bytes, float], dict[bytes, int], float]:
-    """Tokens that are significantly more toxic than not, with their log-odds and their clean counts, and the mean of the log-odds over clean tokens.
+def log_odds(counts: DataFrame, prior: float = 0.05) -> DataFrame:
+    """(token, clean, gain): every token's log-odds of being toxic, shrunk by one standard error towards zero.
 
     Both classes get an informative Dirichlet prior: pseudo-tokens as many as ``prior`` of all tokens, dealt out as in
-    all labelled documents. A token stays if its log-odds are at least ``floor`` (so that what only follows a language
-    or a subject adds nothing) and ``least`` standard errors above zero; the ``most`` most significant bound the
-    model's size, not the counts.
+    all labelled documents. Gains stand on a grid of a thousandth. Tokens whose gain is zero are left out: they score
+    as unknown ones do. No other token is, whatever its sign or frequency.
     """
     t, c = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not t or not c:
-        return {}, {}, 0.0
+        return counts.select("token", "clean", F.lit(0.0).alias("gain")).limit(0)
     pseudo = prior * (t + c)
     share = F.lit(prior) * (F.col("toxic") + F.col("clean"))
     yt, yc = F.col("toxic") + share, F.col("clean") + share
-    rows = (
-        counts.where("toxic > 0")
-        .withColumn("delta", F.log(yt / (t + pseudo - yt)) - F.log(yc / (c + pseudo - yc)))
-        .withColumn("z", F.col("delta") / F.sqrt(1 / yt + 1 / yc))
-        .where((F.col("z") >= least) & (F.col("delta") >= floor))
-        .orderBy(F.desc("z"), "token")
-        .limit(most)
-        .collect()
-    )
-    mean = sum(r["delta"] * r["clean"] for r in rows) / c
-    return {bytes(r["token"]): r["delta"] for r in rows}, {bytes(r["token"]): r["clean"] for r in rows}, float(mean)
+    delta = F.log(yt / (t + pseudo - yt)) - F.log(yc / (c + pseudo - yc))
+    gain = F.signum(delta) * F.greatest(F.abs(delta) - F.sqrt(1 / yt + 1 / yc), F.lit(0.0))
+    return counts.select("token", "clean", F.round(gain, 3).alias("gain")).where("gain <> 0")
 
 
-def segments(places: list[int], gains: list[float], drift: float) -> list[tuple[float, int, int]]:
+def merged(before: list[float], after: list[float], places: list[int]) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last place), in linear time.
 
-    Tokens at ``places`` gain ``gains``, every other token costs ``drift``. Candidates are kept on a stack with the
-    running totals before and after them; a new one is merged with those to its left that it extends to a higher
-    total, found by following each candidate's link to the nearest one that starts lower.
+    At ``places`` the running total rises from ``before`` to ``after``; in between it never does. Candidates are kept
+    on a stack with the running totals before and after them; a new one is merged with those to its left that it
+    extends to a higher total, found by following each candidate's link to the nearest one that starts lower.
     """
     stack: list[tuple[float, float, int, int, int]] = []  # total before, total after, first, last, link
-    total, at = 0.0, -1
-    for place, gain in zip(places, gains, strict=True):
-        before = total - drift * (place - at - 1)
-        total, at = before + gain, place
-        left, first = before, place
+    for left, total, place in zip(before, after, places, strict=True):
+        first = place
         while True:
             link = len(stack) - 1
             while link >= 0 and stack[link][0] >= left:
@@ -94,22 +82,37 @@ def segments(places: list[int], gains: list[float], drift: float) -> list[tuple[
     return [(b - a, i, j) for a, b, i, j, _ in stack]
 
 
+def segments(places: list[int], gains: list[float], drift: float) -> list[tuple[float, int, int]]:
+    """Maximal scoring segments of tokens at ``places`` that gain ``gains``; every other token costs ``drift``."""
+    before, after, total, at = [], [], 0.0, -1
+    for place, gain in zip(places, gains, strict=True):
+        before.append(total - drift * (place - at - 1))
+        total, at = before[-1] + gain, place
+        after.append(total)
+    return merged(before, after, places)
+
+
 @dataclass
 class Model:
+    #: What each known token adds: its log-odds less the drift. Too many for one task: a table (token, net) instead.
     gains: dict[bytes, float] = field(default_factory=dict)
+    table: DataFrame | None = None
     drift: float = 1.0
     decay: float = 1.0  # lambda of the extreme-value law
     scale: float = 0.1  # K of the extreme-value law
     level: float = 0.01  # expected chance segments per text below which a passage is significant
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def passages(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
+    def passages(self, text: str, gains: dict[bytes, float] | None = None) -> tuple[int, list[tuple[float, int, int]]]:
+        """The number of tokens and the segments; unknown tokens cost the drift, as if their log-odds were zero."""
         words = tokens(text)
-        gains = self.gains
-        if gains.keys().isdisjoint(words):
+        get, cost = (self.gains if gains is None else gains).get, -self.drift
+        net = np.fromiter((get(w, cost) for w in words), float, len(words))
+        up = np.flatnonzero(net > 0)
+        if not len(up):
             return len(words), []
-        hits = [(k, g) for k, w in enumerate(words) if (g := gains.get(w)) is not None]
-        return len(words), segments([k for k, _ in hits], [g for _, g in hits], self.drift)
+        total = np.cumsum(net)
+        return len(words), merged((total[up] - net[up]).tolist(), total[up].tolist(), up.tolist())
 
     def expected(self, score: float, n: int) -> float:
         """How many segments of at least this score chance puts into a clean text of ``n`` tokens."""
@@ -127,17 +130,16 @@ class Model:
         return logistic(np.log1p(evidence) * self.curve[0] + self.curve[1])
 
 
-def extreme_values(gains: dict[bytes, float], clean: dict[bytes, int], total: int, drift: float) -> tuple[float, float]:
-    """(lambda, K): lambda > 0 solves E[exp(lambda * s)] = 1 over clean tokens; K = drift lambda-tilt bound, at most 1.
+def extreme_values(gains: np.ndarray, clean: np.ndarray, total: int, drift: float) -> tuple[float, float]:
+    """(lambda, K): lambda > 0 solves E[exp(lambda * s)] = 1 over clean tokens; K is the rate at which clean tokens open
+    a segment, in units of exp(-lambda * s), at most 1.
 
-    For scores this sparse, segments of chance are single tokens nearly always: K is the rate at which clean tokens
-    open a segment, in units of exp(-lambda * s).
+    ``clean`` of all ``total`` clean tokens have the log-odds ``gains``, the others zero; each gain counts half a token more.
     """
-    if not gains:
+    if not len(gains):
         return 1.0, 0.1
-    s = np.array(list(gains.values()))
-    p = np.array([(clean.get(w, 0) + 0.5) / (total + 1) for w in gains])
-    rest = max(1 - p.sum(), 0.0)
+    p = (clean + 0.5) / (total + 0.5 * len(gains))
+    rest, s = max(1 - p.sum(), 0.0), gains - drift
     excess = lambda x: (p * np.exp(x * s)).sum() + rest * np.exp(-x * drift) - 1
     low, high = 1e-3, 1.0
     while excess(high) < 0 and high < 50:
@@ -145,29 +147,74 @@ def extreme_values(gains: dict[bytes, float], clean: dict[bytes, int], total: in
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    return low, float(min(1.0, max(1e-4, (p * np.exp(low * s)).sum())))
+    return low, float(min(1.0, max(1e-4, (p * np.exp(low * s))[s > 0].sum())))
+
+
+#: Scored tokens that every task holds at most; of more, those of a document are joined to it.
+BROADCAST_TOKENS = 200_000
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, drift: float = 0.5) -> Model:
-    """Counts tokens over all labelled documents that may be learned from; fits the curve on at most ``sample`` of them."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, drift: float = 0.5, most: int = BROADCAST_TOKENS) -> Model:
+    """Counts tokens over all labelled documents that may be learned from; fits the curve on at most ``sample`` of them.
+
+    ``most`` decides how texts meet the scored tokens, not which tokens are scored.
+    """
     known = training_ids(docs, labels, "toxic")
     counts = common.written(token_counts(labelled(docs, known)), "token-counts")
-    gains, clean, mean = log_odds(counts)
-    # the mean over clean tokens must be negative for segments to stay short
-    model = Model(gains, max(drift, 2 * mean))
+    scores = common.written(log_odds(counts), "token-scores")
+    law = scores.groupBy("gain").agg(F.sum("clean").alias("clean"), F.count(F.lit(1)).alias("n")).toPandas()  # a row for each thousandth
+    gains, clean = law["gain"].to_numpy(float), law["clean"].to_numpy(float)
     total = counts.agg(F.sum("clean")).first()[0] or 0
+    # the mean over clean tokens must be negative for segments to stay short
+    model = Model(drift=max(drift, 2 * float(gains @ clean) / max(total, 1)))
+    net = scores.select("token", (F.col("gain") - model.drift).alias("net"))
+    if law["n"].sum() <= most:
+        rows = net.toPandas()  # at most ``most``
+        model.gains = dict(zip(map(bytes, rows["token"]), rows["net"].tolist(), strict=True))
+    else:
+        model.table = net
     model.decay, model.scale = extreme_values(gains, clean, total, model.drift)
     seen = evidence_rows(labelled(docs, smallest(known, sample)), model).toPandas()
     model.curve = calibration(np.log1p(seen["evidence"].to_numpy(float)), seen["label"].to_numpy(float))
     return model
 
 
+def with_gains(docs: DataFrame, model: Model) -> tuple[DataFrame, Model]:
+    """Adds ``_words`` and ``_nets``, what the model knows of a text's tokens, null where every task holds the whole model;
+    and the model without its table, for tasks.
+
+    Each different text meets the table by its distinct tokens, so copies are joined once.
+    """
+    alone = replace(model, table=None)
+    if model.table is None:
+        return docs.withColumns({"_words": F.lit(None).cast("array<binary>"), "_nets": F.lit(None).cast("array<double>")}), alone
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = [(key, w) for key, text in zip(pdf["_key"], pdf["text"], strict=True) for w in set(tokens(text))]
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["_key", "token"])
+
+    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = keyed.select("_key", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["_key"])
+    met = texts.mapInPandas(split, "_key string, token binary").join(model.table, "token")
+    one = met.groupBy("_key").agg(F.collect_list(F.struct("token", "net")).alias("_met"))  # a text's own tokens
+    one = common.written(one.select("_key", F.col("_met.token").alias("_words"), F.col("_met.net").alias("_nets")), "text-tokens")
+    return keyed.join(one, "_key", "left").drop("_key").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("_words", "array<binary>"), ("_nets", "array<double>"))}), alone
+
+
+def found_in(model: Model, texts: pd.Series, words: pd.Series, nets: pd.Series) -> list[tuple[int, list[tuple[float, int, int]]]]:
+    return [model.passages(t, None if w is None else dict(zip(map(bytes, w), n, strict=True))) for t, w, n in zip(texts, words, nets, strict=True)]
+
+
 def evidence_rows(rows: DataFrame, model: Model) -> DataFrame:
+    rows, alone = with_gains(rows, model)
+
     @F.pandas_udf("double")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.evidence(*model.passages(t)) for t in texts], dtype="float64")
+    def evidence(texts: pd.Series, words: pd.Series, nets: pd.Series) -> pd.Series:
+        return pd.Series([alone.evidence(*x) for x in found_in(alone, texts, words, nets)], dtype="float64")
 
-    return rows.select("label", evidence(F.coalesce("text", F.lit(""))).alias("evidence"))
+    return rows.select("label", evidence(F.coalesce("text", F.lit("")), "_words", "_nets").alias("evidence"))
 
 
 SCORED = "score double, passages array<struct<score:double,expected:double,first:int,last:int>>"
@@ -176,13 +223,16 @@ SCORED = "score double, passages array<struct<score:double,expected:double,first
 def scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """Adds ``score``, ``predicted`` and ``passages``: every significant toxic passage, as first and last token.
 
-    Each row's whole text is scanned once; nothing is shuffled.
+    Each row's whole text is scanned once; nothing is shuffled if tasks hold all scored tokens.
     """
+    columns = docs.columns
+    docs, alone = with_gains(docs, model)
+
     @F.pandas_udf(SCORED)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = model
-        for texts in batches:
-            found = [m.passages(t) for t in texts]
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        m = alone
+        for batch in batches:
+            found = found_in(m, *batch)
             yield pd.DataFrame(
                 {
                     "score": m.score(np.array([m.evidence(n, x) for n, x in found], float)),
@@ -190,15 +240,15 @@ def scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
                 }
             )
 
-    return docs.withColumn("_x", score(F.coalesce("text", F.lit("")))).select(
-        *docs.columns, "_x.score", (F.col("_x.score") >= threshold).cast("int").alias("predicted"), "_x.passages"
+    return docs.withColumn("_x", score(F.coalesce("text", F.lit("")), "_words", "_nets")).select(
+        *columns, "_x.score", (F.col("_x.score") >= threshold).cast("int").alias("predicted"), "_x.passages"
     )
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, passages for every row of ``docs`` (doc_id, text).
 
-    A text without toxic tokens, null and empty ones too, has the curve's lowest score. Null ids are scored but never
+    A text without passages, null and empty ones too, has the curve's lowest score. Null ids are scored but never
     learned from; of repeated labels the largest counts. Repeated rows stay.
     """
     out = scored(docs.select("doc_id", "text"), train(docs, labels, sample), threshold)

@@ -372,6 +372,20 @@ def test_chance_with_many_toxic_words(spark):
     assert model.scale > 1e-3
 
 
+def test_every_word_scores(spark):
+    """Words in few toxic documents count, clean ones count against, and how texts meet the words changes nothing."""
+    docs, labels = labelled(spark)
+    ids = [i for i in range(5000, 5200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"alpha beta gamma {'rareslur' if k < 3 else 'kind'} delta", None, None) for k, i in enumerate(ids)]
+    docs = docs.union(table(spark, rows))
+    labels = labels.union(spark.createDataFrame([(i, 1, int(k < 3)) for k, i in enumerate(ids)], labels.schema))
+    model, joined = toxicity.train(docs, labels), toxicity.train(docs, labels, most=0)
+    assert model.gains[b"rareslur"] > 0 > -model.drift > model.gains[b"kind"]
+    assert joined.table is not None and not joined.gains and np.allclose(joined.curve, model.curve)
+    a, b = (sorted(map(str, toxicity.scored(docs.select("doc_id", "text"), m, 0.7).collect())) for m in (model, joined))
+    assert a == b
+
+
 def test_segments_against_brute_force():
     """All maximal scoring segments, by their definition: split at the best segment, then left and right of it."""
     rng = random.Random(7)
