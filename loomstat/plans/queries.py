@@ -347,7 +347,7 @@ def mixed(spark, sf_dir):
     v = trade.visits(spark, sf_dir).join(trade.subjects(spark, sf_dir).select("IID", (F.col("acctbal") / 1000).alias("acct")), "IID").withColumn("strata", F.lit("ALL"))
     products = nulls.subject_products(v, "price", "years", ["acct"], ["strata", "IID"])
     products = written(products, "products")
-    return v, products, nulls.fit_mixed(products, 3, rounds=60)
+    return v, products, nulls.fit_mixed(products, 3)
 
 
 @query()
@@ -361,7 +361,8 @@ def lmm_components(spark, sf_dir):
 def gallop_scan(spark, sf_dir):
     _, products, fits = mixed(spark, sf_dir)
     null = nulls.gallop_null(products, fits, 3)
-    return scans.gallop_scan(trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir)), null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["predictor"])
+    out = scans.gallop_scan(trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir)), null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["predictor"])
+    return out.withColumn("converged", F.lit(fits["ALL"].converged))  # one stratum
 
 
 def dispersion(v: DataFrame, residual: F.Column, t: str) -> DataFrame:
@@ -399,7 +400,7 @@ def trajgwas_scan(spark, sf_dir):
     tau = tau.select("strata", "predictor", F.col("beta").alias("tau_var"), F.col("SE").alias("SE_var"), F.col("t").alias("_t"), normal_p(F.col("t")).alias("P_var"))
     out = mean.join(tau, ["strata", "predictor"]).withColumn("_z", F.col("beta_SNP") / F.col("SE_SNP"))
     out = out.withColumn("P_joint", chi2_p(F.col("_z") * F.col("_z") + F.col("_t") * F.col("_t"), F.lit(2.0)))
-    return out.select("predictor", "N", F.col("beta_SNP").alias("beta_mean"), F.col("SE_SNP").alias("SE_mean"), F.col("P_SNP").alias("P_mean"), "tau_var", "SE_var", "P_var", "P_joint")
+    return out.select("predictor", "N", F.col("beta_SNP").alias("beta_mean"), F.col("SE_SNP").alias("SE_mean"), F.col("P_SNP").alias("P_mean"), "tau_var", "SE_var", "P_var", "P_joint", F.lit(fits["ALL"].converged).alias("converged"))
 
 
 # ---- survival

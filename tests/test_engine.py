@@ -298,3 +298,17 @@ def test_clinical_types(spark, tmp_path):
 
 def test_every_query_is_named_after_its_operator():
     assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) >= 45
+
+
+@pytest.mark.parametrize("name", ["gallop_scan", "trajgwas_scan"])
+def test_mixed_queries_use_all_rounds_and_say_if_unconverged(spark, monkeypatch, name):
+    fit, asked = nulls.fit_mixed, []
+
+    def short(products, p, **more):
+        asked.append(more)
+        return fit(products, p, rounds=1)
+
+    monkeypatch.setattr(nulls, "fit_mixed", short)
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [{}]
+    assert out.select("converged").distinct().collect() == [(False,)]
