@@ -297,20 +297,62 @@ def test_near_vectors_off_centre(spark):
     assert [r["n_links"] for r in vectors.near_vectors(df).orderBy("vec_id").collect()] == links.tolist()
 
 
+def best_scores(rows, k=20):
+    """By brute force: of every query id the best scores of all its rows with all rows of other ids."""
+    want = defaultdict(list)
+    whole = [(i, np.array([math.floor(64 * float(x)) for x in v])) for i, v, *_ in rows]
+    for q, a in whole:
+        if q % 20 == 0:
+            want[q] += [(-int(a @ b), i) for i, b in whole if i != q]
+    return {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(x)[:k])] for q, x in want.items()}
+
+
+def found_scores(df, **options):
+    got = defaultdict(list)
+    for r in search.top_k(df, **options).orderBy("query_id", "rank", "vec_id").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    return got
+
+
 def test_top_k(spark):
     good = some_vectors()
     df = spark.createDataFrame(good + [r for r in odd_vectors() if r[0] not in (9003, 9005)], VECTORS)
-    V = np.array([[math.floor(64 * float(x)) for x in v] for _, v, *_ in good])
-    got = defaultdict(list)
-    for r in search.top_k(df, sample=64).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 400, 20))
-    for q, rows in got.items():
-        best = sorted((-int(s), i) for i, s in enumerate(V @ V[q]) if i != q)[:20]
-        assert rows == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert found_scores(df, sample=64) == best_scores(good)
     assert search.top_k(spark.createDataFrame([], VECTORS)).count() == 0
-    few = search.top_k(spark.createDataFrame(good[:3], VECTORS)).collect()
-    assert len(few) == 2 and {r["query_id"] for r in few} == {0}
+    assert search.top_k(spark.createDataFrame(good[1:3], VECTORS)).count() == 0
+    assert found_scores(spark.createDataFrame(good[:3], VECTORS)) == best_scores(good[:3])
+    assert not found_scores(spark.createDataFrame(good[:1] * 2, VECTORS))
+
+
+def test_top_k_in_many_blocks(spark, monkeypatch):
+    """Several blocks and passes; repeated ids with different and equal vectors; a third of the rows are one vector."""
+    for name, value in (("QUERY_BLOCK", 12), ("ROW_BLOCK", 80), ("CHAIN", 2), ("FAN", 4), ("DEALT", 64)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(6)
+    X = np.concatenate([rng.normal(size=(3, 8))[rng.integers(3, size=200)] + rng.normal(size=(200, 8)) * 0.2, rng.normal(size=(100, 8))])
+    rows = [(i, X[i].tolist(), 0, "x", 1) for i in range(300)] + [(i, X[7].tolist(), 0, "x", 1) for i in range(300, 450)]
+    rows += [(1, X[2].tolist(), 0, "x", 1), (1, X[1].tolist(), 0, "x", 1), (0, X[50].tolist(), 0, "x", 1), (40, X[40].tolist(), 0, "x", 1)]
+    rows = [(i, [float(np.float32(x)) for x in v], *more) for i, v, *more in rows]
+    assert found_scores(spark.createDataFrame(rows, VECTORS), sample=100) == best_scores(rows)
+
+
+def test_cover_tree():
+    """Separation, covering and nesting at every node; points stand in their leaves."""
+    rng = np.random.default_rng(8)
+    X = np.floor(64 * np.concatenate([rng.normal(size=(5, 6))[rng.integers(5, size=200)] + rng.normal(size=(200, 6)) * 0.1, np.ones((9, 6))]))
+    tree = search.CoverTree.grown(np.arange(209), np.zeros(209), X)
+    assert sorted(tree.ids) == list(range(209)) and (X[tree.ids] == tree.X).all()
+    for n in range(len(tree.radius)):
+        far = np.linalg.norm(tree.X[tree.start[n] : tree.stop[n]] - tree.centre[n], axis=1)
+        assert far.max() == pytest.approx(tree.radius[n])
+        kids = np.arange(tree.child[n], tree.child[n] + tree.children[n])
+        if len(kids):
+            assert (tree.centre[kids[0]] == tree.centre[n]).all() and (tree.radius[kids] <= tree.radius[n] / 2 + 1e-9).all()
+            gap = np.linalg.norm(tree.centre[kids][:, None] - tree.centre[kids][None], axis=2)[np.triu_indices(len(kids), 1)]
+            assert (gap > tree.radius[n] / 2 - 1e-9).all()
+            assert (tree.start[kids[0]], tree.stop[kids[-1]]) == (tree.start[n], tree.stop[n])
+        else:
+            assert tree.radius[n] == 0
 
 
 def labelled(spark, n=600):
