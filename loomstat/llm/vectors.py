@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rows of a bucket that one task compares with each other; larger buckets are compared block by block.
-BLOCK = 512
+BLOCK = 2048
 #: Rows that a task gets, about.
 TASK_ROWS = 4096
 
@@ -30,6 +30,12 @@ def usual_length(df: DataFrame, embedding: str = "embedding") -> int:
     return row["d"] if row else 0
 
 
+def unit(X: np.ndarray) -> np.ndarray:
+    """Rows of length one; first divided by their largest component, so that squares neither over- nor underflow."""
+    X = X / np.abs(X).max(axis=1, keepdims=True)
+    return X / np.sqrt((X * X).sum(1, keepdims=True))
+
+
 class Codes:
     """Binary codes of unit vectors: PCA, then rotations learned so that signs lose least, cut at the median of each bit.
 
@@ -38,9 +44,9 @@ class Codes:
 
     def __init__(self, sample: np.ndarray, bits: int, seed: int = 5, rounds: int = 25):
         rng = np.random.default_rng(seed)
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.middle = unit.mean(0)
-        centred = unit - self.middle
+        sample = unit(sample)
+        self.middle = sample.mean(0)
+        centred = sample - self.middle
         _, _, axes = np.linalg.svd(centred, full_matrices=True)
         V, d = centred @ axes.T, sample.shape[1]
         turned = []
@@ -54,14 +60,13 @@ class Codes:
         self.cut = np.median(centred @ self.turn, axis=0)
 
     def __call__(self, X: np.ndarray) -> np.ndarray:
-        unit = X / np.linalg.norm(X, axis=1, keepdims=True)
-        return (unit - self.middle) @ self.turn >= self.cut
+        return (unit(X) - self.middle) @ self.turn >= self.cut
 
 
 def plan(n: int, threshold: float, miss: float) -> tuple[int, int]:
     """(bits of a table's key, number of tables): keys about as many as rows, tables so many that a pair at ``threshold``
     agrees in none of them with probability ``miss`` at most, if its angle is the one seen from where codes are cut."""
-    b = int(np.clip(math.ceil(math.log2(max(n, 2) / 64)), 8, 16))
+    b = max(8, math.ceil(math.log2(max(n, 2) / 64)))
     same = (1 - math.acos(threshold) / math.pi) ** b
     return b, math.ceil(math.log(miss) / math.log(1 - same))
 
@@ -72,12 +77,12 @@ def pairs_at(sample: np.ndarray, threshold: float, count: int, seed: int = 11) -
     Every other batch moves in any direction alike, the rest in that of another row, as data do that fill few dimensions.
     """
     rng = np.random.default_rng(seed)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    sample = unit(sample)
     for k in range(math.ceil(count / 1000)):
-        X = unit[rng.integers(len(unit), size=1000)]
+        X = sample[rng.integers(len(sample), size=1000)]
         away = rng.normal(size=X.shape)
         if k % 2:
-            other = unit[rng.integers(len(unit), size=1000)] - X
+            other = sample[rng.integers(len(sample), size=1000)] - X
             other -= (other * X).sum(1, keepdims=True) * X
             away = np.where(np.linalg.norm(other, axis=1, keepdims=True) > 1e-6, other, away)
         away -= (away * X).sum(1, keepdims=True) * X
@@ -125,8 +130,7 @@ def bucket_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     pdf = pdf.sort_values(["label", "t", "key", "i", "j", "cls"], ignore_index=True)
     segment = pdf.groupby(["label", "t", "key", "i", "j"], sort=False).ngroup().to_numpy()
     starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-    X = np.stack(pdf["embedding"]).astype(np.float64)
-    norm = np.sqrt((X * X).sum(1))
+    X = unit(np.stack(pdf["embedding"]).astype(np.float64))
     codes = np.stack(pdf["codes"])
     cls, times, table, own = (pdf[c].to_numpy() for c in ("cls", "times", "t", "own"))
     i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
@@ -134,8 +138,7 @@ def bucket_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if b - a < 2:
             continue
         s = slice(a, b)
-        cosine = (X[s] @ X[s].T) / (norm[s, None] * norm[None, s])
-        near = cosine >= threshold
+        near = X[s] @ X[s].T >= threshold
         np.fill_diagonal(near, False)
         if i[a] != j[a]:
             near &= own[s, None] != own[None, s]
@@ -163,10 +166,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = 5000
 
     Rows are compared only within a label, and linked if the cosine of their vectors is at least ``threshold``.
     Equal vectors of a label form one class with its number of rows, so copies are never paired. Codes are fitted on
-    at most ``sample`` classes, those with the smallest hash; every class is indexed. Pairs that agree in a table's
-    key are checked on the original vectors; tables are added until of pairs built at the threshold around sampled rows
-    the share ``miss`` at most is missed. Tasks return
-    a row for each class and bucket, not pairs: how many rows it is linked with there, and one class it is joined to.
+    at most ``sample`` classes, those with the smallest hash; every class is indexed. The m tables hold m parts of the
+    codes: two codes at a Hamming distance below m agree in a part for certain, and others mostly do; parts are added
+    until of pairs built at the threshold around sampled rows the share ``miss`` at most is missed. Pairs that agree in
+    a part are checked on the original vectors. Tasks return a row for each class and bucket, not pairs: how many rows
+    it is linked with there, and one class it is joined to.
 
     Null, zero, non-finite vectors, vectors of an unusual length and rows without a label are linked with nothing.
     n_links counts rows, also repeated ones and such without vec_id; component_id is the smallest vec_id of the rows
@@ -176,21 +180,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = 5000
     good = usable(F.col("embedding")) & F.col("label").isNotNull() & F.exists("embedding", lambda x: x != 0)
     d = usual_length(vectors.where(good))
     able = F.coalesce(good & (F.size("embedding") == d), F.lit(False))
-    marked = vectors.select("vec_id", "embedding", "label", F.when(able, F.xxhash64("label", "embedding")).alias("cls"))
-    grouped = marked.where("cls is not null").groupBy("cls", "label", "embedding").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("first"))
-    classes = common.written(grouped, "vector-classes")
+    plus = F.transform("embedding", lambda x: x + F.lit(0).cast("byte"))  # minus zero is zero
+    marked = vectors.select("vec_id", plus.alias("embedding"), "label", able.alias("able")).withColumn("hash", F.xxhash64("label", "embedding"))
+    grouped = marked.where("able").groupBy("hash", "label", "embedding").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("first"))
+    classes = common.written(grouped.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
-    few = [r["embedding"] for r in classes.orderBy("cls").limit(sample).select("embedding").collect()]
+    few = [r["embedding"] for r in classes.orderBy("hash", "embedding").limit(sample).select("embedding").collect()]
     if not few:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     coder, b, m = fitted(np.array(few, float), n, threshold, miss)
-    powers = 1 << np.arange(b)
+    powers = 1 << np.arange(b, dtype=np.int64)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
             bits = coder(np.stack(v).astype(float)) if len(v) else np.zeros((0, b * m), bool)
-            yield pd.Series(list((bits.reshape(len(v), m, b) @ powers).astype(np.int32)))
+            yield pd.Series(list(bits.reshape(len(v), m, b) @ powers))
 
     coded = common.written(classes.select("cls", "label", "embedding", "times", keys("embedding").alias("codes")), "vector-codes")
     slots = coded.select("cls", "label", F.posexplode("codes").alias("t", "key"))
@@ -211,14 +216,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = 5000
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     counts = found.groupBy(F.col("cls").alias("node")).agg(F.sum("add").alias("add"))
     facts = placed.join(least, "component").join(counts, "node", "left")
-    facts = common.written(facts.select(F.col("node").alias("cls"), (F.col("times") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"), "component_id"), "vector-facts")
-    out = marked.drop("embedding").join(facts, "cls", "left")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
-    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    facts = facts.select(F.col("node").alias("cls"), (F.col("times") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"), "component_id")
+    facts = common.written(classes.select("cls", "hash", "label", "embedding").join(facts, "cls").drop("cls"), "vector-facts")
+    alone = marked.where("not able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = marked.where("able").join(facts, ["hash", "label", "embedding"]).select("vec_id", "n_links", "component_id")
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links among all embeddings; odd rows as ``near_vectors`` says."""
     return near_vectors(common.table(spark, sf_dir, "embeddings"))
 
 
