@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as the mixing and near-duplicate contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Equal rows that one task numbers in one go.
+COPIES = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests) a temporary
-    folder of this machine is used.
+    A cluster names it in ``spark.checkpoint.dir``; without it a cluster's executors could not read what others wrote,
+    so that is an error. Only with a local master (tests) a temporary folder of this machine is used instead.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loomstat-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -55,31 +59,48 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
-def prefix_sums(
-    df: DataFrame, group: str, order: str, ties: Iterable[str], value: str, out: str
-) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows before this one in its ``group``.
+def ranked(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds ``out``: the row's place, from 0, in the order of ``column``, whose values are distinct.
 
-    Rows stand in the order of ``order`` (a double, spread evenly over [0, 1), such as a hash), then ``ties``.
-    A group of n rows is cut into about sqrt(n) ranges of ``order``, so neither the rows of a range nor the
-    ranges of a group that one task sees grow faster than sqrt(n). ``group`` must not be null.
+    A distributed sort; the only rows that meet are one for each partition of it.
     """
-    from pyspark.sql import Window
+    at = written(df.orderBy(column).withColumn("_m", F.monotonically_increasing_id()), "ranks")
+    part = F.shiftright("_m", 33).alias("_part")
+    sizes = at.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.withColumn("_part", part).join(starts, "_part").withColumn(out, F.col("_start") + within).drop("_m", "_part", "_start")
+
+
+def prefix_sums(df: DataFrame, group: str, order: str, ties: Iterable[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows before this one in its ``group``.
 
-    sizes = written(df.groupBy(group).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("_ranges")), "group-sizes")
+    Rows stand in the order of ``order`` (a double, spread evenly over [0, 1) for different rows, such as a hash of
+    them), then ``ties``. ``group`` must not be null. Rows equal in all columns are counted first, before anything is
+    shuffled, take one place together, and are dealt out again at last, many of them in blocks: so however often a row
+    is repeated, no task has to hold its copies. A group of n different rows is cut into about sqrt(n) ranges of
+    ``order``, so neither the rows of a range nor the ranges of a group that one task sees grow faster than sqrt(n).
+    """
+    columns = df.columns
+    alike = written(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies")), "alike-rows")
+    all_of = F.col(value) * F.col("_copies")
+    sizes = written(alike.groupBy(group).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("_ranges")), "group-sizes")
     # rows are dealt out by cell, group and range in one column, whatever the join with the sizes has done
     cell = F.concat_ws(":", "_range", F.col(group).cast("string")).alias("_cell")
-    df = df.join(sizes, group).withColumn("_range", F.floor(F.col(order) * F.col("_ranges")).cast("long")).withColumn("_cell", cell).repartition("_cell")
-    totals = df.groupBy("_cell", group, "_range").agg(F.sum(value).alias("_total"))
+    cut = alike.join(sizes, group).withColumn("_range", F.floor(F.col(order) * F.col("_ranges")).cast("long")).withColumn("_cell", cell).repartition("_cell")
+    totals = cut.groupBy("_cell", group, "_range").agg(F.sum(all_of).alias("_total"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_cell", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_cell").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .join(starts, "_cell")
-        .withColumn(out, F.col("_start") + F.col("_within"))
-        .drop("_ranges", "_range", "_cell", "_start", "_within")
-    )
+    placed = cut.withColumn("_within", F.coalesce(F.sum(all_of).over(within), F.lit(0))).join(starts, "_cell")
+    placed = written(placed.select(*columns, "_copies", (F.col("_start") + F.col("_within")).alias("_first")), "prefix-sums")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    few = placed.where(F.col("_copies") <= COPIES).withColumn("_k", F.explode(upto(F.col("_copies"))))
+    blocks = placed.where(F.col("_copies") > COPIES).withColumn("_b", F.explode(upto(F.ceil(F.col("_copies") / COPIES))))
+    size = F.least(F.lit(COPIES), F.col("_copies") - F.col("_b") * COPIES)
+    many = blocks.repartition(F.col(group), F.col(order), F.col("_b")).withColumn("_k", F.explode(upto(size))).withColumn("_k", F.col("_k") + F.col("_b") * COPIES)
+    return few.unionByName(many.drop("_b")).withColumn(out, F.col("_first") + F.col("_k") * F.col(value)).drop("_copies", "_first", "_k")
 
 
 def unit_hash(*columns: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -81,11 +81,11 @@ def mix(docs: DataFrame, weights: Callable[[DataFrame], DataFrame], repeats: int
 
 
 def cycling(pattern: tuple[int, ...] = (5, 2, 1)) -> Callable[[DataFrame], DataFrame]:
-    """Weights that repeat over the sources by code point, null last (one row per source meets in the window)."""
+    """Weights that repeat over the sources by code point, null last."""
 
     def add(sources: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.orderBy("_source")) - 1
-        return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, pattern)), (rank % len(pattern) + 1).cast("int")))
+        at = (F.col("_rank") % len(pattern) + 1).cast("int")
+        return common.ranked(sources, "_source", "_rank").withColumn("weight", F.element_at(F.array(*map(F.lit, pattern)), at)).drop("_rank")
 
     return add
 
@@ -123,6 +123,7 @@ def mixed_documents(docs: DataFrame, weights: Callable[[DataFrame], DataFrame],
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of the mix over all documents; odd rows as ``mix`` says."""
     docs = common.table(spark, sf_dir, "documents")
     return mix(docs, cycling()).select("doc_id", "size", "source_size", "target", "taken")
 
