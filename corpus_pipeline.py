@@ -16,21 +16,31 @@ BROADCAST_IDS = 2_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects (score below 0.5) go."""
-    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, 0.5).where("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier rejects (score below 0.5) go.
+
+    Null and empty texts and null ids are scored like all others; equal texts stay or go together; without positive
+    labels, or without unlabelled rows, nothing goes. An empty table stays empty; further columns are passed on.
+    """
+    rows = quality.featured(docs, docs.columns)
+    model = quality.train(rows, common.table(spark, sf_dir, "labels"))
+    return rows.where(quality.probability(model)("_x") >= 0.5).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is 0.7 or more go."""
+    """Documents whose toxicity score is 0.7 or more go.
+
+    Null and empty texts have no toxic passage; equal texts stay or go together; without labels nothing goes. An empty
+    table stays empty; further columns are passed on.
+    """
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, 0.7).where("predicted = 0").select(*docs.columns)
+    return toxicity.judged(docs, model).where("_toxic.score < 0.7").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links of similarity 0.8 on five-word shingles the one with the smallest id stays.
 
-    Rows that share a doc_id are one document and stay or go together; rows without one stay.
+    Rows that share a doc_id are one document and stay or go together; rows without one, and texts without words, stay.
+    An empty table stays empty; further columns are passed on.
     """
     gone = common.written(neardups.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -38,12 +48,16 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by target weights: rows as often as they are taken, the last of a source cut at its budget."""
+    """Sources by target weights: rows as often as they are taken, the last of a source cut at its budget.
+
+    Null and empty texts have no words and are never taken; a null source is a source of its own; equal rows are taken
+    alike, so they may exceed a budget by their own words. An empty table stays empty; further columns are passed on.
+    """
     return mixing.mixed_documents(docs, mixing.cycling())
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row encoded and decoded: one row for each row of the mix."""
+    """Every row encoded and decoded: one row for each row of the mix, repeated ones too. A null text is an empty one."""
     return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -1,4 +1,4 @@
-"""What the two text classifiers share: a bounded labelled sample, and one-dimensional calibration."""
+"""What the two text classifiers share: who may be learned from, and one-dimensional calibration."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ def training_ids(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return common.one_label(labels, column).where(~common.held_out(F.col("doc_id")))
 
 
-#: Labels that are broadcast at most; more meet their documents by a shuffle.
-BROADCAST_LABELS = 4_000_000
+#: Labels that are broadcast at most, about 50 MB of them; more meet their documents by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -24,28 +24,23 @@ def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
 
 
-def smallest(df: DataFrame, n: int) -> DataFrame:
-    """At most ``n`` rows, those with the smallest hash of doc_id: the same ones in every run."""
-    return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-
-
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def calibration(z: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """(slope, shift) of the logistic curve that best gives label ``y`` from score ``z``; the slope is not negative.
+def calibration(z: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve that best gives label ``y`` from score ``z``, ``n`` times each; the slope is not negative.
 
     Newton steps on the log likelihood; labels are softened by one example each way, so clear cuts stay finite.
     """
-    if len(z) == 0:
+    if not n.sum():
         return 1.0, 0.0
-    n1, n0 = y.sum(), len(y) - y.sum()
+    n1, n0 = n[y == 1].sum(), n[y == 0].sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     X, w = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
     for _ in range(100):
         p = logistic(X @ w)
-        step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + ridge * np.eye(2), X.T @ (t - p) - ridge * w * [1, 0])
+        step = np.linalg.solve((X * (n * p * (1 - p))[:, None]).T @ X + ridge * np.eye(2), X.T @ (n * (t - p)) - ridge * w * [1, 0])
         w = w + step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break

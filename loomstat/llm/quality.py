@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .learning import calibration, logistic, smallest, training_ids
+from .learning import logistic, training_ids
 
 #: Shapes of words, hashed to so many features: runs of capitals, small letters, digits and of one other character.
 SHAPES = 64
@@ -76,118 +75,207 @@ class Features:
         return out
 
 
+WIDE = SHAPES + STATISTICS
+
+
+def stacked(rows: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, WIDE).astype(float)
+
+
 @dataclass
 class Model:
-    weights: np.ndarray
-    shift: float
+    weights: np.ndarray  # the last is the shift
     middle: np.ndarray
     scale: np.ndarray
     prior: float
-    curve: tuple[float, float]
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """Standardised features, cut at 8 deviations, and a one."""
+        return np.column_stack([np.clip((x - self.middle) / self.scale, -8, 8), np.ones(len(x))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.middle) / self.scale, -8, 8) @ self.weights + self.shift
+        return self.inputs(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return logistic(self.raw(x) * self.curve[0] + self.curve[1])
+        return logistic(self.raw(x))
+
+
+def featured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of every row of ``docs`` and ``_x``, the features of its whole text; read once, and written."""
+
+    @F.pandas_udf("binary")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        make = Features()
+        for texts in batches:
+            yield pd.Series([make(t).tobytes() for t in texts], dtype=object)
+
+    return common.written(docs.select(*columns, features(F.coalesce("text", F.lit(""))).alias("_x")), "quality-features")
+
+
+def summed(rows: DataFrame, sums) -> dict[int, float]:
+    """What ``sums`` gives for each batch of (_x, positive), as an array, summed over all rows: partial sums by place."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0.0
+        for pdf in batches:
+            if len(pdf):
+                total = total + sums(stacked(pdf["_x"]), pdf["positive"].to_numpy(bool))
+        if not np.isscalar(total):
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"at": at, "value": total[at]})
+
+    found = rows.mapInPandas(add, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    return {r["at"]: r["value"] for r in found.collect()}  # as many rows as the array has places
+
 
+def dense(found: dict[int, float], size: int) -> np.ndarray:
+    out = np.zeros(size)
+    for at, value in found.items():
+        out[at] = value
+    return out
 
-class Risk(NamedTuple):
-    positive: float
+
+def risk_sums(Z: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of unlabelled rows: how many, l(-f), its gradient and Hessian; of positives: how many, l(f), l(-f), the inputs."""
+    P, U = Z[positive], Z[~positive]
+    fp, fu = P @ w, U @ w
+    s = logistic(fu)
+    return np.concatenate([[len(U), np.logaddexp(0, fu).sum()], s @ U, ((U * (s * (1 - s))[:, None]).T @ U).ravel(), [len(P), np.logaddexp(0, -fp).sum(), np.logaddexp(0, fp).sum()], P.sum(0)])
+
+
+@dataclass
+class Risk:
+    """The unbiased PU risk of a linear model f, prior * E_P[l(f)] + E_U[l(-f)] - prior * E_P[l(-f)], with logistic loss l.
+
+    As l(f) - l(-f) = -f it is E_U[l(-f)] - prior * E_P[f]: convex, with the derivatives below. ``negative`` is the
+    part that estimates the negatives' risk, and may not fall below zero.
+    """
+
+    value: float
     negative: float
+    gradient: np.ndarray
+    hessian: np.ndarray
 
+    @classmethod
+    def of(cls, sums: np.ndarray, w: np.ndarray, prior: float, decay: float) -> Risk:
+        k = len(w)
+        (n_u, lu), gu, H = np.maximum(sums[:2], [1, 0]), sums[2 : 2 + k], sums[2 + k : 2 + k + k * k].reshape(k, k)
+        (n_p, lp, lp_minus), xp = np.maximum(sums[2 + k + k * k : 5 + k + k * k], [1, 0, 0]), sums[5 + k + k * k :]
+        flat = np.append(np.full(k - 1, decay), 1e-9)  # the shift is not held back
+        negative = lu / n_u - prior * lp_minus / n_p
+        return cls(prior * lp / n_p + negative + (flat * w * w).sum() / 2, negative, gu / n_u - prior * xp / n_p + flat * w, H / n_u + np.diag(flat + 1e-9))
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """The linear model that minimises the non-negative PU risk
 
-        prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])
+def fit(sums_at, k: int, prior: float, w: np.ndarray | None = None, rounds: int = 30, decay: float = 1e-2) -> np.ndarray:
+    """Newton's way to the least non-negative PU risk; ``sums_at`` gives ``risk_sums`` over all rows for some weights.
 
-    with logistic loss l, by Adam over the whole sample. Where the estimate of the negatives' risk falls below zero,
-    its gradient is followed the other way, which takes back what was overfitted.
+    A step that would bring the estimate of the negatives' risk below zero is taken only in part, as far as it stays
+    above, and the way ends where no part of it does: what is beyond would only overfit.
     """
-    both = np.concatenate([positive, unlabelled]).astype(float)
-    middle, scale = both.mean(0), both.std(0) + 1e-3
-    P, U = (np.clip((x - middle) / scale, -8, 8) for x in (positive.astype(float), unlabelled.astype(float)))
-    w, b = np.zeros(both.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for k in range(1, rounds + 1):
-        fp, fu = P @ w + b, U @ w + b
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        down = -prior * logistic(-fp) / len(P)  # derivative of prior * E_P[l(f)] at each positive
-        up_p, up_u = -prior * logistic(fp) / len(P), logistic(fu) / len(U)
-        if negative >= 0:
-            gp, gu = down + up_p, up_u
+    w = np.zeros(k) if w is None else w
+    now = Risk.of(sums_at(w), w, prior, decay)
+    if now.negative < 0:  # the start itself is overfitted for this prior
+        w = np.zeros(k)
+        now = Risk.of(sums_at(w), w, prior, decay)
+    for _ in range(rounds):
+        step = -np.linalg.solve(now.hessian, now.gradient)
+        part = 1.0
+        while part > 1e-3:
+            then = Risk.of(sums_at(w + part * step), w + part * step, prior, decay)
+            if then.negative >= 0 and then.value <= now.value:
+                break
+            part /= 4
         else:
-            gp, gu = -up_p, -up_u
-        g = np.append(P.T @ gp + U.T @ gu + decay * w, gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return Model(w, float(b), middle, scale, prior, (1.0, 0.0))
+            break
+        gained, w, now = now.value - then.value, w + part * step, then
+        if gained < 1e-6:
+            break
+    return w
 
 
-def class_prior(y: np.ndarray) -> float:
-    """The share of positives among labelled documents, kept off 0 and 1."""
-    return float(np.clip((y.sum() + 1) / (len(y) + 2), 0.02, 0.98)) if len(y) else 0.5
+def class_prior(u: np.ndarray, p: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives in unlabelled text, from counts of unlabelled and positive rows by falling score.
 
+    In a top bin that holds positives only, the share of unlabelled rows in it is the prior times that of positives; in
+    others it is more. So the prior is at most the ratio of both shares, plus a confidence bound for their sampling
+    errors: the least of these upper bounds over all top bins is taken. The rows must not have been fitted on.
+    """
+    if not u.sum() or not p.sum():
+        return 0.5
+    qu, qp = np.cumsum(u) / u.sum(), np.cumsum(p) / p.sum()
+    error = np.sqrt(np.log(4 / delta) / 2 / u.sum()) + np.sqrt(np.log(4 / delta) / 2 / p.sum())
+    at = np.flatnonzero(qp > 0)
+    return float(np.clip(((qu[at] + (1 + gamma) * error) / qp[at]).min(), 0.02, 0.98))
 
-def feature_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, x) of a small labelled or unlabelled sample."""
 
-    @F.pandas_udf("array<float>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        make = Features()
-        for texts in batches:
-            yield pd.Series([make(t) for t in texts])
+#: Bins of the model's values in which the prior is estimated, each a fiftieth wide.
+BINS, WIDTH = 4001, 0.02
 
-    return docs.select("doc_id", "label", features(F.coalesce("text", F.lit(""))).alias("x"))
 
+def train(rows: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
+    """Fits the model on ``rows`` of ``featured`` (doc_id, _x): every trusted positive and every unlabelled row counts.
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = 6000) -> Model:
-    """Fits the model.
-
-    ``sample`` bounds both samples: positives are labelled 1, unlabelled ones are web documents without a label that
-    may be learned from. Trusted rows (both labels) give the class prior and the curve from the model's value to a
-    probability. Samples are the rows with the smallest hash of doc_id.
+    Positives are documents labelled 1 that may be learned from; all without such a label, held-out ones too, are
+    unlabelled text. Labelled negatives are not read. The prior is estimated twice, each time on one half of the rows
+    (by hash) from a model of the other half, first fitted with a prior of one half; the last fit takes all rows. A
+    round is one pass over the stored features.
     """
-    known = training_ids(docs, labels, column)
-    trusted = smallest(known, sample)
-    free = smallest(docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti"), sample)
-    ids = F.broadcast(trusted.unionByName(free.withColumn("label", F.lit(None).cast("int"))))  # at most 2 * sample rows
-    rows = feature_rows(docs.select("doc_id", "text").join(ids, "doc_id")).select("label", "x").toPandas()
-    if not len(rows) or not (rows["label"] == 1).any():
-        n = SHAPES + STATISTICS
-        return Model(np.zeros(n), 0.0, np.zeros(n), np.ones(n), 0.5, (1.0, 0.0))
-    X, y = np.stack(rows["x"]), rows["label"].to_numpy(float)
-    labelled = ~np.isnan(y)
-    unlabelled = X[~labelled] if (~labelled).any() else X
-    prior = class_prior(y[labelled])
-    model = fit(X[y == 1], unlabelled, prior)
-    z = model.raw(X[labelled])
-    model.curve = calibration(z, y[labelled])
+    k = WIDE + 1
+    known = training_ids(rows, labels, column)
+    met = rows.select("doc_id", "_x").join(known, "doc_id", "left").where("label is null or label = 1")
+    half = (F.pmod(F.xxhash64("doc_id", "_x"), F.lit(2)) == 1).alias("half")
+    met = common.written(met.select("_x", F.col("label").isNotNull().alias("positive"), half), "quality-training")
+    moments = dense(summed(met, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)])), 2 + 2 * WIDE)
+    n, n_p = moments[:2]
+    if not n_p or n == n_p:  # without positives or unlabelled rows nothing can be told apart
+        return Model(np.zeros(k), np.zeros(WIDE), np.ones(WIDE), 0.5)
+    middle = moments[2 : 2 + WIDE] / n
+    model = Model(np.zeros(k), middle, np.sqrt(np.maximum(moments[2 + WIDE :] / n - middle**2, 0)) + 1e-3, 0.5)
+
+    def fitted(part: DataFrame) -> np.ndarray:
+        def sums_at(w: np.ndarray) -> np.ndarray:
+            return dense(summed(part, lambda x, p: risk_sums(model.inputs(x), p, w)), 5 + 2 * k + k * k)
+
+        return fit(sums_at, k, model.prior, model.weights)
+
+    def binned(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        at = BINS // 2 - np.clip(np.round(model.raw(x) / WIDTH), -(BINS // 2), BINS // 2).astype(int)
+        return np.concatenate([np.bincount(at[~p], minlength=BINS), np.bincount(at[p], minlength=BINS)]).astype(float)
+
+    for _ in range(2):
+        model.weights = fitted(met.where("half"))
+        counts = dense(summed(met.where("not half"), binned), 2 * BINS)
+        model.prior = class_prior(counts[:BINS], counts[BINS:])
+    model.weights = fitted(met)
     return model
 
 
-def scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """Adds ``score`` and ``predicted`` to every row of ``docs``, from its whole text alone; nothing is shuffled."""
+def probability(model: Model):
+    """A column function: the model's probability of label 1, from features."""
+
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        make = Features()
-        for texts in batches:
-            yield pd.Series(model.score(np.stack([make(t) for t in texts])) if len(texts) else [], dtype="float64")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(stacked(x)), dtype="float64")
+
+    return score
+
 
-    return docs.withColumn("score", score(F.coalesce("text", F.lit("")))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def scored(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """``rows`` of ``featured`` with ``score`` and ``predicted`` instead of features."""
+    return rows.withColumn("score", probability(model)("_x")).drop("_x").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts are scored like any other; a null doc_id is scored but never learned from; of repeated labels
-    the largest counts, null ones do not; without any positive label all scores are 0.5. Repeated rows stay.
+    Whole texts are read once. Null and empty texts are scored like any other; a null doc_id is unlabelled text; of
+    repeated labels the largest counts, null ones do not; without any positive label, or without unlabelled rows, all
+    scores are 0.5. Repeated rows stay, and each counts as a row; other columns are not read.
     """
-    model = train(docs, labels, "quality", sample)
-    return scored(docs.select("doc_id", "text"), model, threshold).select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    rows = featured(docs, ["doc_id"])
+    return scored(rows, train(rows, labels), threshold).select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; odd rows as ``classify`` says."""
     return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))

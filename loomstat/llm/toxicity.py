@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .learning import calibration, labelled, logistic, smallest, training_ids
+from .learning import calibration, labelled, logistic, training_ids
 
 #: Tokens are runs of ASCII letters and digits and of all bytes above ASCII, A-Z in small letters.
 _TOKENS = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -22,28 +22,33 @@ def tokens(text: str) -> list[bytes]:
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, toxic, clean): in how many toxic and clean documents of ``docs`` (text, label) each token stands.
+    """(token, toxic, clean, times): in how many toxic and clean documents of ``docs`` (text, label) each token stands,
+    and how often in clean ones.
 
-    Counted once per document, so that one document of a single repeated word weighs little; batches are summed
-    before the shuffle.
+    Log-odds come from documents, so that one document of a single repeated word weighs little; what chance puts into
+    a scan comes from occurrences. Batches are summed before the shuffle.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
 
         for pdf in batches:
-            by = (Counter(), Counter())
+            by, times = (Counter(), Counter()), Counter()
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                by[label].update(set(tokens(text)))
+                words = tokens(text)
+                by[label].update(set(words))
+                if not label:
+                    times.update(words)
             words = by[0].keys() | by[1].keys()
-            yield pd.DataFrame({"token": list(words), "toxic": [by[1][w] for w in words], "clean": [by[0][w] for w in words]})
+            yield pd.DataFrame({"token": list(words), "toxic": [by[1][w] for w in words], "clean": [by[0][w] for w in words], "times": [times[w] for w in words]})
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), "label").where("label in (0, 1)")
-    return rows.mapInPandas(count, "token binary, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInPandas(count, "token binary, toxic long, clean long, times long")
+    return counts.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "times")))
 
 
 def log_odds(counts: DataFrame, prior: float = 0.05) -> DataFrame:
-    """(token, clean, gain): every token's log-odds of being toxic, shrunk by one standard error towards zero.
+    """(token, times, gain): every token's log-odds of being toxic, shrunk by one standard error towards zero.
 
     Both classes get an informative Dirichlet prior: pseudo-tokens as many as ``prior`` of all tokens, dealt out as in
     all labelled documents. Gains stand on a grid of a thousandth. Tokens whose gain is zero are left out: they score
@@ -51,13 +56,13 @@ def log_odds(counts: DataFrame, prior: float = 0.05) -> DataFrame:
     """
     t, c = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not t or not c:
-        return counts.select("token", "clean", F.lit(0.0).alias("gain")).limit(0)
+        return counts.select("token", "times", F.lit(0.0).alias("gain")).limit(0)
     pseudo = prior * (t + c)
     share = F.lit(prior) * (F.col("toxic") + F.col("clean"))
     yt, yc = F.col("toxic") + share, F.col("clean") + share
     delta = F.log(yt / (t + pseudo - yt)) - F.log(yc / (c + pseudo - yc))
     gain = F.signum(delta) * F.greatest(F.abs(delta) - F.sqrt(1 / yt + 1 / yc), F.lit(0.0))
-    return counts.select("token", "clean", F.round(gain, 3).alias("gain")).where("gain <> 0")
+    return counts.select("token", "times", F.round(gain, 3).alias("gain")).where("gain <> 0")
 
 
 def merged(before: list[float], after: list[float], places: list[int]) -> list[tuple[float, int, int]]:
@@ -131,10 +136,11 @@ class Model:
 
 
 def extreme_values(gains: np.ndarray, clean: np.ndarray, total: int, drift: float) -> tuple[float, float]:
-    """(lambda, K): lambda > 0 solves E[exp(lambda * s)] = 1 over clean tokens; K is the rate at which clean tokens open
-    a segment, in units of exp(-lambda * s), at most 1.
+    """(lambda, K): lambda > 0 solves E[exp(lambda * s)] = 1 over the tokens of clean texts; K is an upper bound of the
+    Karlin-Altschul constant, the rate at which clean tokens open a segment in units of exp(-lambda * s), at most 1.
 
-    ``clean`` of all ``total`` clean tokens have the log-odds ``gains``, the others zero; each gain counts half a token more.
+    ``clean`` of all ``total`` token occurrences in clean texts have the log-odds ``gains``, the others zero; each gain
+    counts half an occurrence more.
     """
     if not len(gains):
         return 1.0, 0.1
@@ -154,28 +160,34 @@ def extreme_values(gains: np.ndarray, clean: np.ndarray, total: int, drift: floa
 BROADCAST_TOKENS = 200_000
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, drift: float = 0.5, most: int = BROADCAST_TOKENS) -> Model:
-    """Counts tokens over all labelled documents that may be learned from; fits the curve on at most ``sample`` of them.
+#: The curve is fitted on evidence in steps of so much (of its logarithm).
+STEP = 1e-3
+
+
+def train(docs: DataFrame, labels: DataFrame, drift: float = 0.5, most: int = BROADCAST_TOKENS) -> Model:
+    """Counts tokens over all labelled documents that may be learned from, and fits the curve on the evidence of all of
+    them, counted by label in small steps: what comes to the driver does not grow with the documents.
 
     ``most`` decides how texts meet the scored tokens, not which tokens are scored.
     """
-    known = training_ids(docs, labels, "toxic")
-    counts = common.written(token_counts(labelled(docs, known)), "token-counts")
+    known = labelled(docs, training_ids(docs, labels, "toxic"))
+    counts = common.written(token_counts(known), "token-counts")
     scores = common.written(log_odds(counts), "token-scores")
-    law = scores.groupBy("gain").agg(F.sum("clean").alias("clean"), F.count(F.lit(1)).alias("n")).toPandas()  # a row for each thousandth
-    gains, clean = law["gain"].to_numpy(float), law["clean"].to_numpy(float)
-    total = counts.agg(F.sum("clean")).first()[0] or 0
+    law = scores.groupBy("gain").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n")).toPandas()  # a row for each thousandth
+    gains, times = law["gain"].to_numpy(float), law["times"].to_numpy(float)
+    total = counts.agg(F.sum("times")).first()[0] or 0
     # the mean over clean tokens must be negative for segments to stay short
-    model = Model(drift=max(drift, 2 * float(gains @ clean) / max(total, 1)))
+    model = Model(drift=max(drift, 2 * float(gains @ times) / max(total, 1)))
     net = scores.select("token", (F.col("gain") - model.drift).alias("net"))
     if law["n"].sum() <= most:
         rows = net.toPandas()  # at most ``most``
         model.gains = dict(zip(map(bytes, rows["token"]), rows["net"].tolist(), strict=True))
     else:
         model.table = net
-    model.decay, model.scale = extreme_values(gains, clean, total, model.drift)
-    seen = evidence_rows(labelled(docs, smallest(known, sample)), model).toPandas()
-    model.curve = calibration(np.log1p(seen["evidence"].to_numpy(float)), seen["label"].to_numpy(float))
+    model.decay, model.scale = extreme_values(gains, times, total, model.drift)
+    step = F.round(F.log1p("evidence") / STEP).cast("long").alias("step")
+    seen = evidence_rows(known, model).groupBy("label", step).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    model.curve = calibration(seen["step"].to_numpy(float) * STEP, seen["label"].to_numpy(float), seen["n"].to_numpy(float))
     return model
 
 
@@ -220,8 +232,8 @@ def evidence_rows(rows: DataFrame, model: Model) -> DataFrame:
 SCORED = "score double, passages array<struct<score:double,expected:double,first:int,last:int>>"
 
 
-def scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """Adds ``score``, ``predicted`` and ``passages``: every significant toxic passage, as first and last token.
+def judged(docs: DataFrame, model: Model) -> DataFrame:
+    """Adds ``_toxic``: score and passages, every significant toxic one as first and last token.
 
     Each row's whole text is scanned once; nothing is shuffled if tasks hold all scored tokens.
     """
@@ -240,20 +252,22 @@ def scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
                 }
             )
 
-    return docs.withColumn("_x", score(F.coalesce("text", F.lit("")), "_words", "_nets")).select(
-        *columns, "_x.score", (F.col("_x.score") >= threshold).cast("int").alias("predicted"), "_x.passages"
-    )
+    return docs.select(*columns, score(F.coalesce("text", F.lit("")), "_words", "_nets").alias("_toxic"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, passages for every row of ``docs`` (doc_id, text).
 
     A text without passages, null and empty ones too, has the curve's lowest score. Null ids are scored but never
-    learned from; of repeated labels the largest counts. Repeated rows stay.
+    learned from; of repeated labels the largest counts, and a labelled document on several rows counts with each.
+    Repeated rows stay, other columns are not read, an empty table gives an empty result; without labels no text has
+    passages.
     """
-    out = scored(docs.select("doc_id", "text"), train(docs, labels, sample), threshold)
-    return out.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "passages")
+    out = judged(docs.select("doc_id", "text"), train(docs, labels))
+    score = F.col("_toxic.score")
+    return out.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "_toxic.score", (score >= threshold).cast("int").alias("predicted"), "_toxic.passages")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; odd rows as ``classify`` says."""
     return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).drop("passages")
