@@ -364,6 +364,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, sam
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest scores of each query over all embeddings; odd rows as ``top_k`` says."""
     return top_k(common.table(spark, sf_dir, "embeddings"))
 
 

@@ -167,6 +167,53 @@ def test_shards(docs, empty):
     assert sharding.shard_documents(docs, target_bytes=10_000).agg(F.max("shard")).first()[0] >= 1
 
 
+def test_shards_keep_equal_texts_together(spark):
+    """Groups of equal texts up to a shard stay whole, heavier ones and rows repeated in all columns are dealt out; sizes stay near equal."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices(WORDS, k=40)), rng.choice(["en", "de"]), f"alpha_source_{rng.randrange(6)}") for i in range(900)]
+    for k, copies in enumerate((15, 16, 17, 60, 90)):
+        rows += [(2000 + 100 * k + j, f"group {k} " + "same words " * 30, "en", f"alpha_source_{j % 6}") for j in range(copies)]
+    rows += [(5000 + j, "heavy group " + "same words " * 30, "en", "alpha_source_1") for j in range(700)]
+    rows += [(6000, "one row again " + "and again " * 30, None, None)] * 500
+    got = sharding.shard_documents(table(spark, rows), shards=8).collect()
+    weight, group = Counter(), defaultdict(set)
+    for r in got:
+        weight[r["shard"]] += r["size"]
+        group[r["doc_id"] // 100].add(r["shard"])
+    assert len(got) == len(rows) and len(weight) == 8
+    assert max(weight.values()) < 1.05 * min(weight.values())
+    assert all(len(group[20 + k]) == 1 for k in range(5)) and len(set().union(*(group[50 + k] for k in range(7)))) > 1 and len(group[60]) > 1
+    for shard in weight:
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
+def test_tree_against_brute_force(spark):
+    """The same cuts as a k-d tree built from all units at once."""
+    rng = random.Random(2)
+    units = [(rng.getrandbits(62), rng.randint(50, 99), *((rng.random(), round(rng.random(), 1), rng.random() ** 3) if k % 3 else (0.0, 1.0, 0.5))) for k in range(400)]
+    axes = ["axis0", "axis1", "axis2"]
+
+    def key(u, axis):
+        return min(int(u[2 + axis] * sharding.GRID), sharding.GRID - 1) * sharding.TIES + u[0] % sharding.TIES
+
+    def cut(us, m):
+        if m == 1:
+            return [us]
+        axis = max(range(3), key=lambda k: max(u[2 + k] for u in us) - min(u[2 + k] for u in us))
+        us = sorted(us, key=lambda u: key(u, axis))
+        goal, before = sum(u[1] for u in us) * (m // 2) / m, 0
+        for n, u in enumerate(us):
+            if before + u[1] >= goal:
+                n += goal - before >= before + u[1] - goal
+                break
+            before += u[1]
+        return cut(us[:n], m // 2) + cut(us[n:], m - m // 2)
+
+    want = {u[0]: k for k, part in enumerate(cut(units, 7)) for u in part}
+    leaves, none = sharding.tree(spark.createDataFrame(units, "unit long, weight long, axis0 double, axis1 double, axis2 double"), [], 7)
+    assert {r["unit"]: r["shard"] for r in leaves.collect()} == want and not none.count()
+
+
 def shingles(text, width):
     words = [w.lower() for w in WORD.findall(text or "")]
     return {tuple(words)} - {()} if len(words) < width else {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
@@ -297,6 +344,23 @@ def test_near_vectors_off_centre(spark):
     assert [r["n_links"] for r in vectors.near_vectors(df).orderBy("vec_id").collect()] == links.tolist()
 
 
+def test_near_vectors_dense(spark):
+    """A cluster in which most pairs are just about linked, copies, a bucket of several blocks, and very small and large numbers."""
+    rng = np.random.default_rng(12)
+    X = rng.normal(size=(1500, 24))
+    X[:900] = X[0] + rng.normal(size=(900, 24)) * 0.13 * np.linalg.norm(X[0]) / math.sqrt(24)
+    X[900:950] = X[5]
+    X = X.astype(np.float32).astype(float)
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    links = (U @ U.T >= 0.98).sum(1) - 1
+    X[10:20] *= 2.0**-600
+    X[20:30] *= 2.0**700
+    rows = [(i, x, 1, "x", 1) for i, x in enumerate(X.tolist())]
+    df = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
+    got = [r["n_links"] for r in vectors.near_vectors(df).orderBy("vec_id").collect()]
+    assert links.sum() > 100_000 and sum(got) >= 0.999 * links.sum() and all(a <= b for a, b in zip(got, links.tolist(), strict=True))
+
+
 def best_scores(rows, k=20):
     """By brute force: of every query id the best scores of all its rows with all rows of other ids."""
     want = defaultdict(list)
@@ -376,7 +440,7 @@ def labelled(spark, n=600):
 
 def test_quality(spark, empty):
     docs, labels = labelled(spark)
-    got = quality.classify(docs, labels, sample=400).collect()
+    got = quality.classify(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 600 and r["held_out"]]
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in held)
@@ -385,9 +449,39 @@ def test_quality(spark, empty):
     assert {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_risk():
+    """The fit against plain gradient descent on the risk as the papers write it, and the prior of a known mixture."""
+    rng = np.random.default_rng(3)
+    P, U = rng.normal(1, 1, (400, 3)), np.concatenate([rng.normal(1, 1, (700, 3)), rng.normal(-1, 1, (500, 3))])
+    Z = np.column_stack([np.concatenate([P, U]), np.ones(1600)])
+    positive, prior, decay = np.arange(1600) < 400, 0.55, 1e-2
+    w = quality.fit(lambda w: quality.risk_sums(Z, positive, w), 4, prior, decay=decay)
+
+    def risk(w):
+        fp, fu = Z[positive] @ w, Z[~positive] @ w
+        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        return prior * np.logaddexp(0, -fp).mean() + max(0, negative) + decay * (w[:3] ** 2).sum() / 2
+
+    v = np.zeros(4)
+    for _ in range(4000):
+        v -= 0.3 * np.array([(risk(v + e) - risk(v - e)) / 2e-5 for e in np.eye(4) * 1e-5])
+    assert np.allclose(w, v, atol=0.02) and risk(w) <= risk(v) + 1e-5
+    assert (quality.Risk.of(quality.risk_sums(Z, positive, w), w, prior, decay)).value == pytest.approx(risk(w), abs=1e-6)
+    at = np.round(2000 - 50 * np.concatenate([rng.normal(3, 1, 50000), rng.normal(3, 1, 30000), rng.normal(-3, 1, 20000)])).astype(int)
+    counts = [np.bincount(x, minlength=4001) for x in (at[50000:], at[:50000])]
+    assert 0.6 <= quality.class_prior(*counts) < 0.63
+
+
+def test_quality_with_one_id_on_many_rows(spark):
+    docs, labels = labelled(spark)
+    many = docs.union(table(spark, [(3, f"alpha beta gamma delta {k % 50}", None, None) for k in range(10_000)]))
+    got = quality.classify(many, labels)
+    assert got.count() == many.count() and got.where("doc_id = 3").select("score").distinct().count() <= 52
+
+
 def test_toxicity(spark, empty):
     docs, labels = labelled(spark)
-    got = toxicity.classify(docs, labels, sample=300).collect()
+    got = toxicity.classify(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 600 and r["held_out"]]
     assert np.mean([(r["predicted"] == 1) == (r["doc_id"] % 4 == 0) for r in held]) > 0.97
@@ -424,7 +518,7 @@ def test_every_word_scores(spark):
     model, joined = toxicity.train(docs, labels), toxicity.train(docs, labels, most=0)
     assert model.gains[b"rareslur"] > 0 > -model.drift > model.gains[b"kind"]
     assert joined.table is not None and not joined.gains and np.allclose(joined.curve, model.curve)
-    a, b = (sorted(map(str, toxicity.scored(docs.select("doc_id", "text"), m, 0.7).collect())) for m in (model, joined))
+    a, b = (sorted(map(str, toxicity.judged(docs.select("doc_id", "text"), m).collect())) for m in (model, joined))
     assert a == b
 
 
