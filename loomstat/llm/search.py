@@ -228,7 +228,8 @@ def block_tree(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     pivots = spark.createDataFrame([("", [centre], 0, n // DEALT + 1)], "node string, pivots array<array<long>>, cuts long, slots long")
     done, nodes, depth = [], [], 0
     while True:
-        left = level.join(pivots.select("node", "slots"), "node").withColumn("slot", F.concat_ws("/", "node", F.pmod("h", "slots"))).drop("slots")
+        left = level.join(pivots.select("node", "slots"), "node") if depth else level.withColumn("slots", F.lit(n // DEALT + 1))
+        left = left.withColumn("slot", F.concat_ws("/", "node", F.pmod("h", "slots"))).drop("slots")
         right = pivots.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).withColumn("slot", F.concat_ws("/", "node", "_s"))
         level = common.written(left.groupBy("slot").cogroup(right.groupBy("slot")).applyInPandas(dealt, ROWS), "search-level")
         at = F.when(F.col("cuts") > 0, F.lit(0)).otherwise(F.substring_index("node", ".", -1).cast("int"))
