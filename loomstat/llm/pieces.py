@@ -103,9 +103,9 @@ class Codec:
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
         proto = sentencepiece_model_pb2.ModelProto()
-        proto.ParseFromString(self.model.serialized_model_proto())
+        proto.ParseFromString(model.serialized_model_proto())
         kinds = [p.type for p in proto.pieces]
         self.normalise = Normaliser(proto.normalizer_spec)
         self.piece = [p.piece for p in proto.pieces]
@@ -113,16 +113,21 @@ class Codec:
         # what an id gives back, and how many normalised bytes it stands for: one if it is a byte (kind 6)
         self.gives = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else p.replace(SPACE, " ").encode() for p, k in zip(self.piece, kinds, strict=True)]
         self.takes = np.array([1 if k == 6 else len(p.encode()) for p, k in zip(self.piece, kinds, strict=True)])
-        self.end, self.unknown, self.dummy = self.model.eos_id(), self.model.unk_id(), proto.normalizer_spec.add_dummy_prefix
+        self.end, self.unknown, self.dummy = model.eos_id(), model.unk_id(), proto.normalizer_spec.add_dummy_prefix
+        # the library's merges alone, for text that is normalised already
+        spec = proto.normalizer_spec
+        spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, False
+        proto.trainer_spec.treat_whitespace_as_suffix = False
+        self.merge = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray]:
         """The ids, without an end id, and the source bytes between which they stand: id k from bounds[k] to bounds[k + 1].
 
-        Pieces follow each other in the normalised text; its alignment gives their places in the source. An id of the
-        unknown piece takes what lies before the next known piece.
+        The text is normalised, and the merges see normalised text only. Pieces follow each other in it; its alignment
+        gives their places in the source. An id of the unknown piece takes what lies before the next known piece.
         """
-        ids = self.model.encode(text)
         norm, source = self.normalise(text)
+        ids = self.merge.encode(norm.decode())
         if self.unknown not in ids:
             ends = np.cumsum(self.takes[ids]) if ids else np.zeros(0, int)
         else:
@@ -187,6 +192,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents; odd rows as ``digests`` says."""
     import public_tokenizers
 
     return digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

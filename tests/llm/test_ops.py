@@ -152,6 +152,30 @@ def test_normaliser_follows_a_character_map():
         assert norm.decode() == lib.normalize(t) and len(source) == len(norm) + 1 and (np.diff(source) >= 0).all()
 
 
+def test_pieces_of_a_model_with_a_character_map(spark, tmp_path):
+    """The same pieces, with the public model's vocabulary behind a compiled map: longest prefixes, squeezed spaces, spans."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto, map_of = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    map_of.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = map_of.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    sp, codec, rng = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.Codec(str(path)), random.Random(6)
+    for _ in range(1500):
+        t = "".join(rng.choice([" ", "  ", "a", "word", "ﬁ", "Ａ", "①", "が", "\t", "▁", "</s>"]) if rng.random() < 0.7 else chr(rng.randrange(1, 0x3400)) for _ in range(rng.randrange(12)))
+        ids, bounds = codec.encode(t)
+        assert ids == sp.encode(t), repr(t)
+        assert (np.diff(bounds) >= 0).all() and bounds[-1] <= len(t.encode())
+    rows = [(1, "ﬁne  Ａ① text ", None, None), (2, None, None, None)]
+    got = {r["doc_id"]: r["pieces"] for r in pieces.encode(table(spark, rows), str(path)).collect()}
+    assert [p["piece"] for p in got[1]] == sp.encode("ﬁne  Ａ① text ", out_type=str) and got[2] == []
+    assert got[1][0]["start"] == 0 and got[1][-1]["end"] == len("ﬁne  Ａ① text".encode())
+
+
 def test_shards(docs, empty):
     rows = sharding.shard_documents(docs.where("doc_id is null or length(text) < 1000 or text is null"), shards=5).collect()
     by = defaultdict(list)
