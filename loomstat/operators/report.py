@@ -59,23 +59,28 @@ def chromosome_order() -> list[Column]:
 
 
 def manhattan(df: DataFrame, p: str = "P") -> DataFrame:
-    """x (position laid out by chromosome), -log10 P, hit flags and the Bonferroni line over the plotted rows."""
+    """x (position laid out by chromosome from its first one on), -log10 P, hit flags and the Bonferroni line over the plotted rows."""
     rows = df.where(usable_p(F.col(p)) & F.col("CHR").isNotNull() & F.col("POS").isNotNull())
-    chromosomes = rows.groupBy("CHR").agg(F.max("POS").alias("_span"))  # few rows
+    chromosomes = rows.groupBy("CHR").agg(F.min("POS").alias("_low"), F.when(F.count(F.lit(1)) > 1, F.max("POS") - F.min("POS")).otherwise(F.lit(1)).alias("_span"))  # few rows
     before = Window.orderBy(*chromosome_order()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chromosomes.select("CHR", F.coalesce(F.sum(F.col("_span") * GAP + 1).over(before), F.lit(0.0)).alias("_offset"))
+    offsets = chromosomes.select("CHR", (F.coalesce(F.sum(F.col("_span") * GAP + 1).over(before), F.lit(0.0)) - F.col("_low")).alias("_offset"))
     line = rows.agg((F.lit(ALPHA) / F.count(F.lit(1))).alias("bonferroni"))
     out = rows.join(F.broadcast(offsets), "CHR").crossJoin(F.broadcast(line))  # one row
     return out.withColumns({"x": F.col("POS") + F.col("_offset"), "mlogp": -F.log10(p), "hit": F.col(p) < GENOMEWIDE, "significant": F.col(p) < F.col("bonferroni")}).drop("_offset")
 
 
-def volcano(df: DataFrame, beta: str = "beta", p: str = "P") -> DataFrame:
-    """-log10 P against the effect, with a label for the smallest P-values below the Bonferroni line."""
+def volcano(df: DataFrame, beta: str = "beta", p: str = "P", key: tuple[str, ...] = ("predictor",)) -> DataFrame:
+    """-log10 P against the effect; the rows with the smallest P-values below the Bonferroni line are labelled.
+
+    ``key`` tells rows apart that tie. Each row comes once: labels are given by comparison with the last labelled row.
+    """
     rows = df.where(usable_p(F.col(p)) & F.col(beta).isNotNull())
     line = rows.agg((F.lit(ALPHA) / F.count(F.lit(1))).alias("bonferroni"))
-    out = rows.crossJoin(F.broadcast(line)).withColumns({"mlogp": -F.log10(p), "significant": F.col(p) < F.col("bonferroni")})
-    top = out.where("significant").orderBy(p, "predictor").limit(LABELS).select("predictor", F.col("predictor").alias("label"))
-    return out.join(F.broadcast(top), "predictor", "left")
+    out = rows.crossJoin(F.broadcast(line)).withColumns({"mlogp": -F.log10(p), "significant": F.col(p) < F.col("bonferroni")})  # one row
+    place = F.struct(p, *key)
+    last = out.where("significant").select(place.alias("_place")).orderBy("_place").limit(LABELS).agg(F.max("_place").alias("_last"))
+    label = F.when(F.col("significant") & (place <= F.col("_last")), F.col("predictor"))
+    return out.crossJoin(F.broadcast(last)).withColumn("label", label).drop("_last")  # one row
 
 
 def pick(df: DataFrame) -> tuple[str, str]:

@@ -555,7 +555,8 @@ def qq_points(spark, sf_dir):
     return rounded(q.select("run", "predictor", "rank", "observed", "expected"))
 
 
-@query(f"""WITH {T}, c AS (SELECT CHR, max(POS) AS span FROM study GROUP BY 1), o AS (SELECT CHR, coalesce(sum(span * 1.02::DOUBLE + 1) OVER (ORDER BY substr(CHR, 4)::INT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c)
+@query(f"""WITH {T}, c AS (SELECT CHR, min(POS) AS low, CASE WHEN count(*) > 1 THEN max(POS) - min(POS) ELSE 1 END AS span FROM study GROUP BY 1),
+o AS (SELECT CHR, coalesce(sum(span * 1.02::DOUBLE + 1) OVER (ORDER BY substr(CHR, 4)::INT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - low AS off FROM c)
 SELECT predictor, round(POS + off, 3) AS x, round(-log10(P), 6) AS mlogp, P < 0.05 / (SELECT count(*) FROM study) AS significant FROM study JOIN o USING (CHR)""")
 def manhattan_coords(spark, sf_dir):
     m = report.manhattan(trade.study(spark, sf_dir))

@@ -14,11 +14,15 @@ from pyspark.sql import types as T
 _STRINGS = {"predictor", "CHR", "effect_allele", "other_allele", "model_type", "test", "conditioned_on", "strata"}
 _LONGS = {"POS", "N", "n_obs", "n_subjects", "n_events"}
 _BOOLEANS = {"zscored", "genomewide_sig", "significant"}
-RESULT_COLUMNS = (
-    "predictor CHR POS effect_allele other_allele EAF MAF missing_rate predictor_mean predictor_sd zscored N n_obs n_subjects n_events "
-    "beta SE P beta_SNP SE_SNP P_SNP beta_SNPxTIME SE_SNPxTIME P_SNPxTIME beta_mean SE_mean P_mean tau_var SE_var P_var P_joint "
-    "model_type test conditioned_on strata bonferroni_threshold genomewide_sig significant"
-).split()
+RESULT_COLUMNS = [
+    "predictor", "CHR", "POS", "effect_allele", "other_allele",
+    "EAF", "MAF", "missing_rate", "predictor_mean", "predictor_sd", "zscored",
+    "N", "n_obs", "n_subjects", "n_events", "beta", "SE", "P",
+    "beta_SNP", "SE_SNP", "P_SNP", "beta_SNPxTIME", "SE_SNPxTIME", "P_SNPxTIME",
+    "beta_mean", "SE_mean", "P_mean", "tau_var", "SE_var", "P_var", "P_joint",
+    "model_type", "test", "genomewide_sig",
+    "bonferroni_threshold", "significant", "conditioned_on", "strata",
+]
 #: File names: run, stratum, time stamp; a run may hold hyphens, a stratum can't.
 STUDY = re.compile(r"^(?P<run>.+)-(?P<stratum>[^-]+)-(?P<stamp>\d{8}[_-]\d{6})\.csv$")
 META = re.compile(r"^META_(?P<run>.+)-(?P<stamp>\d{8}[_-]\d{6})\.csv$")

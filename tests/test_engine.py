@@ -180,11 +180,56 @@ def test_mixed_model_and_gallop(spark):
         X = np.column_stack([np.ones(len(t)), [x[3] for x in mine], t, np.full(len(t), g[i]), g[i] * t])
         A, u = A + X.T @ V @ X, u + X.T @ V @ y
     b, se = np.linalg.solve(A, u), np.sqrt(np.diag(np.linalg.inv(A)))
-    # the null's fixed effects stem from the round before the last update of the components
-    assert (r["beta_SNP"], r["beta_SNPxTIME"]) == (pytest.approx(b[3], abs=0.02), pytest.approx(b[4], abs=0.02))
+    assert (r["beta_SNP"], r["beta_SNPxTIME"]) == (pytest.approx(b[3], rel=1e-6), pytest.approx(b[4], rel=1e-6))
     assert (r["SE_SNP"], r["SE_SNPxTIME"]) == (pytest.approx(se[3], rel=1e-6), pytest.approx(se[4], rel=1e-6))
 
 
+def test_mixed_model_against_em(spark):
+    """The components are those that plain EM, subject by subject and in many rounds, comes to; also near a zero slope variance."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for s, slope in (("a", 0.4), ("b", 0.0)):
+        for i in range(60):
+            b0, b1 = rng.normal(), rng.normal() * slope
+            rows += [(s, f"s{i}", float(t), 2 + b0 + (0.3 + b1) * t + rng.normal() * 0.5) for t in range(rng.integers(2, 7))]
+    visits = spark.createDataFrame(rows, "strata string, IID string, t double, y double")
+    fits = nulls.fit_mixed(nulls.subject_products(visits, "y", "t", [], ["strata", "IID"]).persist(), 2)
+
+    def likelihood(mine, D, s2):
+        A, b, c = np.zeros((2, 2)), np.zeros(2), 0.0
+        for t, y in mine:
+            Z = np.column_stack([np.ones(len(t)), t])
+            V = s2 * np.eye(len(t)) + Z @ D @ Z.T
+            W = np.linalg.inv(V)
+            A, b, c = A + Z.T @ W @ Z, b + Z.T @ W @ y, c + y @ W @ y + np.linalg.slogdet(V)[1]
+        return -(c - b @ np.linalg.solve(A, b)) / 2
+
+    for s, f in fits.items():
+        by = {}
+        for k, i, t, y in rows:
+            if k == s:
+                by.setdefault(i, []).append((t, y))
+        mine = [tuple(np.array(x) for x in zip(*v, strict=True)) for v in by.values()]
+        D, s2 = np.eye(2) * 0.5, 0.5
+        for _ in range(1500 if s == "a" else 300):
+            A, b, parts = np.zeros((2, 2)), np.zeros(2), []
+            for t, y in mine:
+                Z = np.column_stack([np.ones(len(t)), t])
+                W = np.linalg.inv(s2 * np.eye(len(t)) + Z @ D @ Z.T)
+                A, b = A + Z.T @ W @ Z, b + Z.T @ W @ y
+                parts.append((Z, W, y))
+            a = np.linalg.solve(A, b)
+            w = [Z.T @ W @ (y - Z @ a) for Z, W, y in parts]
+            D = (D + D.T) / 2
+            d = sum(np.outer(x, x) - Z.T @ W @ Z for x, (Z, W, _) in zip(w, parts, strict=True))
+            e = sum(((y - Z @ a) @ W @ W @ (y - Z @ a)) - np.trace(W) for Z, W, y in parts)
+            D, s2 = D + D @ (d + d.T) @ D.T / 2 / len(mine), s2 + s2 * s2 * e / sum(len(y) for *_, y in parts)
+        assert f.converged and f.rounds < 60
+        assert likelihood(mine, f.D, f.sigma2) >= likelihood(mine, D, s2) - 1e-4
+        if s == "a":
+            assert np.allclose(f.D, D, atol=2e-3) and abs(f.sigma2 - s2) < 2e-3 and np.allclose(f.alpha, a, atol=1e-3)
+
+
 def test_meta(spark):
     rows = [("v1", "A", "A", "G", 0.3, 1.0, 0.5, 0.04, 100), ("v1", "B", "G", "A", 0.7, -2.0, 0.5, 0.001, 100), ("v1", "C", "A", "G", 0.3, 0.0, 1.0, 1.0, 50), ("v2", "B", "A", "T", 0.5, 1.0, 0.5, 0.04, 10),
             ("v3", "A", "A", "G", 0.1, None, 0.5, None, 10), ("v3", "B", "A", "G", 0.1, 1.0, 0.0, None, 10), ("v4", "A", "A", "G", 0.42, 1.0, 1.0, 0.3, 5), ("v4", "B", "C", "G", 0.42, 1.0, 1.0, 0.3, 5)]
