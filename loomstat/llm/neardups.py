@@ -98,16 +98,14 @@ def signatures(docs: DataFrame, width: int, m: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, signer = Shingler(width), Signer(m, rows)
         for pdf in batches:
-            sets = [shingle(t) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"].astype("Int64"),
-                    "n": [len(s) for s in sets],
-                    "f1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                    "f2": [int(mixed(s ^ _MULTIPLY).sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                    "codes": [signer(s) if len(s) else None for s in sets],
-                }
-            )
+            rows = []
+            for t in pdf["text"]:  # one text's set at a time
+                s = shingle(t)
+                sums = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, mixed(s ^ _MULTIPLY)))
+                rows.append((len(s), *sums, signer(s) if len(s) else None))
+            out = pd.DataFrame(rows, columns=["n", "f1", "f2", "codes"])
+            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
+            yield out
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sign, "doc_id long, n long, f1 long, f2 long, codes array<long>")
 
@@ -259,4 +257,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents; odd rows as ``near_duplicates`` says."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85)
