@@ -98,12 +98,12 @@ def signatures(docs: DataFrame, width: int, m: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, signer = Shingler(width), Signer(m, rows)
         for pdf in batches:
-            rows = []
+            signed = []
             for t in pdf["text"]:  # one text's set at a time
                 s = shingle(t)
                 sums = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, mixed(s ^ _MULTIPLY)))
-                rows.append((len(s), *sums, signer(s) if len(s) else None))
-            out = pd.DataFrame(rows, columns=["n", "f1", "f2", "codes"])
+                signed.append((len(s), *sums, signer(s) if len(s) else None))
+            out = pd.DataFrame(signed, columns=["n", "f1", "f2", "codes"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
             yield out
 
