@@ -68,15 +68,15 @@ def document_frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str
     return {w: n for w, n in found.groupBy("w").count().collect()}
 
 
-def scan(docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES, anchors: int = 3) -> DataFrame:
+def scan(docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES) -> DataFrame:
     """Licence places and labels of each text, one row per row of ``docs`` (doc_id, text), in one pass without a shuffle.
 
-    Inverse document frequencies of the licence words come from a pass over all documents. A template is entered in
-    the index under its ``anchors`` highest-idf words and under the highest-idf word of its key phrase (base phrases:
-    under their highest-idf word, which every full place holds, so none is missed). Each text's anchor words are
-    looked up; a posting and a position give a (template, start); at each, all words of the template are compared with
-    the text's words at the same relative positions. A notice counts if its key phrase stands there in full and the
-    idf-weighted share of matching words reaches its cover.
+    Inverse document frequencies of the licence words come from a pass over all documents. A text can hold a template
+    only if it holds every word of its key phrase; of each such template the text's two highest-idf words within the
+    key phrase are looked up in the index. A posting and a position give a (template, start), and the postings of the
+    two words are intersected by it: only starts on which both agree are compared, word by word at the same relative
+    positions. A notice counts if its key phrase stands there in full and the idf-weighted share of matching words
+    reaches its cover; a base phrase counts in full only. As a place holds its whole key phrase, none is missed.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest share among what
     counts, 0 without) and ``places``: array of (label, start, cover) for all that count. Null texts are empty: no
@@ -87,30 +87,35 @@ def scan(docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence[Tem
     vocabulary = sorted({w for ws in split for w in ws})
     n, df = docs.count(), document_frequencies(docs, vocabulary)
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1e-6 for w in vocabulary}
-    postings: dict[str, list[int]] = {}
-    for i, (t, ws) in enumerate(zip(templates, split, strict=True)):
-        rare = sorted(range(len(ws)), key=lambda k: -idf[ws[k]])
-        key = t.key.split()
-        first = next(k for k in range(len(ws)) if ws[k : k + len(key)] == key)
-        inside = max(range(first, first + len(key)), key=lambda k: idf[ws[k]])
-        for k in {*(rare[:1] if t in base else rare[:anchors]), inside}:
-            postings.setdefault(ws[k], []).append(i * SPAN + AHEAD - k)
+    if any(len(ws) > AHEAD for ws in split):
+        raise ValueError(f"a template may have {AHEAD} words")
+    key_at = [next(k for k in range(len(ws)) if ws[k : k + len(t.key.split())] == t.key.split()) for t, ws in zip(templates, split, strict=True)]
+    rarest: dict[str, list[int]] = {}
+    second: dict[str, list[int]] = {}
+    rare_words = []
+    for i, (t, ws, first) in enumerate(zip(templates, split, key_at, strict=True)):
+        best, *others = sorted(range(first, first + len(t.key.split())), key=lambda k: -idf[ws[k]])
+        other = others[0] if others else best
+        rarest.setdefault(ws[best], []).append(i * SPAN + AHEAD - best)
+        second.setdefault(ws[other], []).append(i * SPAN + AHEAD - other)
+        rare_words.append(sorted({ws[best], ws[other]}))
     by_template = lambda make: F.array(*(make(i) for i in range(len(templates))))
     text_of = by_template(lambda i: strings(split[i]))
     weight_of = by_template(lambda i: F.array(*(F.lit(idf[w]) for w in split[i])))
-    key_at = [next(k for k in range(len(ws)) if ws[k : k + len(t.key.split())] == t.key.split()) for t, ws in zip(templates, split, strict=True)]
     key_of = by_template(lambda i: F.array(*(F.lit(key_at[i] <= k < key_at[i] + len(templates[i].key.split())) for k in range(len(split[i])))))
     info_of = by_template(
         lambda i: F.struct(
             F.lit(templates[i].label).alias("label"), F.lit(templates[i].cover).alias("least"), F.lit(i < len(base)).alias("base"), F.lit(sum(idf[w] for w in split[i])).alias("all")
         )
     )
-    lookup = F.create_map(*(x for w, codes in postings.items() for x in (F.lit(w), F.array(*(F.lit(c).cast("long") for c in codes)))))
-    anchor = strings(sorted(postings))
+    index = lambda postings: F.create_map(*(x for w, codes in postings.items() for x in (F.lit(w), F.array(*(F.lit(c).cast("long") for c in codes)))))
 
-    at = lambda w, i: F.when(F.array_contains(anchor, w), F.struct(w.alias("w"), i.cast("long").alias("i")))
+    held = lambda i: F.size(F.array_except(strings(templates[i].key.split()), "_held")) == 0
+    wanted = F.array_distinct(F.flatten(F.array(*(F.when(held(i), strings(rare_words[i])).otherwise(F.array().cast("array<string>")) for i in range(len(templates))))))
+    at = lambda w, i: F.when(F.array_contains("_wanted", w), F.struct(w.alias("w"), i.cast("long").alias("i")))
     seen = F.filter(F.transform("_words", at), lambda x: x.isNotNull())
-    codes = F.flatten(F.transform("_seen", lambda s: F.transform(F.element_at(lookup, s["w"]), lambda c: c + s["i"])))
+    none = F.array().cast("array<bigint>")
+    codes = lambda postings: F.flatten(F.transform("_seen", lambda s: F.transform(F.coalesce(F.element_at(index(postings), s["w"]), none), lambda c: c + s["i"])))
 
     def compared(code: Column) -> Column:
         t, start = F.shiftright(code, 40).cast("int") + 1, (code % SPAN - AHEAD)
@@ -133,8 +138,10 @@ def scan(docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence[Tem
     starts = F.transform("_base", lambda p: p["start"])
     return (
         docs.select("doc_id", words(F.col("text")).alias("_words"))
-        .withColumn("_seen", F.when(F.arrays_overlap("_words", anchor), seen))
-        .withColumn("_codes", F.array_distinct(codes))
+        .withColumn("_held", F.array_intersect("_words", strings(vocabulary)))
+        .withColumn("_wanted", wanted)
+        .withColumn("_seen", F.when(F.size("_wanted") > 0, seen))
+        .withColumn("_codes", F.array_intersect(codes(rarest), codes(second)))
         .withColumn("_judged", F.transform(F.transform("_codes", compared), judged))
         .withColumn("places", F.coalesce(F.filter("_judged", lambda p: p["counts"]), F.array().cast("array<struct<label:string,start:bigint,cover:double,base:boolean,counts:boolean>>")))
         .withColumn("_base", F.filter("places", lambda p: p["base"]))
