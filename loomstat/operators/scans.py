@@ -13,27 +13,44 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_p, normal_p, t_p
 from ..sources.config import ALPHA, GENOMEWIDE
+from ..sources.genotypes import MISSING_DOSAGE, Packed
 
 #: A predictor this close to the covariates (share of its variation left) can't be told from them.
 COLLINEAR, LEAST_INFORMATION = 1e-6, 1e-12
+#: A null model's table goes to every task up to this many numbers; a larger one is cut into blocks of samples, which
+#: meet groups of about GROUP variants.
+SENT, BLOCK, GROUP = 8_000_000, 4096, 1024
 
 
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
 
 
-def imputed_sums(values: DataFrame, subjects: DataFrame, on: list[str], by: list[str], xs: list[str], weights: list[str] = ()) -> DataFrame:
+def imputed_sums(values: DataFrame | Packed, subjects: DataFrame, on: list[str], by: list[str], xs: list[str], weights: list[str] = ()) -> DataFrame:
     """Sums over all subjects with missing predictor values at the predictor's mean, without making such rows.
 
     ``values`` has ``by``, ``on`` and value (null: missing); ``subjects`` has strata, ``on`` and per-subject columns.
     For x in ``xs``: S_x = sum of g * x; for w in ``weights``: W_w = sum of w * g * g; also n_obs, mu, N, SS = sum of
     (g - mu)^2 over observed values. Observed sums are partial on the map side; the rest needs totals by stratum.
+    Packed values stay packed: no dosage becomes a row.
     """
     every = [*xs, *weights]
     keys = list(dict.fromkeys(["strata", *by]))
     totals = subjects.groupBy("strata").agg(F.count(F.lit(1)).alias("N"), *(F.sum(x).alias(f"_all_{x}") for x in every))
+    seen = packed_sums(values, subjects, xs, list(weights)) if isinstance(values, Packed) else long_sums(values, subjects, on, keys, xs, list(weights))
+    out = seen.where("n_obs > 0").join(F.broadcast(totals), "strata")  # one row a stratum
+    rest = lambda x: F.col(f"_all_{x}") - F.col(f"_o_{x}")
+    return out.select(
+        *keys, "N", "n_obs", "mu", "predictor_sd", "SS",
+        *((F.col(f"_g_{x}") + F.col("mu") * rest(x)).alias(f"S_{x}") for x in xs),
+        *((F.col(f"_gg_{w}") + F.col("mu") * F.col("mu") * rest(w)).alias(f"W_{w}") for w in weights),
+    )
+
+
+def long_sums(values: DataFrame, subjects: DataFrame, on: list[str], keys: list[str], xs: list[str], weights: list[str]) -> DataFrame:
+    """Per predictor and stratum n_obs, mu, predictor_sd, SS and the sums over observed values, from rows."""
     g = F.col("value")
-    seen = (
+    return (
         values.join(subjects, on)
         .groupBy(*keys)
         .agg(
@@ -43,46 +60,63 @@ def imputed_sums(values: DataFrame, subjects: DataFrame, on: list[str], by: list
             (F.var_pop(g) * F.count(g)).alias("SS"),
             *(F.sum(g * F.col(x)).alias(f"_g_{x}") for x in xs),
             *(F.sum(g * g * F.col(w)).alias(f"_gg_{w}") for w in weights),
-            *(F.sum(F.when(g.isNotNull(), F.col(x))).alias(f"_o_{x}") for x in every),
+            *(F.sum(F.when(g.isNotNull(), F.col(x))).alias(f"_o_{x}") for x in [*xs, *weights]),
         )
-        .where("n_obs > 0")
     )
-    out = seen.join(totals, "strata")
-    rest = lambda x: F.col(f"_all_{x}") - F.col(f"_o_{x}")
-    return out.select(
-        *keys, "N", "n_obs", "mu", "predictor_sd", "SS",
-        *((F.col(f"_g_{x}") + F.col("mu") * rest(x)).alias(f"S_{x}") for x in xs),
-        *((F.col(f"_gg_{w}") + F.col("mu") * F.col("mu") * rest(w)).alias(f"W_{w}") for w in weights),
-    )
 
 
-def packed_sums(packed: DataFrame, subjects: pd.DataFrame, xs: list[str], weights: list[str] = ()) -> DataFrame:
-    """The same sums from packed dosages, one row a variant, for one stratum: no shuffle, a matrix product per batch.
+def block_products(dosages: np.ndarray, subjects: pd.DataFrame, xs: list[str], weights: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """For each stratum of ``subjects`` (strata, at: a column of ``dosages``, xs, weights) a row of sums for each variant."""
+    for stratum, rows in subjects.groupby("strata"):
+        g = dosages[:, rows["at"].to_numpy()].astype(float)
+        seen = (g != MISSING_DOSAGE) & ~np.isnan(g)
+        g = np.where(seen, g, 0.0)
+        x, w = rows[xs].to_numpy(float), rows[weights].to_numpy(float)
+        yield stratum, np.column_stack([seen.sum(1), g.sum(1), (g * g).sum(1), g @ x, (g * g) @ w, seen @ np.column_stack([x, w])])
+
+
+def packed_sums(values: Packed, subjects: DataFrame, xs: list[str], weights: list[str]) -> DataFrame:
+    """The same sums as ``long_sums`` by matrix products over packed rows.
 
-    ``subjects`` is in sample order with sample_idx; it is a null model's table, bounded by the subjects and sent once.
+    A null model's table of at most SENT numbers (counted) goes to every task, and nothing is shuffled. A larger one is
+    cut into blocks of BLOCK samples; dosages are cut alike and shuffled once, as arrays, to groups of about GROUP
+    variants by block, whose sums are added up. So neither a task nor the driver holds what grows with the subjects.
     """
-    at = subjects["sample_idx"].to_numpy()
-    X, W = subjects[xs].to_numpy(float), subjects[list(weights)].to_numpy(float)
-    sent = packed.sparkSession.sparkContext.broadcast((at, X, W))
-    schema = "variant_idx long, N long, n_obs long, mu double, predictor_sd double, SS double" + "".join(f", S_{x} double" for x in xs) + "".join(f", W_{w} double" for w in weights)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, X, W = sent.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            G = np.stack(pdf["dosage"])[:, at].astype(float)
-            G[G == -9] = np.nan
-            seen = ~np.isnan(G)
-            n = seen.sum(1)
-            mu = np.where(seen, G, 0).sum(1) / np.maximum(n, 1)
-            G = np.where(seen, G, mu[:, None])
-            ss = ((G - mu[:, None]) ** 2).sum(1)
-            out = {"variant_idx": pdf["variant_idx"], "N": len(at), "n_obs": n, "mu": mu, "predictor_sd": np.sqrt(ss / np.maximum(n - 1, 1)), "SS": ss}
-            S, V = G @ X, (G * G) @ W
-            yield pd.DataFrame({**out, **{f"S_{x}": S[:, i] for i, x in enumerate(xs)}, **{f"W_{w}": V[:, i] for i, w in enumerate(weights)}})
-
-    return packed.select("variant_idx", "dosage").mapInPandas(sums, schema)
+    sums = ["_n", "_g", "_gg", *(f"_g_{x}" for x in xs), *(f"_gg_{w}" for w in weights), *(f"_o_{x}" for x in [*xs, *weights])]
+    schema = "strata string, variant_idx long" + "".join(f", {c} double" for c in sums)
+    placed = subjects.select("strata", "IID", *dict.fromkeys([*xs, *weights])).join(values.samples, "IID").drop("IID")
+    rows = values.rows.select("variant_idx", "dosage")
+
+    def of(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        g = np.stack(pdf["dosage"])
+        parts = [pd.DataFrame(p, columns=sums).assign(strata=s, variant_idx=pdf["variant_idx"].to_numpy()) for s, p in block_products(g, table, xs, weights)]
+        return pd.concat(parts)[["strata", "variant_idx", *sums]] if parts else pd.DataFrame(columns=["strata", "variant_idx", *sums])
+
+    if subjects.count() * len(placed.columns) <= SENT:
+        sent = rows.sparkSession.sparkContext.broadcast(placed.withColumnRenamed("sample_idx", "at").toPandas())
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for i in range(0, len(pdf), 64):
+                    yield of(pdf.iloc[i : i + 64], sent.value)
+
+        out = rows.mapInPandas(whole, schema)
+    else:
+        groups = math.ceil(max(rows.count(), 1) / GROUP)
+        cuts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("dosage") / BLOCK).cast("int") - 1), lambda b: F.slice("dosage", b * BLOCK + 1, F.lit(BLOCK)))
+        slices = rows.select("variant_idx", F.posexplode(cuts).alias("block", "dosage")).withColumn("group", F.pmod(F.hash("variant_idx"), F.lit(groups)))
+        tables = placed.withColumn("block", F.floor(F.col("sample_idx") / BLOCK).cast("int")).withColumn("at", F.col("sample_idx") % BLOCK).drop("sample_idx")
+        tables = tables.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+        def part(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+            return of(pdf, table) if len(pdf) and len(table) else pd.DataFrame(columns=["strata", "variant_idx", *sums])
+
+        met = slices.groupBy("block", "group").cogroup(tables.groupBy("block", "group")).applyInPandas(part, schema)
+        out = met.groupBy("strata", "variant_idx").agg(*(F.sum(c).alias(c) for c in sums))
+    n = F.col("_n")
+    spread = F.greatest(F.col("_gg") - F.col("_g") * F.col("_g") / n, F.lit(0.0))
+    facts = {"n_obs": n.cast("long"), "mu": F.col("_g") / n, "SS": spread, "predictor_sd": F.sqrt(F.try_divide(spread, n - 1))}
+    return out.where("_n > 0").withColumns(facts).drop("_n", "_g", "_gg")
 
 
 def gram(design: DataFrame, columns: list[str], weight: Column | None = None) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
@@ -126,7 +160,7 @@ def linear_null(design: DataFrame, y: str, covariates: list[str]) -> DataFrame:
     return met.withColumn("_y", centred[k] - total([F.col("_b")[j] * F.col(f"_q{j + 1}") for j in range(k)])).drop("_m", "_t", "_b")
 
 
-def linear_scan(values: DataFrame, null: DataFrame, covariates: int, on: list[str], by: list[str]) -> DataFrame:
+def linear_scan(values: DataFrame | Packed, null: DataFrame, covariates: int, on: list[str], by: list[str]) -> DataFrame:
     """beta, SE, t, dof and P of a linear model for every predictor and stratum; null where it can't be told apart."""
     qs = [f"_q{j + 1}" for j in range(covariates)]
     sums = imputed_sums(values, null.select("strata", *[c for c in on if c != "strata"], "_y", *qs), on, by, ["_y", *qs])
@@ -152,7 +186,7 @@ def linear_statistics(sums: DataFrame, covariates: int) -> DataFrame:
     )
 
 
-def logistic_scan(values: DataFrame, null: DataFrame, columns: int, on: list[str], by: list[str]) -> DataFrame:
+def logistic_scan(values: DataFrame | Packed, null: DataFrame, columns: int, on: list[str], by: list[str]) -> DataFrame:
     """Score test: beta = U / V, SE = V^-1/2, P of U * U / V. ``null`` has _r, _w and _wq0 ... (weights times weighted-
     orthonormal design columns, the constant one included)."""
     qs = [f"_wq{j}" for j in range(columns)]
@@ -163,7 +197,7 @@ def logistic_scan(values: DataFrame, null: DataFrame, columns: int, on: list[str
     return out.withColumn("P", chi2_p(F.col("chi2"), F.lit(1.0))).drop("W__w", "S__r", *(f"S_{q}" for q in qs))
 
 
-def gallop_scan(values: DataFrame, null: DataFrame, a_inverse: dict[str, np.ndarray], on: list[str], by: list[str]) -> DataFrame:
+def gallop_scan(values: DataFrame | Packed, null: DataFrame, a_inverse: dict[str, np.ndarray], on: list[str], by: list[str]) -> DataFrame:
     """Main effect and effect on the slope of every predictor in the mixed model.
 
     Per subject ``null`` has P (_p11, _p12, _p22), q (_q1, _q2) and M (_m1_j, _m2_j); ``a_inverse`` is the inverse

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import norm_sf
-from .nulls import logistic
+from .nulls import logistic, summed
 
 #: Where the saddlepoint is sought, and how near is near enough.
 BRACKET, SADDLE_TOL, SADDLE_ROUNDS = 100.0, 1e-8, 60
@@ -61,21 +61,38 @@ def spa_logistic(g: np.ndarray, p: np.ndarray, Q: np.ndarray, score: float) -> f
     return tail_p(saddlepoint(k1, k2, score), score, k0, k2)
 
 
+#: How far the grid of an empirical generating function reaches, and its points.
+REACH, POINTS = 30.0, 4001
+
+
 class Empirical:
     """The cumulant generating function of centred residuals on a grid, read by linear interpolation, flat beyond it."""
 
-    def __init__(self, residuals: np.ndarray, reach: float = 30.0, points: int = 4001):
-        m = residuals - residuals.mean()
-        self.grid = np.linspace(-reach, reach, points)
-        k = [self._at(m, s) for s in self.grid]
-        self.k0, self.k1, self.k2 = (np.array(x) for x in zip(*k, strict=True))
-
-    @staticmethod
-    def _at(m: np.ndarray, s: float) -> tuple[float, float, float]:
-        top = (s * m).max()
-        e = np.exp(s * m - top)
-        mean = (m * e).sum() / e.sum()
-        return float(np.log(e.mean()) + top), float(mean), float((m * m * e).sum() / e.sum() - mean * mean)
+    def __init__(self, k0: np.ndarray, k1: np.ndarray, k2: np.ndarray):
+        self.grid, self.k0, self.k1, self.k2 = np.linspace(-REACH, REACH, POINTS), k0, k1, k2
+
+    @classmethod
+    def of(cls, subjects: DataFrame, residual: str) -> dict[str, tuple[float, Empirical]]:
+        """(mean residual, law) of each stratum. Sums over all subjects by partition; POINTS numbers of them are returned."""
+        facts = {r["strata"]: r for r in subjects.groupBy("strata").agg(F.count(residual).alias("n"), F.avg(residual).alias("m"), F.min(residual).alias("low"), F.max(residual).alias("high")).collect()}
+        grid = np.linspace(-REACH, REACH, POINTS)
+        top = {s: np.maximum(grid * (r["low"] - r["m"]), grid * (r["high"] - r["m"])) for s, r in facts.items()}
+        centre = {s: r["m"] for s, r in facts.items()}
+
+        def part(s: str, rows: pd.DataFrame) -> np.ndarray:
+            out = np.zeros((3, POINTS))
+            every = rows[residual].dropna().to_numpy(float) - centre[s]
+            for i in range(0, len(every), 1024):
+                m = every[i : i + 1024]
+                e = np.exp(np.outer(grid, m) - top[s][:, None])
+                out += e.sum(1), e @ m, e @ (m * m)
+            return out.ravel()
+
+        laws = {}
+        for s, v in summed(subjects.select("strata", residual), part).items():
+            zero, one, two = v.reshape(3, POINTS)
+            laws[s] = (centre[s], cls(np.log(zero / facts[s]["n"]) + top[s], one / zero, two / zero - (one / zero) ** 2))
+        return laws
 
     def p(self, g: np.ndarray, score: float) -> float:
         f = lambda table: lambda t: np.interp(t * g, self.grid, table)
@@ -155,17 +172,19 @@ def tail(scan: DataFrame, p_cutoff: float = 0.01, maf_cutoff: float = 0.05) -> D
     return scan.where(F.col("P").isNotNull() & ((F.col("P") < p_cutoff) | (F.col("MAF") <= maf_cutoff)))
 
 
-def refined(rows: DataFrame, values: DataFrame, subjects: pd.DataFrame, f: Callable[[pd.Series, np.ndarray], dict], schema: str, on: str = "predictor") -> DataFrame:
-    """Applies ``f`` (row, imputed values in the order of ``subjects``) to every tail row of one stratum.
+def refined(rows: DataFrame, values: DataFrame, subjects: DataFrame, f: Callable[[pd.Series, pd.DataFrame, np.ndarray], dict], schema: str, on: str = "predictor") -> DataFrame:
+    """Applies ``f`` (row, subject table, imputed values) to every tail row (strata, ``on``, P).
 
-    Values of a predictor meet in one group, as many as there are subjects; ``subjects`` is the null model's table.
+    ``values`` has a row for each subject and predictor, null where missing. Subjects' columns travel with the values of
+    tail predictors; a group is one predictor and stratum, with as many rows as the stratum has subjects.
     """
-    iids = subjects["IID"].tolist()
+    names = [c for c in subjects.columns if c not in ("strata", "IID")]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = dict(zip(pdf["IID"], pdf["value"], strict=True))
-        g = np.array([got.get(i, np.nan) for i in iids], float)
+        pdf = pdf.sort_values("IID", ignore_index=True)
+        g = pdf["value"].to_numpy(float)
         g = np.where(np.isnan(g), np.nanmean(g), g)
-        return pd.DataFrame([f(pdf.iloc[0], g)])
+        return pd.DataFrame([f(pdf.iloc[0], pdf[names], g)])
 
-    return values.join(rows, on).groupBy(on).applyInPandas(one, schema)
+    met = values.select("IID", on, "value").join(rows.select("strata", on, "P"), on).join(subjects, ["strata", "IID"])
+    return met.groupBy("strata", on).applyInPandas(one, schema)

@@ -290,30 +290,25 @@ def tail_of(scan: DataFrame, spark, sf_dir) -> DataFrame:
 def spa_logistic(spark, sf_dir):
     """Score P-values of the tail, and from the saddlepoint; where that has none the score's stays."""
     scan, null, d = logistic(spark, sf_dir, ["acct"])
-    people_ = null.toPandas()  # the null model's table: one row a subject
-    p, y = people_["_p"].to_numpy(), people_["_y"].to_numpy()
-    Q = people_[["_wq0", "_wq1"]].to_numpy() / people_[["_w"]].to_numpy()
 
-    def f(row: pd.Series, g: np.ndarray) -> dict:
-        spa = tails.spa_logistic(g, p, Q, float(g @ (y - p)))
+    def f(row: pd.Series, people_: pd.DataFrame, g: np.ndarray) -> dict:
+        p, Q = people_["_p"].to_numpy(), people_[["_wq0", "_wq1"]].to_numpy() / people_[["_w"]].to_numpy()
+        spa = tails.spa_logistic(g, p, Q, float(g @ (people_["_y"].to_numpy() - p)))
         return {"predictor": row["predictor"], "P_score": row["P"], "P": row["P"] if np.isnan(spa) else spa, "test": "score" if np.isnan(spa) else "spa"}
 
-    rows = tail_of(scan, spark, sf_dir).select("predictor", "P")
-    return tails.refined(rows, d, people_, f, "predictor string, P_score double, P double, test string")
+    return tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "predictor string, P_score double, P double, test string")
 
 
 @query()
 def firth_hits(spark, sf_dir):
     scan, null, d = logistic(spark, sf_dir, ["acct"])
-    people_ = null.toPandas()
-    y = people_["_y"].to_numpy()
-    Q = people_[["_wq0", "_wq1"]].to_numpy() / people_[["_w"]].to_numpy()
 
-    def f(row: pd.Series, g: np.ndarray) -> dict:
-        b, se = tails.firth(np.column_stack([g, Q]), y)
+    def f(row: pd.Series, people_: pd.DataFrame, g: np.ndarray) -> dict:
+        Q = people_[["_wq0", "_wq1"]].to_numpy() / people_[["_w"]].to_numpy()
+        b, se = tails.firth(np.column_stack([g, Q]), people_["_y"].to_numpy())
         return {"predictor": row["predictor"], "beta": float(b[0]), "SE": float(se[0]), "test": "firth"}
 
-    out = tails.refined(tail_of(scan, spark, sf_dir).select("predictor", "P"), d, people_, f, "predictor string, beta double, SE double, test string")
+    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "predictor string, beta double, SE double, test string")
     return out.withColumn("P", normal_p(F.col("beta") / F.col("SE")))
 
 
@@ -441,34 +436,34 @@ def cox_tail(spark, sf_dir):
     null = written(null, "null")
     lin = scans.linear_null(null.select("strata", "IID", F.col("_m").alias("m"), "acct"), "m", ["acct"])
     d = trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir))
-    return scans.linear_scan(d, lin, 1, ["IID"], ["predictor"]), null.toPandas(), d
+    return scans.linear_scan(d, lin, 1, ["IID"], ["predictor"]), null.select("strata", "IID", "_m", "days", "event", "acct"), d
 
 
 @query()
 def spacox(spark, sf_dir):
-    scan, people_, d = cox_tail(spark, sf_dir)
-    m = people_["_m"].to_numpy()
-    Q = np.linalg.qr(np.column_stack([np.ones(len(m)), people_["acct"]]))[0]
-    law = tails.Empirical(m)
+    scan, null, d = cox_tail(spark, sf_dir)
+    laws = tails.Empirical.of(null, "_m")
 
-    def f(row: pd.Series, g: np.ndarray) -> dict:
+    def f(row: pd.Series, people_: pd.DataFrame, g: np.ndarray) -> dict:
+        (mean, law), m = laws[row["strata"]], people_["_m"].to_numpy()
+        Q = np.linalg.qr(np.column_stack([np.ones(len(m)), people_["acct"]]))[0]
         g = g - Q @ (Q.T @ g)
-        p = law.p(g, float(g @ (m - m.mean())))
+        p = law.p(g, float(g @ (m - mean)))
         return {"predictor": row["predictor"], "P_score": row["P"], "P": row["P"] if np.isnan(p) else p, "test": "score" if np.isnan(p) else "spa"}
 
-    return tails.refined(tail_of(scan, spark, sf_dir).select("predictor", "P"), d, people_, f, "predictor string, P_score double, P double, test string")
+    return tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "predictor string, P_score double, P double, test string")
 
 
 @query()
 def cox_refit(spark, sf_dir):
-    scan, people_, d = cox_tail(spark, sf_dir)
-    t, e, a = (people_[c].to_numpy(float) for c in ("days", "event", "acct"))
+    scan, null, d = cox_tail(spark, sf_dir)
 
-    def f(row: pd.Series, g: np.ndarray) -> dict:
+    def f(row: pd.Series, people_: pd.DataFrame, g: np.ndarray) -> dict:
+        t, e, a = (people_[c].to_numpy(float) for c in ("days", "event", "acct"))
         got = tails.cox_tiers(np.column_stack([g, a]), t, e)
         return {"predictor": row["predictor"], "beta": got and got[0], "SE": got and got[1], "model_type": got and got[2], "test": "full" if got else "score"}
 
-    out = tails.refined(tail_of(scan, spark, sf_dir).select("predictor", "P"), d, people_, f, "predictor string, beta double, SE double, model_type string, test string")
+    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "predictor string, beta double, SE double, model_type string, test string")
     return out.withColumn("P", normal_p(F.col("beta") / F.col("SE")))
 
 
@@ -592,16 +587,47 @@ def association_results(spark, sf_dir):
     return results.conform(scans.thresholds(scans.without_failures(rows), ["strata"]))
 
 
-@query(f"WITH {S}, {D}, {linear_sql('cells', repr('ALL'))} {OUT}")
-def packed_linear_scan(spark, sf_dir):
-    """The genetic linear scan from packed rows: one matrix product a batch, no shuffle of dosages."""
+# ---- the same scans from packed dosages
+
+
+def packed(spark, sf_dir) -> tuple[DataFrame, genotypes.Packed, DataFrame]:
+    """(subjects, packed dosages, variants with their predictor)."""
     s = people(spark, sf_dir)
-    order = s.select("IID").orderBy("IID").toPandas().assign(sample_idx=lambda x: range(len(x)))  # the sample list
-    samples = spark.createDataFrame(order)
+    samples = genotypes.numbered(written(s.select("IID").withColumn("_at", F.monotonically_increasing_id()), "samples"), "sample_idx")
     d = trade.dosages(spark, sf_dir, s)
     variants = d.select("predictor").distinct().withColumn("variant_idx", F.xxhash64("predictor"))
-    packed = genotypes.packed(d.join(variants, "predictor").select("variant_idx", "IID", F.col("value").alias("dosage")), samples)
+    rows = genotypes.packed(d.join(variants, "predictor").select("variant_idx", "IID", F.col("value").alias("dosage")), samples)
+    return s, genotypes.Packed(written(rows, "packed"), samples), variants
+
+
+@query(f"WITH {S}, {D}, {linear_sql('cells', repr('ALL'))} {OUT}")
+def packed_linear_scan(spark, sf_dir):
+    s, values, variants = packed(spark, sf_dir)
     null = scans.linear_null(s.select("strata", "IID", "y", "acctbal"), "y", ["acctbal"])
-    table = null.toPandas().merge(order, on="IID").sort_values("sample_idx")
-    sums = scans.packed_sums(packed, table, ["_y", "_q1"]).withColumn("_yty", F.lit(float(table["_yty"].iloc[0])))
-    return shown(scans.linear_statistics(sums, 1).withColumn("strata", F.lit("ALL")).join(variants, "variant_idx"))
+    return shown(scans.linear_scan(values, null, 1, ["IID"], ["variant_idx"]).join(variants, "variant_idx"))
+
+
+@query(SQL["logistic_score"])
+def packed_logistic_scan(spark, sf_dir):
+    s, values, variants = packed(spark, sf_dir)
+    null, _ = nulls.logistic_null(s.select("strata", "IID", "big"), "big", [])
+    out = scans.logistic_scan(values, null, 1, ["IID"], ["variant_idx"]).join(variants, "variant_idx")
+    return rounded(out.select("predictor", "beta", "SE", "chi2"), 5)
+
+
+@query(COX)
+def packed_cox_scan(spark, sf_dir):
+    _, values, variants = packed(spark, sf_dir)
+    null, _ = nulls.cox_null(survival(spark, sf_dir), "days", "event", [])
+    lin = scans.linear_null(null.select("strata", "IID", F.col("_m").alias("m")), "m", [])
+    out = scans.linear_scan(values, lin, 0, ["IID"], ["variant_idx"]).join(variants, "variant_idx")
+    return rounded(out.select("predictor", "N", "beta", "SE"))
+
+
+@query(SLOPES)
+def packed_slope_scan(spark, sf_dir):
+    _, values, variants = packed(spark, sf_dir)
+    slopes = design.subject_slopes(trade.visits(spark, sf_dir), "IID", "price", "years").where("sxx > 0.01").withColumn("strata", F.lit("ALL"))
+    null = scans.linear_null(slopes.select("strata", "IID", "slope"), "slope", [])
+    out = scans.linear_scan(values, null, 0, ["IID"], ["variant_idx"]).join(variants, "variant_idx")
+    return out.select("predictor", "N", F.round("beta", 4).alias("beta"), F.round("SE", 4).alias("SE"))

@@ -37,9 +37,8 @@ class Genotypes:
         genotypes.check_counts(out.packed, out.variants, out.samples)
         return out
 
-    def values(self) -> DataFrame:
-        """(variant_idx, IID, value)."""
-        return genotypes.unpacked(self.packed, self.samples).withColumnRenamed("dosage", "value")
+    def values(self) -> genotypes.Packed:
+        return genotypes.Packed(self.packed, self.samples)
 
     def of(self, ids: list[str]) -> DataFrame:
         """(IID, ID, dosage) of named variants: only their rows are unpacked."""
@@ -62,7 +61,7 @@ class Study:
         design.require_numeric(t, columns)
         t = t.withColumn("IID", F.col(iid).cast("string"))
         if run.get("predictor_source") == "genetic":
-            t = t.join(F.broadcast(self.genotypes.samples.select("IID")), "IID", "left_semi")
+            t = t.join(self.genotypes.samples.select("IID"), "IID", "left_semi")
         t = t.select("strata", "IID", clinical.ROW, *(F.col(c).cast("double").alias(c) for c in columns))
         t = design.complete(t, "IID", columns) if one_row else clinical.present(t, ["IID", *columns])
         return written(design.large_enough(t, int(run.get("min_n"))), "frame")
@@ -82,31 +81,25 @@ class Study:
         return frame, names
 
 
-def identified(study: Study, run: Run, scan: DataFrame, subjects: DataFrame, values: DataFrame) -> DataFrame:
-    """A genetic scan with the variants' identity and statistics; variants that fail quality control go."""
-    n = subjects.groupBy("strata").agg(F.count(F.lit(1)).alias("_n"))
-    met = values.join(subjects.select("strata", "IID"), "IID").join(F.broadcast(n), "strata").withColumnRenamed("value", "dosage")
-    stats = genotypes.statistics(met, F.col("_n"), ("strata", "variant_idx", "_n"))
+def identified(study: Study, run: Run, scan: DataFrame) -> DataFrame:
+    """A genetic scan with the variants' identity and statistics, all from the scan's own sums; variants that fail
+    quality control go."""
+    maf = F.least(F.col("EAF"), 1 - F.col("EAF"))
+    stats = scan.withColumns({"EAF": F.col("mu") / 2, "predictor_mean": F.col("mu"), "missing_rate": 1 - F.col("n_obs") / F.col("N")})
+    stats = stats.withColumn("MAF", maf).withColumn("MAC", F.col("MAF") * 2 * F.col("n_obs"))
     limits = {k: float(run.defaults.get(k, d)) for k, d in (("maf_min", 0.01), ("mac_min", 20), ("missing_max", 0.05))}
-    stats = genotypes.passing(stats, **limits).select("strata", "variant_idx", "EAF", "MAF", "missing_rate", "predictor_mean", "predictor_sd")
     ids = study.genotypes.variants.select("variant_idx", "CHR", "POS", F.col("ID").alias("predictor"), F.col("ALT").alias("effect_allele"), F.col("REF").alias("other_allele"))
-    return scan.drop("predictor_sd", "mu").join(stats, ["strata", "variant_idx"]).join(ids, "variant_idx").withColumn("zscored", F.lit(False))
+    return genotypes.passing(stats, **limits).drop("MAC", "mu").join(ids, "variant_idx").withColumn("zscored", F.lit(False))
 
 
-def refine(run: Run, scan: DataFrame, values: DataFrame, subjects: DataFrame, one, schema: str) -> DataFrame:
-    """Tail rows of every stratum through ``one(subject table)(row, values)``; their results replace the scan's."""
+def refine(run: Run, scan: DataFrame, values: genotypes.Packed, subjects: DataFrame, f, schema: str) -> DataFrame:
+    """Tail rows of every stratum through ``f`` (row, subject table, values); their results replace the scan's.
+
+    Only dosages of tail variants are unpacked.
+    """
     scan = written(scan, "scan")
-    subjects = written(subjects, "subjects")
     cut = tails.tail(scan, float(run.defaults.get("spa_p_cutoff", 0.01)), float(run.defaults.get("spa_maf_cutoff", 0.05)))
-    parts = []
-    for r in subjects.select("strata").distinct().collect():  # one row a stratum
-        s = r["strata"]
-        people = subjects.where(F.col("strata") == s).toPandas()  # the null model's table
-        rows = cut.where(F.col("strata") == s).select("strata", "variant_idx", "P")
-        parts.append(tails.refined(rows, values, people, one(people), f"strata string, variant_idx long, {schema}", on="variant_idx"))
-    new = parts[0]
-    for p in parts[1:]:
-        new = new.unionByName(p)
+    new = tails.refined(cut, values.of(cut), written(subjects, "subjects"), f, f"strata string, variant_idx long, {schema}", on="variant_idx")
     names = [c for c in new.columns if c not in ("strata", "variant_idx")]
     met = scan.join(new.withColumnsRenamed({c: f"_new_{c}" for c in names}), ["strata", "variant_idx"], "left")
     return met.withColumns({c: F.coalesce(f"_new_{c}", c) for c in names}).drop(*(f"_new_{c}" for c in names))
@@ -121,7 +114,7 @@ def linear_run(study: Study, run: Run) -> DataFrame:
     frame, snps = study.conditioned(run, study.frame(run, [y, *run.covariates]))
     values, covariates = study.genotypes.values(), [*run.covariates, *snps]
     out = scans.linear_scan(values, scans.linear_null(frame, y, covariates), len(covariates), ["IID"], ["variant_idx"])
-    return identified(study, run, out.withColumns({"test": F.lit("wald"), "model_type": F.lit("linear")}), frame, values)
+    return identified(study, run, out.withColumns({"test": F.lit("wald"), "model_type": F.lit("linear")}))
 
 
 def logistic_run(study: Study, run: Run) -> DataFrame:
@@ -134,26 +127,22 @@ def logistic_run(study: Study, run: Run) -> DataFrame:
     null, _ = nulls.logistic_null(frame, y, covariates)
     values = study.genotypes.values()
     out = scans.logistic_scan(values, null, k, ["IID"], ["variant_idx"]).withColumns({"test": F.lit("score"), "model_type": F.lit("logistic")})
-    out = identified(study, run, out, frame, values)
+    out = identified(study, run, out)
     if not run.spec.get("spa", True):
         return out
 
-    def one(people: pd.DataFrame):
+    def f(row: pd.Series, people: pd.DataFrame, g: np.ndarray) -> dict:
         p, t = people["_p"].to_numpy(), people["_y"].to_numpy()
         Q = people[[f"_wq{j}" for j in range(k)]].to_numpy() / people[["_w"]].to_numpy()
+        got = spa_or_score(row, tails.spa_logistic(g, p, Q, float(g @ (t - p))))
+        got |= {"beta": None, "SE": None}
+        if got["P"] < GENOMEWIDE:
+            b, se = tails.firth(np.column_stack([g, Q]), t)
+            if np.isfinite(b[0]) and se[0] > 0:
+                got |= {"beta": float(b[0]), "SE": float(se[0]), "P": float(2 * nulls_sf(abs(b[0] / se[0]))), "test": "firth"}
+        return got
 
-        def f(row: pd.Series, g: np.ndarray) -> dict:
-            got = spa_or_score(row, tails.spa_logistic(g, p, Q, float(g @ (t - p))))
-            got |= {"beta": None, "SE": None}
-            if got["P"] < GENOMEWIDE:
-                b, se = tails.firth(np.column_stack([g, Q]), t)
-                if np.isfinite(b[0]) and se[0] > 0:
-                    got |= {"beta": float(b[0]), "SE": float(se[0]), "P": float(2 * nulls_sf(abs(b[0] / se[0]))), "test": "firth"}
-            return got
-
-        return f
-
-    return refine(run, out, values, null, one, "P double, test string, beta double, SE double")
+    return refine(run, out, values, null, f, "P double, test string, beta double, SE double")
 
 
 def nulls_sf(z: float) -> float:
@@ -173,26 +162,22 @@ def cox_run(study: Study, run: Run) -> DataFrame:
     out = scans.linear_scan(values, lin, len(covariates), ["IID"], ["variant_idx"])
     events = frame.groupBy("strata").agg(F.sum(e).cast("long").alias("n_events"))
     out = out.join(F.broadcast(events), "strata").withColumns({"test": F.lit("score"), "model_type": F.lit("cox")})
-    out = identified(study, run, out, frame, values)
+    out = identified(study, run, out)
     if not run.spec.get("spa", True):
         return out
 
-    def one(people: pd.DataFrame):
-        m = people["_m"].to_numpy()
-        X = people[covariates].to_numpy(float)
-        Q = np.linalg.qr(np.column_stack([np.ones(len(m)), X]))[0]
-        law, days, event = tails.Empirical(m), people[t].to_numpy(float), people[e].to_numpy(float)
-
-        def f(row: pd.Series, g: np.ndarray) -> dict:
-            rest = g - Q @ (Q.T @ g)
-            got = spa_or_score(row, law.p(rest, float(rest @ (m - m.mean())))) | {"beta": None, "SE": None, "model_type": None}
-            if got["P"] < GENOMEWIDE and (fit := tails.cox_tiers(np.column_stack([g, X]), days, event)):
-                got |= {"beta": fit[0], "SE": fit[1], "model_type": fit[2], "P": 2 * nulls_sf(abs(fit[0] / fit[1])), "test": "full"}
-            return got
+    laws = tails.Empirical.of(null, "_m")
 
-        return f
+    def f(row: pd.Series, people: pd.DataFrame, g: np.ndarray) -> dict:
+        (mean, law), m, X = laws[row["strata"]], people["_m"].to_numpy(), people[covariates].to_numpy(float)
+        Q = np.linalg.qr(np.column_stack([np.ones(len(m)), X]))[0]
+        rest = g - Q @ (Q.T @ g)
+        got = spa_or_score(row, law.p(rest, float(rest @ (m - mean)))) | {"beta": None, "SE": None, "model_type": None}
+        if got["P"] < GENOMEWIDE and (fit := tails.cox_tiers(np.column_stack([g, X]), people[t].to_numpy(float), people[e].to_numpy(float))):
+            got |= {"beta": fit[0], "SE": fit[1], "model_type": fit[2], "P": 2 * nulls_sf(abs(fit[0] / fit[1])), "test": "full"}
+        return got
 
-    return refine(run, out, values, null, one, "P double, test string, beta double, SE double, model_type string")
+    return refine(run, out, values, null.select("strata", "IID", "_m", *dict.fromkeys([t, e, *covariates])), f, "P double, test string, beta double, SE double, model_type string")
 
 
 def visits_of(study: Study, run: Run) -> tuple[DataFrame, str, str]:
@@ -211,8 +196,8 @@ def slope_run(study: Study, run: Run) -> DataFrame:
     values = study.genotypes.values()
     out = scans.linear_scan(values, scans.linear_null(frame, "slope", run.covariates), len(run.covariates), ["IID"], ["variant_idx"])
     n = frame.groupBy("strata").agg(F.sum("n_visits").alias("n_obs"))
-    out = out.drop("n_obs").join(F.broadcast(n), "strata").withColumns({"test": F.lit("wald"), "model_type": F.lit("slope"), **{f"{a}_SNPxTIME": F.col(a) for a in ("beta", "SE", "P")}})
-    return identified(study, run, out, frame, values)
+    out = out.withColumns({"test": F.lit("wald"), "model_type": F.lit("slope"), **{f"{a}_SNPxTIME": F.col(a) for a in ("beta", "SE", "P")}})
+    return identified(study, run, out).drop("n_obs").join(F.broadcast(n), "strata")  # one row a stratum
 
 
 def mixed_fit(study: Study, run: Run):
@@ -230,9 +215,9 @@ def gallop_run(study: Study, run: Run) -> DataFrame:
     out = scans.gallop_scan(values, null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["variant_idx"])
     term = "SNP" if str(run.spec.get("report_term", "SNPxTIME")).upper() == "SNP" else "SNPxTIME"
     n = visits.groupBy("strata").agg(F.count(F.lit(1)).alias("n_obs"))
-    out = out.drop("n_obs").join(F.broadcast(n), "strata").withColumns({a: F.col(f"{a}_{term}") for a in ("beta", "SE", "P")})
+    out = out.withColumns({a: F.col(f"{a}_{term}") for a in ("beta", "SE", "P")})
     out = out.withColumns({"test": F.lit("wald"), "model_type": F.element_at(names, F.col("strata"))})
-    return identified(study, run, out, null, values)
+    return identified(study, run, out).drop("n_obs").join(F.broadcast(n), "strata")  # one row a stratum
 
 
 def trajgwas_run(study: Study, run: Run) -> DataFrame:
@@ -258,25 +243,23 @@ def trajgwas_run(study: Study, run: Run) -> DataFrame:
     shown = {"MEAN": ("beta_mean", "SE_mean", "P_mean"), "VAR": ("tau_var", "SE_var", "P_var")}.get(term)
     picked = {a: F.col(c) for a, c in zip(("beta", "SE", "P"), shown, strict=True)} if shown else {"beta": none, "SE": none, "P": F.col("P_joint")}
     out = out.withColumns({**picked, "test": F.lit("wald"), "model_type": F.element_at(names, F.col("strata"))})
-    out = identified(study, run, out.drop("beta_SNP", "SE_SNP", "P_SNP", "beta_SNPxTIME", "SE_SNPxTIME", "P_SNPxTIME"), null, values)
+    out = identified(study, run, out.drop("beta_SNP", "SE_SNP", "P_SNP", "beta_SNPxTIME", "SE_SNPxTIME", "P_SNPxTIME"))
     if not run.spec.get("spa", True):
         return out
 
-    def one(people: pd.DataFrame):
-        v = people["excess"].to_numpy(float)
-        v = v - v.mean()
-        Q = np.linalg.qr(np.column_stack([np.ones(len(v)), people[run.covariates].to_numpy(float)]))[0]
-        law = tails.Empirical(v)
-
-        def f(row: pd.Series, g: np.ndarray) -> dict:
-            rest = g - Q @ (Q.T @ g)
-            p = law.p(rest, float(rest @ v))
-            new = None if np.isnan(p) else p
-            return {"strata": row["strata"], "variant_idx": row["variant_idx"], "P_var": new, "P": new if term == "VAR" else None, "test": "spa" if new is not None else None}
+    scaled = written(scaled, "scaled")
+    laws = tails.Empirical.of(scaled, "excess")
 
-        return f
+    def f(row: pd.Series, people: pd.DataFrame, g: np.ndarray) -> dict:
+        mean, law = laws[row["strata"]]
+        v = people["excess"].to_numpy(float) - mean
+        Q = np.linalg.qr(np.column_stack([np.ones(len(v)), people[run.covariates].to_numpy(float)]))[0]
+        rest = g - Q @ (Q.T @ g)
+        p = law.p(rest, float(rest @ v))
+        new = None if np.isnan(p) else p
+        return {"strata": row["strata"], "variant_idx": row["variant_idx"], "P_var": new, "P": new if term == "VAR" else None, "test": "spa" if new is not None else None}
 
-    return refine(run, out, values, scaled, one, "P_var double, P double, test string")
+    return refine(run, out, values, scaled.select("strata", "IID", "excess", *run.covariates), f, "P_var double, P double, test string")
 
 
 def tabular_run(study: Study, run: Run) -> DataFrame:

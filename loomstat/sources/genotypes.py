@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,25 @@ MISSING_DOSAGE, DOSAGE_STEPS = -9.0, 16384
 _PVAR = ["CHROM", "POS", "ID", "REF", "ALT"]
 
 
+@dataclass
+class Packed:
+    """Dosages with one row a variant (variant_idx, dosage: an array in sample order) and the sample list."""
+
+    rows: DataFrame
+    samples: DataFrame
+
+    def of(self, variants: DataFrame) -> DataFrame:
+        """(variant_idx, IID, value) of the variants listed: only their rows are unpacked."""
+        return unpacked(self.rows.join(variants.select("variant_idx").distinct(), "variant_idx", "left_semi"), self.samples).withColumnRenamed("dosage", "value")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """A text file's lines with their order; comment lines (##) are left out."""
     lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
     return lines.where(~F.col("value").startswith("##") & (F.trim("value") != ""))
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
+def numbered(df: DataFrame, name: str) -> DataFrame:
     """Gapless row numbers in file order: a count per partition, then a number within it."""
     part = F.shiftright("_at", 33)
     sizes = df.groupBy(part.alias("_part")).count()
@@ -36,7 +50,7 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.where(~F.col("value").startswith("#")).select(
         "_at", cell("CHROM").alias("CHR"), cell("POS").try_cast("bigint").alias("POS"), cell("ID").alias("ID"), cell("REF").alias("REF"), cell("ALT").alias("ALT")
     )
-    return _numbered(rows, "variant_idx")
+    return numbered(rows, "variant_idx")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +60,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     names = head["value"].lstrip("#").split("\t")
     at = names.index("IID") if "IID" in names else 0
     rows = lines.where(F.col("_at") != head["_at"]).select("_at", F.split("value", "\t")[at].alias("IID"))
-    return _numbered(rows, "sample_idx")
+    return numbered(rows, "sample_idx")
 
 
 def check_counts(packed: DataFrame, variants: DataFrame, samples: DataFrame) -> None:
@@ -61,12 +75,12 @@ def unpacked(packed: DataFrame, samples: DataFrame) -> DataFrame:
     """Long form (variant_idx, IID, dosage) of rows with a dosage array in sample order; the missing mark is null."""
     long = packed.select("variant_idx", F.posexplode("dosage").alias("sample_idx", "dosage"))
     value = F.when((F.col("dosage") != MISSING_DOSAGE) & ~F.isnan("dosage"), F.col("dosage").cast("double"))
-    return long.withColumn("dosage", value).join(F.broadcast(samples), "sample_idx").select("variant_idx", "IID", "dosage")
+    return long.withColumn("dosage", value).join(samples, "sample_idx").select("variant_idx", "IID", "dosage")
 
 
 def packed(long: DataFrame, samples: DataFrame) -> DataFrame:
     """Packed form of long dosages: an array of floats in sample order for each variant, missing ones marked."""
-    cells = long.join(F.broadcast(samples), "IID").groupBy("variant_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", F.coalesce("dosage", F.lit(MISSING_DOSAGE)).alias("d")))).alias("c"))
+    cells = long.join(samples, "IID").groupBy("variant_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", F.coalesce("dosage", F.lit(MISSING_DOSAGE)).alias("d")))).alias("c"))
     return cells.select("variant_idx", F.transform("c", lambda x: x["d"].cast("float")).alias("dosage"))
 
 
@@ -97,5 +111,6 @@ def passing(stats: DataFrame, maf_min: float = 0.01, mac_min: float = 20, missin
 
 
 def mean_imputed(long: DataFrame, by: tuple[str, ...] = ("variant_idx",)) -> DataFrame:
-    """Missing dosages become the variant's mean."""
-    return long.withColumn("dosage", F.coalesce("dosage", F.avg("dosage").over(Window.partitionBy(*by))))
+    """Missing dosages become the variant's mean: grouped sums with a map-side part, met again by a join."""
+    means = long.groupBy(*by).agg(F.avg("dosage").alias("_mean"))
+    return long.join(means, list(by)).withColumn("dosage", F.coalesce("dosage", "_mean")).drop("_mean")

@@ -136,6 +136,28 @@ def test_logistic_scan_and_tails(spark, data):
     assert 5 < bf[0] < 10 and np.isfinite(se).all()  # separated, yet finite
 
 
+def test_packed_scans_equal_long_ones(spark, data, monkeypatch):
+    people, values = frames(spark, data)
+    both = people.unionByName(people.where("IID > 's2'").withColumn("strata", F.lit("some")))
+    n, m = data["n"], data["m"]
+    iids = [f"s{i}" for i in range(n)]
+    samples = spark.createDataFrame([*enumerate(iids), (n, "nobody")], "sample_idx long, IID string")
+    rows = [(j, [-9.0 if np.isnan(x) else float(x) for x in data["G"][:, j]] + [1.0]) for j in range(m)]
+    rows.append((m, [-9.0] * (n + 1)))
+    packed = genotypes.Packed(spark.createDataFrame(rows, "variant_idx long, dosage array<float>"), samples)
+    null, _ = nulls.logistic_null(both, "case", ["age", "pc"])
+    expected = {(r["strata"], r["predictor"]): r for r in scans.logistic_scan(values, null, 3, ["IID"], ["predictor"]).collect()}
+    for sent in (scans.SENT, 0):
+        monkeypatch.setattr(scans, "SENT", sent)
+        monkeypatch.setattr(scans, "BLOCK", 64)
+        monkeypatch.setattr(scans, "GROUP", 2)
+        got = {(r["strata"], r["variant_idx"]): r for r in scans.logistic_scan(packed, null, 3, ["IID"], ["variant_idx"]).collect()}
+        assert set(got) == {(s, j) for s, j in expected}
+        for key, r in got.items():
+            for c in ("N", "n_obs", "mu", "predictor_sd", "beta", "SE", "P"):
+                assert r[c] == pytest.approx(expected[key][c], rel=1e-5), (key, c)
+
+
 def test_cox(spark, data):
     people, values = frames(spark, data)
     null, b = nulls.cox_null(people, "t", "event", ["age"])
@@ -145,7 +167,11 @@ def test_cox(spark, data):
     got = tails.cox_tiers(np.column_stack([data["clean"][:, 2], data["age"]]), data["t"], data["event"])
     assert got[2] == "cox" and abs(got[0] - 0.9) < 4 * got[1]
     m = np.array([r["_m"] for r in null.collect()])
-    law = tails.Empirical(m)
+    mean, law = tails.Empirical.of(null, "_m")["ALL"]
+    assert mean == pytest.approx(m.mean(), abs=1e-12)
+    for s in (-30.0, -0.015, 1.5):  # points of the grid
+        e = np.exp(s * (m - mean) - (top := (s * (m - mean)).max()))
+        assert law.k0[round((s + 30) / 0.015)] == pytest.approx(math.log(e.mean()) + top) and law.k1[round((s + 30) / 0.015)] == pytest.approx((e * (m - mean)).sum() / e.sum())
     rng = np.random.default_rng(0)
     g = rng.normal(size=len(m))
     score = 2.5 * np.sqrt((g * g).sum() * m.var())
