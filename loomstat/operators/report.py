@@ -114,10 +114,28 @@ def markdown(df: DataFrame, formats: dict[str, str] | None = None) -> str:
     return "\n".join([*lines, *("| " + " | ".join(show(c, r[c]) for c in df.columns) + " |" for r in df.collect())])
 
 
+def calibration(results: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """lambda and rows by run and source: each stratum, and the fixed (FE) and random (RE) effects of ``meta``."""
+    out = lambda_gc(results.withColumn("source", F.col("stratum")), ["run", "source"])
+    for source in ("FE", "RE") if meta is not None else ():
+        out = out.unionByName(lambda_gc(meta.withColumn("source", F.lit(source)), ["run", "source"], p=f"P_{source}"))
+    return out
+
+
+def united_hits(results: DataFrame, meta: DataFrame | None = None, limit: int = TOP_HITS) -> DataFrame:
+    """Genome-wide hits of all strata and of the fixed effects: of each run and predictor the smallest P and its source."""
+    rows = results.select("run", "predictor", F.col("stratum").alias("source"), "beta", "SE", "P")
+    if meta is not None:
+        rows = rows.unionByName(meta.select("run", "predictor", F.lit("FE").alias("source"), F.col("beta_FE").alias("beta"), F.col("SE_FE").alias("SE"), F.col("P_FE").alias("P")))
+    hits = rows.where(F.col("P") < GENOMEWIDE).groupBy("run", "predictor").agg(F.min(F.struct("P", "source", "beta", "SE")).alias("_best"))
+    return hits.select("run", "predictor", "_best.*").orderBy("P", "run", "predictor").limit(limit)
+
+
 def summary(results: DataFrame, meta: DataFrame | None = None) -> str:
-    """The Markdown report: coverage, calibration by allele frequency, hits."""
-    parts = ["# Results", "", "## Coverage", "", markdown(coverage(results, ["run"]).orderBy("run")), "", "## Calibration", ""]
+    """The Markdown report: coverage, calibration by source and by allele frequency, hits."""
+    three = {"lambda": ".3f"}
     primary = meta.withColumnRenamed("P_FE", "P") if meta is not None else results
-    parts += [markdown(lambda_by_band(primary, ["run"]).orderBy("run", "band"), {"lambda": ".3f"}), "", "## Hits", ""]
-    columns = ["run", "stratum", "predictor", "beta", "SE", "P"]
-    return "\n".join([*parts, markdown(top_hits(results, ["run", "predictor"]).select(*columns), {"beta": "+.3g", "SE": ".3g", "P": ".2e"}), ""])
+    parts = ["# Results", "", "## Coverage", "", markdown(coverage(results, ["run"]).orderBy("run")), "", "## Calibration", ""]
+    parts += [markdown(calibration(results, meta).orderBy("run", "source"), three), "", markdown(lambda_by_band(primary, ["run"]).orderBy("run", "band"), three), "", "## Hits", ""]
+    columns = ["run", "source", "predictor", "beta", "SE", "P"]
+    return "\n".join([*parts, markdown(united_hits(results, meta).select(*columns), {"beta": "+.3g", "SE": ".3g", "P": ".2e"}), ""])

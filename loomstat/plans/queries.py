@@ -277,11 +277,6 @@ def logistic_score(spark, sf_dir):
     return rounded(logistic(spark, sf_dir, [])[0].select("predictor", "beta", "SE", "chi2"), 5)
 
 
-@query()
-def logistic_score_covariates(spark, sf_dir):
-    return logistic(spark, sf_dir, ["acct"])[0].select("predictor", "N", "n_obs", "beta", "SE", "chi2", "P")
-
-
 def tail_of(scan: DataFrame, spark, sf_dir) -> DataFrame:
     return tails.tail(scan.withColumn("MAF", F.least(F.col("mu") / 2, 1 - F.col("mu") / 2)), p_cutoff=0.2)
 

@@ -210,7 +210,11 @@ def mixed_fit(study: Study, run: Run):
 
 
 def gallop_run(study: Study, run: Run) -> DataFrame:
-    visits, _, _, fits, null, names = mixed_fit(study, run)
+    try:
+        visits, _, _, fits, null, names = mixed_fit(study, run)
+    except (np.linalg.LinAlgError, ArithmeticError) as e:
+        log.warning("%s: the mixed model failed (%s); slopes by subject instead", run.name, e)
+        return slope_run(study, run)
     values = study.genotypes.values()
     out = scans.gallop_scan(values, null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["variant_idx"])
     term = "SNP" if str(run.spec.get("report_term", "SNPxTIME")).upper() == "SNP" else "SNPxTIME"
@@ -338,14 +342,33 @@ def run_all(spark: SparkSession, config: Config | str, folder: str = ".", only:
 
 
 def meta_all(spark: SparkSession, folder: str, target: str, only: list[str] | None = None) -> dict[str, DataFrame]:
-    """Meta-analysis of every run with result files in ``folder``; writes META_ files."""
+    """Meta-analysis of every run with result files in ``folder``; writes META_ files. Runs without a usable file are
+    passed over."""
     files, out = results.discover(folder), {}
     os.makedirs(target, exist_ok=True)
     stamp = datetime.datetime.now().strftime("%Y%m%d_%H%M%S")
     for name in sorted({r for r, _ in files}):
         if only and name not in only:
             continue
-        rows = results.read_results(spark, {k: p for k, p in files.items() if k[0] == name})
-        out[name] = meta.meta_analysis(rows)
-        results.write_csv(out[name], os.path.join(target, f"META_{name}-{stamp}.csv"))
+        usable = results.usable(spark, {k: p for k, p in files.items() if k[0] == name})
+        if usable:
+            out[name] = meta_of(spark, usable, os.path.join(target, f"META_{name}-{stamp}.csv"))
     return out
+
+
+def meta_explicit(spark: SparkSession, paths: list[str], output: str) -> DataFrame:
+    """Meta-analysis of the files given; a file's stratum is in its name, or is its name."""
+    usable = results.usable(spark, results.named(paths))
+    if not usable:
+        raise ValueError("no file with predictor and N among the inputs")
+    os.makedirs(os.path.dirname(os.path.abspath(output)), exist_ok=True)
+    return meta_of(spark, usable, output)
+
+
+def meta_of(spark: SparkSession, paths: dict[tuple[str, str], str], output: str) -> DataFrame:
+    found = written(meta.meta_analysis(results.read_results(spark, paths)), "meta")
+    for p in ("P_FE", "P_RE"):
+        for r in report.lambda_gc(found.withColumn("strata", F.lit("all")), ["strata"], p=p).collect():
+            log.info("%s: lambda of %s %.4f over %d", os.path.basename(output), p, r["lambda"] or float("nan"), r["n"])
+    results.write_csv(found, output)
+    return found

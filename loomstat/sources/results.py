@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import logging
 import os
 import re
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger(__name__)
+
 #: The columns of a result table, in order.
 _STRINGS = {"predictor", "CHR", "effect_allele", "other_allele", "model_type", "test", "conditioned_on", "strata"}
 _LONGS = {"POS", "N", "n_obs", "n_subjects", "n_events"}
@@ -54,6 +57,39 @@ def discover(folder: str, meta: bool = False) -> dict[tuple[str, ...], str]:
     return {k: p for k, (_, p) in sorted(found.items())}
 
 
+def named(paths: list[str]) -> dict[tuple[str, str], str]:
+    """Files given one by one under (run, stratum): by their names, or with the whole name as the stratum."""
+    found = {p: STUDY.match(os.path.basename(p)) for p in paths}
+    run = next((m["run"] for m in found.values() if m), "manual")
+    return {(run, m["stratum"] if m else os.path.splitext(os.path.basename(p))[0]): p for p, m in found.items()}
+
+
+def usable(spark: SparkSession, paths: dict[tuple[str, str], str]) -> dict[tuple[str, str], str]:
+    """The files whose header has predictor and N; others are named in a warning and passed over."""
+    out = {}
+    for key, path in paths.items():
+        if {"predictor", "N"} <= set(spark.read.csv(path, header=True).columns):
+            out[key] = path
+        else:
+            log.warning("%s lacks predictor or N", path)
+    return out
+
+
+#: Columns of a meta table that reports need, with their types.
+META_COLUMNS = "predictor string, CHR string, POS long, EAF double, N_total long, beta_FE double, SE_FE double, P_FE double, beta_RE double, SE_RE double, P_RE double"
+
+
+def read_meta(spark: SparkSession, paths: dict[tuple[str, ...], str]) -> DataFrame | None:
+    """Meta tables as one, with ``run``; None without files."""
+    out = None
+    for (run,), path in paths.items():
+        table = spark.read.csv(path, header=True, nullValue="")
+        kinds = [c.split() for c in META_COLUMNS.split(", ")]
+        one = table.select(F.lit(run).alias("run"), *((F.col(c) if c in table.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def read_results(spark: SparkSession, paths: dict[tuple[str, str], str]) -> DataFrame:
     """All files as one table, with ``run`` and ``stratum`` from the key."""
     out = None

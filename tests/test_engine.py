@@ -342,8 +342,13 @@ def test_a_whole_configuration(spark, data, tmp_path):
     folder = str(tmp_path / "results")
     metas = runner.meta_all(spark, folder, str(tmp_path / "meta"), ["lin"])
     assert metas["lin"].where("predictor = 'rs0'").first()["n_studies"] == 2 and os.listdir(tmp_path / "meta")
-    text = report.summary(results.read_results(spark, results.discover(folder)))
-    assert "## Coverage" in text and "rs0" in text
+    combined = results.read_meta(spark, results.discover(str(tmp_path / "meta"), meta=True))
+    text = report.summary(results.read_results(spark, results.discover(folder)), combined)
+    assert "## Coverage" in text and "rs0" in text and all(f"| lin | {s} |" in text for s in ("EUR", "AJ", "FE", "RE"))
+    (tmp_path / "odd.csv").write_text("a,b\n1,2\n")
+    paths = [p for (run, _), p in results.discover(folder).items() if run == "lin"]
+    again = runner.meta_explicit(spark, [*paths, str(tmp_path / "odd.csv")], str(tmp_path / "own.csv"))
+    assert again.where("predictor = 'rs0'").first()["n_studies"] == 2 and (tmp_path / "own.csv").exists()
 
 
 def test_repeated_ids_and_statistics(spark):
