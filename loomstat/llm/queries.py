@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, neardups, pieces, quality, search, sharding, tokens, toxicity, vectors
+from . import clustering, licences, merges, mixing, neardups, negatives, pieces, quality, search, sharding, tokens, toxicity, vectors
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licence_scan": licences.op8,
         "op9_itq_neardups": vectors.op9,
         "op10_token_counts": tokens.op10,
+        "op11_ns_clusters": clustering.op11,
+        "op12_hard_negatives": negatives.op12,
+        "op13_pair_index_bpe": merges.op13,
         "pipeline": pipeline,
     }
 
@@ -37,4 +40,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_source_mix": mixing.SQL,
         "op8_licence_scan": licences.sql(),
         "op9_itq_neardups": vectors.SQL_NEAR,
+        "op11_ns_clusters": clustering.sql(),
+        "op12_hard_negatives": negatives.SQL,
     }
