@@ -18,7 +18,7 @@ ROWS, ANCHORS = 4096, 512
 #: Components that the curve runs through (those that vary most) and bits of each.
 AXES, BITS = 8, 7
 #: Blocks under a node of the zone maps' tree, as a power of two.
-FAN = 4
+FAN = 6
 #: Blocks that the first pass reads for each anchor block, how many times more each later pass does, anchor blocks of a task.
 FIRST, WIDER, TOGETHER = 4, 8, 8
 
@@ -109,33 +109,43 @@ def in_blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
 
 
 def zone_tree(blocks: DataFrame) -> list[DataFrame]:
-    """Zone maps (node, parent, first and last label, lo, hi) of the blocks, of runs of them, and so on up to one root; the root's first."""
-    last = blocks.agg(F.max("block")).first()[0]
-    up = blocks.select(F.col("block").alias("node"), F.col("label").alias("first"), F.col("label").alias("last"), "lo", "hi")
-    levels = []
-    while last is not None:
-        levels.append(common.written(up.withColumn("parent", F.shiftright("node", FAN)), "zone-maps"))
-        if last == 0:
-            break
+    """Levels of zone maps (node, parent, first and last label, lo, hi), the widest first: runs of blocks, at last the blocks.
+
+    Blocks are numbered along the curve without gaps (their ids are partition and place in it); the parents of the
+    first level are one root.
+    """
+    ids = blocks.select("block", F.shiftright("block", 24).alias("part"))
+    sizes = ids.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    at = ids.join(starts, "part").select("block", (F.col("start") + F.col("block").bitwiseAND(F.lit((1 << 24) - 1))).alias("at"))
+    up = blocks.select("block", F.col("label").alias("first"), F.col("label").alias("last"), "lo", "hi").join(at, "block").withColumnRenamed("block", "node")
+    levels, last = [], blocks.count() - 1
+    while True:
+        levels.append(common.written(up.withColumn("parent", F.shiftright("at", FAN)), "zone-maps"))
         last >>= FAN
+        if last <= 0:
+            return levels[::-1]
         under = levels[-1]
         some = under.groupBy("parent").agg(F.min("first").alias("first"), F.max("last").alias("last"))
         box = under.select("parent", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "z")).groupBy("parent", "i").agg(F.min("z.lo").alias("l"), F.max("z.hi").alias("u"))
         box = box.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("i", "l", "u"))).alias("b"))  # a row for each component
-        up = some.join(box, "parent").select(F.col("parent").alias("node"), "first", "last", F.col("b.l").alias("lo"), F.col("b.u").alias("hi"))
-    return levels[::-1]
+        up = some.join(box, "parent").select(F.col("parent").alias("node"), F.col("parent").alias("at"), "first", "last", F.col("b.l").alias("lo"), F.col("b.u").alias("hi"))
+
+
+def product_range(*boxes: str):
+    """Columns low and high: between what the inner product of a vector in one box and one in another must lie."""
 
+    @F.pandas_udf("low double, high double")
+    def bound(alo: pd.Series, ahi: pd.Series, blo: pd.Series, bhi: pd.Series) -> pd.DataFrame:
+        if not len(alo):
+            return pd.DataFrame({"low": [], "high": []}, dtype=float)
+        a, A, b, B = (np.stack(s).astype(float) for s in (alo, ahi, blo, bhi))
+        corners = np.stack([a * b, a * B, A * b, A * B])
+        slack = 1e-9 * np.abs(corners).max(0).sum(1) + 1e-6
+        return pd.DataFrame({"low": corners.min(0).sum(1) - slack, "high": corners.max(0).sum(1) + slack})
 
-@F.pandas_udf("low double, high double")
-def product_range(alo: pd.Series, ahi: pd.Series, blo: pd.Series, bhi: pd.Series) -> pd.DataFrame:
-    """Between what the inner product of a vector in one box and one in another must lie."""
-    if not len(alo):
-        return pd.DataFrame({"low": [], "high": []}, dtype=float)
-    a, A, b, B = (np.stack(s).astype(float) for s in (alo, ahi, blo, bhi))
-    corners = np.stack([a * b, a * B, A * b, A * B])
-    low, high = corners.min(0).sum(1), corners.max(0).sum(1)
-    slack = 1e-9 * np.abs(corners).max(0).sum(1) + 1e-6
-    return pd.DataFrame({"low": low - slack, "high": high + slack})
+    return bound(*boxes)
 
 
 def chosen(asking: DataFrame, levels: list[DataFrame], alike: bool) -> DataFrame:
@@ -262,8 +272,8 @@ def best_of(asking: DataFrame, pairs: DataFrame, blocks: DataFrame, d: int, k: i
         now = common.written(now.join(deals, "block").withColumn("deal", F.pmod(F.xxhash64("ab"), "deals")).drop("deals"), "negative-pass")
         none = F.array().cast("array<struct<slot:bigint,pos:bigint,score:bigint>>")
         left = now.join(asking.select("ab", "width", "ids", "X", "windows"), "ab").join(kth.select("ab", "full"), "ab", "left").withColumn("full", F.coalesce("full", none))
-        right = now.select("block", "deal").distinct().join(blocks, "block")
-        found = left.groupBy("block", "deal").cogroup(right.groupBy("block", "deal")).applyInPandas(search, FOUND)
+        right = now.select(F.col("block").alias("_block"), F.col("deal").alias("_deal")).distinct().join(blocks, F.col("_block") == F.col("block")).drop("block")
+        found = left.groupBy("block", "deal").cogroup(right.groupBy("_block", "_deal")).applyInPandas(search, FOUND)
         place = F.row_number().over(Window.partitionBy("ab", "slot", "pos").orderBy(F.desc("score"), "vec_id"))
         best = common.written(best.unionByName(found).withColumn("_p", place).where(F.col("_p") <= k).drop("_p"), "negative-best")
         low, high = high, high * WIDER
@@ -325,9 +335,12 @@ def hard_negatives(vectors: DataFrame, positives: int = 5, negatives: int = 3, l
     return met.select("anchor_id", "positive_id", "rank", "negative_id", F.col("p").alias("positive_score"), "negative_score")
 
 
-@F.pandas_udf("array<long>")
-def unpacked(ids: pd.Series) -> pd.Series:
-    return pd.Series([np.frombuffer(i, np.int64) for i in ids])
+def unpacked(ids: str):
+    @F.pandas_udf("array<long>")
+    def numbers(packed_ids: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(i, np.int64) for i in packed_ids], dtype=object)
+
+    return numbers(ids)
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,6 +365,6 @@ p AS (
 SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
-QUALIFY row_number() OVER w <= 3
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 3
 """
