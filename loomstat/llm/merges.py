@@ -21,6 +21,8 @@ from .tokens import library
 CHUNK, REMEMBERED = 4_000_000, 300_000
 #: Longer pre-tokens are not remembered.
 SHORT = 64
+#: A pair's key: its left symbol, moved up by so many bits, and its right one.
+SYMBOL = 24
 
 
 class PairIndex:
@@ -33,7 +35,7 @@ class PairIndex:
     wait until that one is applied, so every pre-token goes through the same merges as alone.
     """
 
-    def __init__(self, ranks: dict[tuple[int, int], int], parts: list[tuple[int, int, int]], words: list[list[int]]):
+    def __init__(self, ranks: dict[int, int], parts: list[tuple[int, int, int]], words: list[list[int]]):
         self.ranks, self.parts = ranks, parts
         self.symbols = [s for w in words for s in w]
         self.starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(int).tolist()
@@ -42,50 +44,56 @@ class PairIndex:
         for a, b in zip(self.starts, self.starts[1:], strict=False):
             if b > a:
                 self.before[a] = self.next[b - 1] = -1
+        # all pairs of neighbours at once, also those across two pre-tokens, which are left out below
+        flat = np.array(self.symbols, np.int64)
         self.places: dict[int, list[int]] = {}
-        get = ranks.get
-        for p, (s, q) in enumerate(zip(self.symbols, self.next, strict=True)):
-            if q >= 0 and (r := get((s, self.symbols[q]))) is not None:
-                self.places.setdefault(r, []).append(p)
+        places, follows = self.places, self.next
+        for p, r in enumerate(map(ranks.get, ((flat[:-1] << SYMBOL) | flat[1:]).tolist())):
+            if r is not None and follows[p] >= 0:
+                if r in places:
+                    places[r].append(p)
+                else:
+                    places[r] = [p]
         self.active = list(self.places)
         heapify(self.active)
 
-    def add(self, p: int, q: int) -> int | None:
-        """Lists the pair of the symbols at ``p`` and ``q``, if it has a rank, and gives that."""
-        r = self.ranks.get((self.symbols[p], self.symbols[q]))
-        if r is not None:
-            at = self.places.get(r)
-            if at is None:
-                self.places[r] = [p]
-                heappush(self.active, r)
-            else:
-                at.append(p)
-        return r
-
     def apply(self, rank: int) -> None:
         left, right, whole = self.parts[rank]
-        symbols, nexts, befores = self.symbols, self.next, self.before
+        symbols, nexts, befores, places, get = self.symbols, self.next, self.before, self.places, self.ranks.get
         waiting: set[int] = set()
-        for p in sorted(self.places.pop(rank)):
+        at = places.pop(rank)
+        at.sort()
+        for p in at:
             q = nexts[p]
             if symbols[p] != left or q < 0 or symbols[q] != right:
                 continue  # an earlier merge took one of them
             if waiting and bisect_right(self.starts, p) in waiting:
-                self.add(p, q)
+                self.listed(rank, p)
                 continue
             after, prior = nexts[q], befores[p]
             symbols[p], symbols[q] = whole, -1
             nexts[p] = after
-            lower = False
             if after >= 0:
                 befores[after] = p
-                new = self.add(p, after)
-                lower = new is not None and new < rank
+                new = get((whole << SYMBOL) | symbols[after])
+                if new is not None:
+                    self.listed(new, p)
+                    if new < rank:
+                        waiting.add(bisect_right(self.starts, p))
             if prior >= 0:
-                new = self.add(prior, p)
-                lower = lower or new is not None and new < rank
-            if lower:
-                waiting.add(bisect_right(self.starts, p))
+                new = get((symbols[prior] << SYMBOL) | whole)
+                if new is not None:
+                    self.listed(new, prior)
+                    if new < rank:
+                        waiting.add(bisect_right(self.starts, p))
+
+    def listed(self, rank: int, p: int) -> None:
+        at = self.places.get(rank)
+        if at is None:
+            self.places[rank] = [p]
+            heappush(self.active, rank)
+        else:
+            at.append(p)
 
     def merged(self) -> list[list[int]]:
         """All pre-tokens' tokens, after every merge that can be made."""
@@ -107,7 +115,7 @@ class Facts:
         self.suffix = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.parts = [(self.vocabulary[a], self.vocabulary[b], self.vocabulary[a + b]) for a, b in pairs]
-        self.ranks = {(a, b): r for r, (a, b, _) in reversed(list(enumerate(self.parts)))}
+        self.ranks = {(a << SYMBOL) | b: r for r, (a, b, _) in reversed(list(enumerate(self.parts)))}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.odd = bytearray(0x110000)

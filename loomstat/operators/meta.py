@@ -107,16 +107,34 @@ def by_stratum(rows: DataFrame, strata: list[str], key: tuple[str, ...] = ("pred
     return rows.groupBy(*key).agg(*(at(s, c).alias(f"{n}_{s}") for s in strata for n, c in values.items()))
 
 
-def meta_analysis(results: DataFrame, key: tuple[str, ...] = ("predictor",)) -> DataFrame:
+def placed(results: DataFrame) -> DataFrame:
+    """Adds ``_place``: empty, but for ids that stand on several rows of a stratum, which are told apart by it.
+
+    Such rows of different strata meet where position and pair of alleles (in either order) agree, and, if these repeat
+    too, by their number in the order of effect allele and effect. So two variants with one id are never one study more
+    of each other.
+    """
+    many = results.groupBy("predictor", "stratum").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("predictor").distinct()
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in results.columns else F.lit("")
+    alleles = F.array_join(F.array_sort(F.array(F.upper(text("effect_allele")), F.upper(text("other_allele")))), "/")
+    at = F.concat_ws(":", text("CHR"), text("POS"), alleles)
+    order = [c for c in ("effect_allele", "beta", "SE", "P") if c in results.columns]
+    number = F.row_number().over(Window.partitionBy("stratum", "predictor", "_at").orderBy(*order))
+    repeated = results.join(many, "predictor", "left_semi").withColumn("_at", at).withColumn("_place", F.concat_ws("#", "_at", number)).drop("_at")
+    return results.join(many, "predictor", "left_anti").withColumn("_place", F.lit("")).unionByName(repeated)
+
+
+def meta_analysis(results: DataFrame) -> DataFrame:
     """The whole table for one run: ``results`` has predictor, stratum, alleles, EAF, N and the effect columns.
 
-    ``key`` may add CHR and POS, so that a repeated variant id stays two rows.
+    A row for each predictor; for an id that repeats within a stratum a row for each of its variants (see ``placed``).
     """
     strata = sorted(r["stratum"] for r in results.select("stratum").distinct().collect())  # one row a stratum
+    key = ("predictor", "_place")
     beta, se, p = effect_axis(results, strata[0])
-    rows = harmonised(results.withColumns({"beta": F.col(beta), "SE": F.col(se), "P": F.col(p)}), key)
-    there = [c for c in ("CHR", "POS", "model_type") if c in rows.columns and c not in key]
+    rows = harmonised(placed(results).withColumns({"beta": F.col(beta), "SE": F.col(se), "P": F.col(p)}), key)
+    there = [c for c in ("CHR", "POS", "model_type") if c in rows.columns]
     out = combined(rows, key).join(strand_flags(rows, key), list(key)).join(by_stratum(rows, strata, key), list(key))
     if there:
         out = out.join(rows.groupBy(*key).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("stratum"))).alias(c) for c in there)), list(key))
-    return with_p(out)
+    return with_p(out.drop("_place"))

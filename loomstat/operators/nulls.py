@@ -95,6 +95,34 @@ def logistic_null(design: DataFrame, y: str, covariates: list[str], rounds: int
     return out, coefficients
 
 
+#: Deaths whose terms stand in memory at once.
+TIED = 1_000_000
+
+
+def efron(d: np.ndarray, all_: list[np.ndarray], dead: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What risk sets take from the score, and the information, by Efron's rule for ties, of many event times at once.
+
+    At a time with ``d`` deaths the m-th of them faces the risk set's sums (of r, r x and r x x') less m / d of the
+    deaths' own. All these terms are linear or quadratic in m / d, so five sums of inverse powers a time are enough:
+    no term has a vector of its own.
+    """
+    (c0, c1, c2), (d0, d1, d2) = all_, dead
+    d = d.astype(np.int64)
+    A = np.zeros((5, len(d)))
+    ends = np.cumsum(d)
+    for start in range(0, int(ends[-1]) if len(d) else 0, TIED):
+        at = np.arange(start, min(start + TIED, int(ends[-1])))
+        time = np.searchsorted(ends, at, side="right")
+        f = (at - (ends[time] - d[time])) / d[time]
+        s = 1 / (c0[time] - f * d0[time])
+        A += np.stack([np.bincount(time, x, len(d)) for x in (s, f * s, s * s, f * s * s, f * f * s * s)])
+    one, f1, sq, f_sq, f2_sq = A
+    u = one @ c1 - f1 @ d1
+    cross = np.einsum("n,ni,nj->ij", f_sq, c1, d1)
+    outer = np.einsum("n,ni,nj->ij", sq, c1, c1) - cross - cross.T + np.einsum("n,ni,nj->ij", f2_sq, d1, d1)
+    return u, np.tensordot(one, c2, 1) - np.tensordot(f1, d2, 1) - outer
+
+
 def cox_null(design: DataFrame, duration: str, event: str, covariates: list[str], rounds: int = 50) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """(subjects with _m, the martingale residual, and _events by stratum; coefficients).
 
@@ -127,20 +155,17 @@ def cox_null(design: DataFrame, duration: str, event: str, covariates: list[str]
         return running(times, ["strata"], [F.desc("_t")], "_t", {f"_s_{n}": f"_c_{n}" for n in columns}, descending=True)
 
     def step(s: str, rows: pd.DataFrame) -> np.ndarray:
-        u, info = np.zeros(k), np.zeros((k, k))
-        for _, r in rows[rows["_d"] > 0].iterrows():
-            d = int(r["_d"])
-            u += np.array([r[f"_x{i}"] for i in range(k)])
-            for m in range(d):
-                f = m / d
-                s0 = r["_c_r"] - f * r["_d_r"]
-                s1 = np.array([r[f"_c_r{i}"] - f * r[f"_d_r{i}"] for i in range(k)])
-                s2 = np.zeros((k, k))
-                for i, j in pairs:
-                    s2[i, j] = s2[j, i] = r[f"_c_r{i}_{j}"] - f * r[f"_d_r{i}_{j}"]
-                u -= s1 / s0
-                info += s2 / s0 - np.outer(s1, s1) / s0**2
-        return np.concatenate([u, info.ravel()])
+        rows = rows[rows["_d"] > 0]
+        column = lambda c: rows[c].to_numpy(float)
+
+        def sums(kind: str) -> list[np.ndarray]:
+            two = np.empty((len(rows), k, k))
+            for i, j in pairs:
+                two[:, i, j] = two[:, j, i] = column(f"{kind}_r{i}_{j}")
+            return [column(f"{kind}_r"), np.stack([column(f"{kind}_r{i}") for i in range(k)], 1), two]
+
+        u, info = efron(column("_d"), sums("_c"), sums("_d"))
+        return np.concatenate([np.stack([column(f"_x{i}").sum() for i in range(k)]) - u, info.ravel()])
 
     for _ in range(rounds if k else 0):
         largest = 0.0
@@ -249,6 +274,8 @@ class Round:
     def of(cls, v: np.ndarray, D: np.ndarray, s2: float, p: int, n: float, subjects: float) -> Round:
         shapes = [(p, p), (p,), (), (), (2, 2), (2, 2, p), (2, p, 2, p), (), (p,), (p, p), (), (), (2, 2), (2, 2, 2, 2), (2, 2)]
         at = np.cumsum([0, *(int(np.prod(x)) for x in shapes)])
+        if not np.isfinite(v).all():
+            raise ArithmeticError("sums that are not finite")
         A, b, yy, determinant, uu, um, mm, yy2, xy2, xx2, t1, t2, P, PP, Z2 = (v[i:j].reshape(x) for i, j, x in zip(at, at[1:], shapes, strict=False))
         inverse = np.linalg.inv(A)
         a = inverse @ b
@@ -269,7 +296,7 @@ class Round:
         return cls(a, inverse, -float(determinant + yy - b @ a) / 2, (D + part * move, max(float(s2 + part * step[3]), 1e-8)), em)
 
 
-def fit_mixed(products: DataFrame, p: int, rounds: int = 500, tol: float = 1e-5) -> dict[str, Mixed]:
+def fit_mixed(products: DataFrame, p: int, rounds: int = 500, tol: float = 1e-5, failed: dict[str, str] | None = None) -> dict[str, Mixed]:
     """Maximum likelihood for every stratum at once; each round is one pass over subjects' products, one vector a task.
 
     Starts: least squares for the fixed effects; per subject a ridge (1e-6) fit of the residuals on [1, t] gives D, as
@@ -277,7 +304,20 @@ def fit_mixed(products: DataFrame, p: int, rounds: int = 500, tol: float = 1e-5)
     A round solves the fixed effects at the current components and moves D and the error variance by Fisher scoring,
     or, where that lowered the likelihood, by an EM step, which never does. It ends when no component moves by ``tol``
     times the larger of itself and one. So a fit takes some ten passes where EM alone takes hundreds.
+
+    A stratum whose fit fails numerically is an error, or, with ``failed``, is left out and stands there with the reason.
     """
+    lost: dict[str, str] = {} if failed is None else failed
+
+    def tried(s: str, f: Callable, *args):
+        try:
+            return f(*args)
+        except (np.linalg.LinAlgError, ArithmeticError) as e:
+            if failed is None:
+                raise
+            lost[s] = str(e)
+            return None
+
     first = summed(products, lambda s, r: (lambda q: np.concatenate([q.xx.sum(0).ravel(), q.xy.sum(0), [q.yy.sum(), q.n.sum(), len(r)]]))(Products(r, p)))
     alpha = {s: np.linalg.lstsq(v[: p * p].reshape(p, p), v[p * p : p * p + p], rcond=None)[0] for s, v in first.items()}
     size = {s: (v[-2], v[-1]) for s, v in first.items()}
@@ -305,9 +345,12 @@ def fit_mixed(products: DataFrame, p: int, rounds: int = 500, tol: float = 1e-5)
 
     before: dict[str, Round] = {}
     for _ in range(rounds):
-        active = products.where(~F.col("strata").isin(list(done))) if done else products
+        over = [*done, *lost]
+        active = products.where(~F.col("strata").isin(over)) if over else products
         for s, v in summed(active, sums).items():
-            now, was = Round.of(v, D[s], s2[s], p, *size[s]), before.pop(s, None)
+            now, was = tried(s, Round.of, v, D[s], s2[s], p, *size[s]), before.pop(s, None)
+            if now is None:
+                continue
             if was is not None and now.likelihood < was.likelihood - 1e-9 * abs(was.likelihood):
                 D[s], s2[s] = was.em
                 continue
@@ -317,10 +360,11 @@ def fit_mixed(products: DataFrame, p: int, rounds: int = 500, tol: float = 1e-5)
             new = np.append(D[s].ravel(), s2[s])
             if (np.abs(new - old) < tol * np.maximum(1, np.abs(old).max())).all():
                 done.add(s)
-        if len(done) == len(D):
+        if len(done) + len(lost) == len(D):
             break
-    final = {s: Round.of(v, D[s], s2[s], p, *size[s]) for s, v in summed(products, sums).items()}
-    return {s: Mixed(f.alpha, D[s], s2[s], s in done, took[s], f.a_inverse) for s, f in final.items()}
+    kept = products.where(~F.col("strata").isin(list(lost))) if lost else products
+    final = {s: tried(s, Round.of, v, D[s], s2[s], p, *size[s]) for s, v in summed(kept, sums).items()}
+    return {s: Mixed(f.alpha, D[s], s2[s], s in done, took[s], f.a_inverse) for s, f in final.items() if f is not None}
 
 
 def gallop_null(products: DataFrame, fits: dict[str, Mixed], p: int) -> DataFrame:

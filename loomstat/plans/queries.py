@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.special import normal_p
 from ..operators import design, meta, nulls, report, scans, tails
-from ..sources import genotypes, results
+from ..sources import binary, genotypes, results
 from . import trade
-from .stages import written
+from .stages import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,25 +287,25 @@ def spa_logistic(spark, sf_dir):
     """Score P-values of the tail, and from the saddlepoint; where that has none the score's stays."""
     scan, null, d = logistic(spark, sf_dir, ["acct"])
 
-    def f(row: pd.Series, people_: pd.DataFrame, g: np.ndarray) -> dict:
+    def f(rows: pd.DataFrame, people_: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
         p, Q = people_["_p"].to_numpy(), people_[["_wq0", "_wq1"]].to_numpy() / people_[["_w"]].to_numpy()
-        spa = tails.spa_logistic(g, p, Q, float(g @ (people_["_y"].to_numpy() - p)))
-        return {"predictor": row["predictor"], "P_score": row["P"], "P": row["P"] if np.isnan(spa) else spa, "test": "score" if np.isnan(spa) else "spa"}
+        return tails.spa_or_score(rows, tails.logistic_ps(G, p, Q, G @ (people_["_y"].to_numpy() - p))).assign(P_score=rows["P"])
 
-    return tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "predictor string, P_score double, P double, test string")
+    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "P_score double, P double, test string")
+    return out.select("predictor", "P_score", "P", "test")
 
 
 @query()
 def firth_hits(spark, sf_dir):
     scan, null, d = logistic(spark, sf_dir, ["acct"])
 
-    def f(row: pd.Series, people_: pd.DataFrame, g: np.ndarray) -> dict:
+    def f(rows: pd.DataFrame, people_: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
         Q = people_[["_wq0", "_wq1"]].to_numpy() / people_[["_w"]].to_numpy()
-        b, se = tails.firth(np.column_stack([g, Q]), people_["_y"].to_numpy())
-        return {"predictor": row["predictor"], "beta": float(b[0]), "SE": float(se[0]), "test": "firth"}
+        fits = [tails.firth(np.column_stack([g, Q]), people_["_y"].to_numpy()) for g in G]
+        return pd.DataFrame({"beta": [b[0] for b, _ in fits], "SE": [se[0] for _, se in fits], "test": "firth"})
 
-    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "predictor string, beta double, SE double, test string")
-    return out.withColumn("P", normal_p(F.col("beta") / F.col("SE")))
+    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "beta double, SE double, test string")
+    return out.select("predictor", "beta", "SE", "test", normal_p(F.col("beta") / F.col("SE")).alias("P"))
 
 
 # ---- repeated measures
@@ -439,27 +440,27 @@ def spacox(spark, sf_dir):
     scan, null, d = cox_tail(spark, sf_dir)
     laws = tails.Empirical.of(null, "_m")
 
-    def f(row: pd.Series, people_: pd.DataFrame, g: np.ndarray) -> dict:
-        (mean, law), m = laws[row["strata"]], people_["_m"].to_numpy()
+    def f(rows: pd.DataFrame, people_: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
+        (mean, law), m = laws[rows["strata"].iloc[0]], people_["_m"].to_numpy()
         Q = np.linalg.qr(np.column_stack([np.ones(len(m)), people_["acct"]]))[0]
-        g = g - Q @ (Q.T @ g)
-        p = law.p(g, float(g @ (m - mean)))
-        return {"predictor": row["predictor"], "P_score": row["P"], "P": row["P"] if np.isnan(p) else p, "test": "score" if np.isnan(p) else "spa"}
+        R = G - (G @ Q) @ Q.T
+        return tails.spa_or_score(rows, law.ps(R, R @ (m - mean))).assign(P_score=rows["P"])
 
-    return tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "predictor string, P_score double, P double, test string")
+    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "P_score double, P double, test string")
+    return out.select("predictor", "P_score", "P", "test")
 
 
 @query()
 def cox_refit(spark, sf_dir):
     scan, null, d = cox_tail(spark, sf_dir)
 
-    def f(row: pd.Series, people_: pd.DataFrame, g: np.ndarray) -> dict:
+    def f(rows: pd.DataFrame, people_: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
         t, e, a = (people_[c].to_numpy(float) for c in ("days", "event", "acct"))
-        got = tails.cox_tiers(np.column_stack([g, a]), t, e)
-        return {"predictor": row["predictor"], "beta": got and got[0], "SE": got and got[1], "model_type": got and got[2], "test": "full" if got else "score"}
+        fits = [tails.cox_tiers(np.column_stack([g, a]), t, e) or (None, None, None) for g in G]
+        return pd.DataFrame(fits, columns=["beta", "SE", "model_type"]).assign(test=["full" if x[2] else "score" for x in fits])
 
-    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "predictor string, beta double, SE double, model_type string, test string")
-    return out.withColumn("P", normal_p(F.col("beta") / F.col("SE")))
+    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "beta double, SE double, model_type string, test string")
+    return out.select("predictor", "beta", "SE", "model_type", "test", normal_p(F.col("beta") / F.col("SE")).alias("P"))
 
 
 # ---- meta-analysis
@@ -529,6 +530,17 @@ def meta_strand_flags(spark, sf_dir):
     return f.select("predictor", "palindromic", "allele_mismatch", F.round("EAF", 6).alias("EAF"), "strand_flag")
 
 
+@query(f"""{STUDIES},
+both AS (SELECT predictor, 1 AS v, stratum, beta, se, n, ea, ref FROM hm UNION ALL SELECT 'Brand#11', 2, stratum, -beta, 2 * se, n, ea, ref FROM hm WHERE predictor = 'Brand#12')
+SELECT predictor, count(*) AS n_studies, sum(n)::BIGINT AS "N_total", round(sum(CASE WHEN ea <> ref THEN -beta ELSE beta END / (se * se)) / sum(1 / (se * se)), 3) AS "beta_FE" FROM both GROUP BY predictor, v""")
+def meta_repeated_ids(spark, sf_dir):
+    """One variant more under an id that another has: two rows, each with its own studies."""
+    s = studies(spark, sf_dir).withColumns({"CHR": F.lit("1"), "POS": F.lit(1).cast("long")})
+    more = s.where("predictor = 'Brand#12'").withColumns({"predictor": F.lit("Brand#11"), "POS": F.lit(2).cast("long"), "beta": -F.col("beta"), "SE": 2 * F.col("SE")})
+    m = meta.meta_analysis(s.unionByName(more))
+    return m.select("predictor", "n_studies", "N_total", F.round("beta_FE", 3).alias("beta_FE"))
+
+
 @query()
 def meta_table(spark, sf_dir):
     """The whole table with P-values, identities and per-stratum columns."""
@@ -602,6 +614,20 @@ def packed_linear_scan(spark, sf_dir):
     return shown(scans.linear_scan(values, null, 1, ["IID"], ["variant_idx"]).join(variants, "variant_idx"))
 
 
+@query(SQL["packed_linear_scan"])
+def binary_dosage_scan(spark, sf_dir):
+    """The same scan from binary files: packed dosages are written by tasks in the binary format and read by its source."""
+    s, values, variants = packed(spark, sf_dir)
+    number = genotypes.numbered(values.rows.select("variant_idx").withColumn("_at", F.monotonically_increasing_id()), "_k")
+    folder = f"{shared_dir(spark)}/binary-{uuid.uuid4().hex}"
+    renamed = values.rows.join(number, "variant_idx").select(F.col("_k").alias("variant_idx"), "dosage")
+    binary.write_dosages(renamed, folder, values.samples.count(), per_file=8)
+    rows = binary.read_dosages(spark, folder, step=4)
+    null = scans.linear_null(s.select("strata", "IID", "y", "acctbal"), "y", ["acctbal"])
+    out = scans.linear_scan(genotypes.Packed(rows, values.samples), null, 1, ["IID"], ["variant_idx"])
+    return shown(out.withColumnRenamed("variant_idx", "_k").join(number, "_k").join(variants, "variant_idx"))
+
+
 @query(SQL["logistic_score"])
 def packed_logistic_scan(spark, sf_dir):
     s, values, variants = packed(spark, sf_dir)

@@ -9,12 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_p, normal_p
+from ..functions.special import chi2_p, norm_sf, normal_p
 from ..operators import design, meta, nulls, report, scans, tails
-from ..sources import clinical, genotypes, results
+from ..sources import binary, clinical, genotypes, results
 from ..sources.config import GENOMEWIDE, Config, Run, load
 from .stages import written
 
@@ -32,10 +32,17 @@ class Genotypes:
 
     @classmethod
     def read(cls, spark: SparkSession, prefix: str) -> Genotypes:
-        """``prefix``.pvar, .psam and .dosage.parquet (variant_idx, dosage in sample order)."""
-        out = cls(genotypes.read_variants(spark, f"{prefix}.pvar"), genotypes.read_samples(spark, f"{prefix}.psam"), spark.read.parquet(f"{prefix}.dosage.parquet"))
-        genotypes.check_counts(out.packed, out.variants, out.samples)
-        return out
+        """``prefix``.pvar, .psam and dosages: ``prefix``.dosage.parquet (variant_idx, dosage in sample order) if there is one,
+        else ``prefix``.pgen, a binary file or a folder of them."""
+        variants, samples = genotypes.read_variants(spark, f"{prefix}.pvar"), genotypes.read_samples(spark, f"{prefix}.psam")
+        if genotypes.exists(spark, f"{prefix}.dosage.parquet"):
+            out = cls(variants, samples, spark.read.parquet(f"{prefix}.dosage.parquet"))
+            genotypes.check_counts(out.packed, out.variants, out.samples)
+            return out
+        stored, listed = binary.counts(f"{prefix}.pgen"), (variants.count(), samples.count())
+        if stored != listed:
+            raise ValueError(f"{prefix}.pgen has {stored[0]} variants of {stored[1]} samples; lists: {listed[0]} variants, {listed[1]} samples")
+        return cls(variants, samples, binary.read_dosages(spark, f"{prefix}.pgen"))
 
     def values(self) -> genotypes.Packed:
         return genotypes.Packed(self.packed, self.samples)
@@ -92,23 +99,17 @@ def identified(study: Study, run: Run, scan: DataFrame) -> DataFrame:
     return genotypes.passing(stats, **limits).drop("MAC", "mu").join(ids, "variant_idx").withColumn("zscored", F.lit(False))
 
 
-def refine(run: Run, scan: DataFrame, values: genotypes.Packed, subjects: DataFrame, f, schema: str) -> DataFrame:
-    """Tail rows of every stratum through ``f`` (row, subject table, values); their results replace the scan's.
-
-    Only dosages of tail variants are unpacked.
-    """
+def refine(run: Run, scan: DataFrame, values: genotypes.Packed, subjects: DataFrame, f, schema: str, p: str = "P") -> DataFrame:
+    """Tail rows of every stratum (by column ``p``) through ``f`` (tail rows, subject table, values); their results replace
+    the scan's. Values stay packed, as ``tails.refined`` says."""
     scan = written(scan, "scan")
-    cut = tails.tail(scan, float(run.defaults.get("spa_p_cutoff", 0.01)), float(run.defaults.get("spa_maf_cutoff", 0.05)))
-    new = tails.refined(cut, values.of(cut), written(subjects, "subjects"), f, f"strata string, variant_idx long, {schema}", on="variant_idx")
+    cut = tails.tail(scan, float(run.defaults.get("spa_p_cutoff", 0.01)), float(run.defaults.get("spa_maf_cutoff", 0.05)), p)
+    new = tails.refined(cut, values, written(subjects, "subjects"), f, schema, on="variant_idx")
     names = [c for c in new.columns if c not in ("strata", "variant_idx")]
     met = scan.join(new.withColumnsRenamed({c: f"_new_{c}" for c in names}), ["strata", "variant_idx"], "left")
     return met.withColumns({c: F.coalesce(f"_new_{c}", c) for c in names}).drop(*(f"_new_{c}" for c in names))
 
 
-def spa_or_score(row: pd.Series, p: float) -> dict:
-    return {"strata": row["strata"], "variant_idx": row["variant_idx"], "P": row["P"] if np.isnan(p) else p, "test": "score" if np.isnan(p) else "spa"}
-
-
 def linear_run(study: Study, run: Run) -> DataFrame:
     y = run.spec["outcome"]
     frame, snps = study.conditioned(run, study.frame(run, [y, *run.covariates]))
@@ -131,26 +132,19 @@ def logistic_run(study: Study, run: Run) -> DataFrame:
     if not run.spec.get("spa", True):
         return out
 
-    def f(row: pd.Series, people: pd.DataFrame, g: np.ndarray) -> dict:
+    def f(rows: pd.DataFrame, people: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
         p, t = people["_p"].to_numpy(), people["_y"].to_numpy()
         Q = people[[f"_wq{j}" for j in range(k)]].to_numpy() / people[["_w"]].to_numpy()
-        got = spa_or_score(row, tails.spa_logistic(g, p, Q, float(g @ (t - p))))
-        got |= {"beta": None, "SE": None}
-        if got["P"] < GENOMEWIDE:
-            b, se = tails.firth(np.column_stack([g, Q]), t)
+        out = tails.spa_or_score(rows, tails.logistic_ps(G, p, Q, G @ (t - p))).assign(beta=np.nan, SE=np.nan)
+        for i in np.flatnonzero(out["P"] < GENOMEWIDE):
+            b, se = tails.firth(np.column_stack([G[i], Q]), t)
             if np.isfinite(b[0]) and se[0] > 0:
-                got |= {"beta": float(b[0]), "SE": float(se[0]), "P": float(2 * nulls_sf(abs(b[0] / se[0]))), "test": "firth"}
-        return got
+                out.loc[i, ["beta", "SE", "P", "test"]] = b[0], se[0], 2 * float(norm_sf(abs(b[0] / se[0]))), "firth"
+        return out
 
     return refine(run, out, values, null, f, "P double, test string, beta double, SE double")
 
 
-def nulls_sf(z: float) -> float:
-    from ..functions.special import norm_sf
-
-    return float(norm_sf(z))
-
-
 def cox_run(study: Study, run: Run) -> DataFrame:
     t, e = run.spec["duration_col"], run.spec["event_col"]
     frame, snps = study.conditioned(run, study.frame(run, [t, e, *run.covariates]))
@@ -168,14 +162,15 @@ def cox_run(study: Study, run: Run) -> DataFrame:
 
     laws = tails.Empirical.of(null, "_m")
 
-    def f(row: pd.Series, people: pd.DataFrame, g: np.ndarray) -> dict:
-        (mean, law), m, X = laws[row["strata"]], people["_m"].to_numpy(), people[covariates].to_numpy(float)
+    def f(rows: pd.DataFrame, people: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
+        (mean, law), m, X = laws[rows["strata"].iloc[0]], people["_m"].to_numpy(), people[covariates].to_numpy(float)
         Q = np.linalg.qr(np.column_stack([np.ones(len(m)), X]))[0]
-        rest = g - Q @ (Q.T @ g)
-        got = spa_or_score(row, law.p(rest, float(rest @ (m - mean)))) | {"beta": None, "SE": None, "model_type": None}
-        if got["P"] < GENOMEWIDE and (fit := tails.cox_tiers(np.column_stack([g, X]), people[t].to_numpy(float), people[e].to_numpy(float))):
-            got |= {"beta": fit[0], "SE": fit[1], "model_type": fit[2], "P": 2 * nulls_sf(abs(fit[0] / fit[1])), "test": "full"}
-        return got
+        R = G - (G @ Q) @ Q.T
+        out = tails.spa_or_score(rows, law.ps(R, R @ (m - mean))).assign(beta=np.nan, SE=np.nan, model_type=None)
+        for i in np.flatnonzero(out["P"] < GENOMEWIDE):
+            if fit := tails.cox_tiers(np.column_stack([G[i], X]), people[t].to_numpy(float), people[e].to_numpy(float)):
+                out.loc[i, ["beta", "SE", "model_type", "P", "test"]] = fit[0], fit[1], fit[2], 2 * float(norm_sf(abs(fit[0] / fit[1]))), "full"
+        return out
 
     return refine(run, out, values, null.select("strata", "IID", "_m", *dict.fromkeys([t, e, *covariates])), f, "P double, test string, beta double, SE double, model_type string")
 
@@ -187,8 +182,11 @@ def visits_of(study: Study, run: Run) -> tuple[DataFrame, str, str]:
     return study.frame(run, [y, t, *run.covariates], one_row=False), y, t
 
 
-def slope_run(study: Study, run: Run) -> DataFrame:
+def slope_run(study: Study, run: Run, strata: list[str] | None = None) -> DataFrame:
+    """Each subject's slope, then a linear scan of the slopes; of some strata only, if given."""
     visits, y, t = visits_of(study, run)
+    if strata is not None:
+        visits = visits.where(F.col("strata").isin(strata))
     slopes = design.subject_slopes(visits, "IID", y, t, ("strata",))
     at = F.struct(F.col(t), F.col(clinical.ROW))
     first = visits.groupBy("strata", "IID").agg(F.lit(1).alias("_one"), *(F.min_by(c, at).alias(c) for c in run.covariates)).drop("_one")
@@ -200,45 +198,77 @@ def slope_run(study: Study, run: Run) -> DataFrame:
     return identified(study, run, out).drop("n_obs").join(F.broadcast(n), "strata")  # one row a stratum
 
 
-def mixed_fit(study: Study, run: Run):
-    visits, y, t = visits_of(study, run)
-    products = written(nulls.subject_products(visits, y, t, run.covariates, ["strata", "IID"]), "products")
-    fits = nulls.fit_mixed(products, len(run.covariates) + 2)
-    null = nulls.gallop_null(products, fits, len(run.covariates) + 2)
-    names = F.create_map(*(x for s, f in fits.items() for x in (F.lit(s), F.lit(run.model if f.converged else f"{run.model}_unconverged"))))
-    return visits, y, t, fits, null, names
+@dataclass
+class MixedFit:
+    """The null models of a run: those that were fitted, and the strata whose fit failed."""
+
+    visits: DataFrame
+    y: str
+    t: str
+    fits: dict[str, nulls.Mixed]
+    failed: dict[str, str]
+    null: DataFrame | None = None
+    names: Column | None = None
+
+    @classmethod
+    def of(cls, study: Study, run: Run) -> MixedFit:
+        visits, y, t = visits_of(study, run)
+        p, failed = len(run.covariates) + 2, {}
+        products = written(nulls.subject_products(visits, y, t, run.covariates, ["strata", "IID"]), "products")
+        fits = nulls.fit_mixed(products, p, failed=failed)
+        for s, why in failed.items():
+            log.warning("%s %s: the mixed model failed (%s); slopes by subject instead", run.name, s, why)
+        out = cls(visits.where(F.col("strata").isin(list(fits))), y, t, fits, failed)
+        if fits:
+            out.null = written(nulls.gallop_null(products.where(F.col("strata").isin(list(fits))), fits, p), "null")
+            names = {s: run.model if f.converged else f"{run.model}_unconverged" for s, f in fits.items()}
+            out.names = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("strata"))
+        return out
+
+    def scan(self, values: genotypes.Packed) -> DataFrame:
+        """Main effects and effects on the slope; written, as what follows uses each of these columns many times."""
+        return written(scans.gallop_scan(values, self.null, {s: f.a_inverse for s, f in self.fits.items()}, ["IID"], ["variant_idx"]), "scan")
+
+
+def with_slopes(study: Study, run: Run, fit: MixedFit, scan) -> DataFrame:
+    """``scan`` for the strata with a mixed model, the two-stage slope for those whose fit failed."""
+    parts = ([scan(fit)] if fit.fits else []) + ([slope_run(study, run, list(fit.failed))] if fit.failed else [])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def gallop_run(study: Study, run: Run) -> DataFrame:
-    try:
-        visits, _, _, fits, null, names = mixed_fit(study, run)
-    except (np.linalg.LinAlgError, ArithmeticError) as e:
-        log.warning("%s: the mixed model failed (%s); slopes by subject instead", run.name, e)
-        return slope_run(study, run)
-    values = study.genotypes.values()
-    out = scans.gallop_scan(values, null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["variant_idx"])
-    term = "SNP" if str(run.spec.get("report_term", "SNPxTIME")).upper() == "SNP" else "SNPxTIME"
-    n = visits.groupBy("strata").agg(F.count(F.lit(1)).alias("n_obs"))
-    out = out.withColumns({a: F.col(f"{a}_{term}") for a in ("beta", "SE", "P")})
-    out = out.withColumns({"test": F.lit("wald"), "model_type": F.element_at(names, F.col("strata"))})
-    return identified(study, run, out).drop("n_obs").join(F.broadcast(n), "strata")  # one row a stratum
+    def scan(fit: MixedFit) -> DataFrame:
+        out = fit.scan(study.genotypes.values())
+        term = "SNP" if str(run.spec.get("report_term", "SNPxTIME")).upper() == "SNP" else "SNPxTIME"
+        n = fit.visits.groupBy("strata").agg(F.count(F.lit(1)).alias("n_obs"))
+        out = out.withColumns({a: F.col(f"{a}_{term}") for a in ("beta", "SE", "P")})
+        out = out.withColumns({"test": F.lit("wald"), "model_type": fit.names})
+        return identified(study, run, out).drop("n_obs").join(F.broadcast(n), "strata")  # one row a stratum
+
+    return with_slopes(study, run, MixedFit.of(study, run), scan)
 
 
 def trajgwas_run(study: Study, run: Run) -> DataFrame:
+    return with_slopes(study, run, MixedFit.of(study, run), lambda fit: trajgwas_scan(study, run, fit))
+
+
+def trajgwas_scan(study: Study, run: Run, fit: MixedFit) -> DataFrame:
+    """The mean axis from the mixed model, the variance axis from a scan of scaled excess dispersion, both together; tails
+    of the variance axis are cut on its own P."""
     from .queries import dispersion
 
-    visits, y, t, fits, null, names = mixed_fit(study, run)
+    visits, y, t, fits, null = fit.visits, fit.y, fit.t, fit.fits, fit.null
     values = study.genotypes.values()
-    out = scans.gallop_scan(values, null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["variant_idx"])
+    out = fit.scan(values)
     alpha = F.element_at(F.create_map(*(x for s, f in fits.items() for x in (F.lit(s), F.array(*map(F.lit, map(float, f.alpha)))))), F.col("strata"))
     k = len(run.covariates)
-    fit = alpha[0] + sum((alpha[i + 1] * F.col(c) for i, c in enumerate(run.covariates)), F.lit(0.0)) + (alpha[k + 1] + F.col("_b1")) * F.col(t) + F.col("_b0")
-    excess = dispersion(visits.join(null.select("strata", "IID", "_b0", "_b1"), ["strata", "IID"]), F.col(y) - fit, t)
+    line = alpha[0] + sum((alpha[i + 1] * F.col(c) for i, c in enumerate(run.covariates)), F.lit(0.0)) + (alpha[k + 1] + F.col("_b1")) * F.col(t) + F.col("_b0")
+    excess = dispersion(visits.join(null.select("strata", "IID", "_b0", "_b1"), ["strata", "IID"]), F.col(y) - line, t)
     at = F.struct(F.col(t), F.col(clinical.ROW))
     first = visits.groupBy("strata", "IID").agg(F.lit(1).alias("_one"), *(F.min_by(c, at).alias(c) for c in run.covariates)).drop("_one")
-    scaled = excess.withColumn("tau", F.col("excess") / F.sqrt(2.0 * F.col("n"))).join(first, ["strata", "IID"])
+    scaled = written(excess.withColumn("tau", F.col("excess") / F.sqrt(2.0 * F.col("n"))).join(first, ["strata", "IID"]), "scaled")
     tau = scans.linear_scan(values, scans.linear_null(scaled, "tau", run.covariates), k, ["IID"], ["variant_idx"])
-    tau = tau.select("strata", "variant_idx", F.col("beta").alias("tau_var"), F.col("SE").alias("SE_var"), F.col("t").alias("_t"), normal_p(F.col("t")).alias("P_var"))
+    tau = written(tau, "scan").select("strata", "variant_idx", F.col("beta").alias("tau_var"), F.col("SE").alias("SE_var"), F.col("t").alias("_t"), normal_p(F.col("t")).alias("P_var"))
     out = out.join(tau, ["strata", "variant_idx"]).withColumns({f"{a}_mean": F.col(f"{a}_SNP") for a in ("beta", "SE", "P")})
     z = F.try_divide(F.col("beta_mean"), F.col("SE_mean"))
     out = out.withColumn("P_joint", chi2_p(z * z + F.col("_t") * F.col("_t"), F.lit(2.0)))
@@ -246,24 +276,23 @@ def trajgwas_run(study: Study, run: Run) -> DataFrame:
     none = F.lit(None).cast("double")
     shown = {"MEAN": ("beta_mean", "SE_mean", "P_mean"), "VAR": ("tau_var", "SE_var", "P_var")}.get(term)
     picked = {a: F.col(c) for a, c in zip(("beta", "SE", "P"), shown, strict=True)} if shown else {"beta": none, "SE": none, "P": F.col("P_joint")}
-    out = out.withColumns({**picked, "test": F.lit("wald"), "model_type": F.element_at(names, F.col("strata"))})
-    out = identified(study, run, out.drop("beta_SNP", "SE_SNP", "P_SNP", "beta_SNPxTIME", "SE_SNPxTIME", "P_SNPxTIME"))
+    out = out.withColumns({**picked, "test": F.lit("score"), "model_type": fit.names})
+    n = visits.groupBy("strata").agg(F.count(F.lit(1)).alias("n_obs"))
+    out = identified(study, run, out.drop("beta_SNP", "SE_SNP", "P_SNP", "beta_SNPxTIME", "SE_SNPxTIME", "P_SNPxTIME")).drop("n_obs").join(F.broadcast(n), "strata")  # one row a stratum
     if not run.spec.get("spa", True):
         return out
 
-    scaled = written(scaled, "scaled")
     laws = tails.Empirical.of(scaled, "excess")
 
-    def f(row: pd.Series, people: pd.DataFrame, g: np.ndarray) -> dict:
-        mean, law = laws[row["strata"]]
+    def f(rows: pd.DataFrame, people: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
+        mean, law = laws[rows["strata"].iloc[0]]
         v = people["excess"].to_numpy(float) - mean
         Q = np.linalg.qr(np.column_stack([np.ones(len(v)), people[run.covariates].to_numpy(float)]))[0]
-        rest = g - Q @ (Q.T @ g)
-        p = law.p(rest, float(rest @ v))
-        new = None if np.isnan(p) else p
-        return {"strata": row["strata"], "variant_idx": row["variant_idx"], "P_var": new, "P": new if term == "VAR" else None, "test": "spa" if new is not None else None}
+        R = G - (G @ Q) @ Q.T
+        p = law.ps(R, R @ v)
+        return pd.DataFrame({"P_var": p, "P": p if term == "VAR" else np.nan, "test": np.where(np.isnan(p), None, "spa")})
 
-    return refine(run, out, values, scaled.select("strata", "IID", "excess", *run.covariates), f, "P_var double, P double, test string")
+    return refine(run, out, values, scaled.select("strata", "IID", "excess", *run.covariates), f, "P_var double, P double, test string", "P_var")
 
 
 def tabular_run(study: Study, run: Run) -> DataFrame:
@@ -307,6 +336,8 @@ def result(study: Study, run: Run) -> DataFrame | None:
         log.warning("%s: condition_snps has no effect on this model", run.name)
     conditioned = "" if ignored else ",".join(run.spec.get("condition_snps") or [])
     scan = scan.withColumns({"conditioned_on": F.lit(conditioned), "n_subjects": F.col("N")})
+    # written, so that the filter on P below is not pushed into the formulas that P comes from
+    scan = written(results.conform(scan).drop("bonferroni_threshold", "significant", "genomewide_sig"), "scan")
     return results.conform(scans.thresholds(scans.without_failures(scan), ["strata"]))
 
 

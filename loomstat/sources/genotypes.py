@@ -24,6 +24,12 @@ class Packed:
         return unpacked(self.rows.join(variants.select("variant_idx").distinct(), "variant_idx", "left_semi"), self.samples).withColumnRenamed("dosage", "value")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, by the file system of its scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """A text file's lines with their order; comment lines (##) are left out."""
     lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
