@@ -531,8 +531,8 @@ def meta_strand_flags(spark, sf_dir):
 
 
 @query(f"""{STUDIES},
-both AS (SELECT predictor, 1 AS v, stratum, beta, se, n, ea, ref FROM hm UNION ALL SELECT 'Brand#11', 2, stratum, -beta, 2 * se, n, ea, ref FROM hm WHERE predictor = 'Brand#12')
-SELECT predictor, count(*) AS n_studies, sum(n)::BIGINT AS "N_total", round(sum(CASE WHEN ea <> ref THEN -beta ELSE beta END / (se * se)) / sum(1 / (se * se)), 3) AS "beta_FE" FROM both GROUP BY predictor, v""")
+two AS (SELECT predictor, 1 AS v, stratum, beta, se, n, ea, ref FROM hm UNION ALL SELECT 'Brand#11', 2, stratum, -beta, 2 * se, n, ea, ref FROM hm WHERE predictor = 'Brand#12')
+SELECT predictor, count(*) AS n_studies, sum(n)::BIGINT AS "N_total", round(sum(CASE WHEN ea <> ref THEN -beta ELSE beta END / (se * se)) / sum(1 / (se * se)), 3) AS "beta_FE" FROM two GROUP BY predictor, v""")
 def meta_repeated_ids(spark, sf_dir):
     """One variant more under an id that another has: two rows, each with its own studies."""
     s = studies(spark, sf_dir).withColumns({"CHR": F.lit("1"), "POS": F.lit(1).cast("long")})
