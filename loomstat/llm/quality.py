@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,27 +113,26 @@ def featured(docs: DataFrame, columns: list[str]) -> DataFrame:
     return common.written(docs.select(*columns, features(F.coalesce("text", F.lit(""))).alias("_x")), "quality-features")
 
 
-def summed(rows: DataFrame, sums) -> dict[int, float]:
-    """What ``sums`` gives for each batch of (_x, positive), as an array, summed over all rows: partial sums by place."""
+#: Tasks' sums are added up in so many parts before the driver adds those.
+PARTS = 16
+
+
+def summed(rows: DataFrame, sums, size: int) -> np.ndarray:
+    """What ``sums`` gives for each batch of (_x, positive), an array of ``size`` places, summed over all rows: one array a
+    task, PARTS arrays to the driver."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = 0.0
+        total = np.zeros(size)
         for pdf in batches:
             if len(pdf):
-                total = total + sums(stacked(pdf["_x"]), pdf["positive"].to_numpy(bool))
-        if not np.isscalar(total):
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"at": at, "value": total[at]})
-
-    found = rows.mapInPandas(add, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    return {r["at"]: r["value"] for r in found.collect()}  # as many rows as the array has places
+                total += sums(stacked(pdf["_x"]), pdf["positive"].to_numpy(bool))
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % PARTS], "total": [total.tobytes()]})
 
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"total": [np.sum([np.frombuffer(t) for t in pdf["total"]], axis=0).tobytes()]})
 
-def dense(found: dict[int, float], size: int) -> np.ndarray:
-    out = np.zeros(size)
-    for at, value in found.items():
-        out[at] = value
-    return out
+    found = rows.mapInPandas(add, "part int, total binary").groupBy("part").applyInPandas(together, "total binary")
+    return np.sum([np.frombuffer(r["total"]) for r in found.collect()] or [np.zeros(size)], axis=0)
 
 
 def risk_sums(Z: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -208,24 +208,26 @@ def class_prior(u: np.ndarray, p: np.ndarray, delta: float = 0.1, gamma: float =
     return float(np.clip(((qu[at] + (1 + gamma) * error) / qp[at]).min(), 0.02, 0.98))
 
 
+#: Chosen by the labels of a fold of the rows that may be learned from, on sf0.1.
+RIDGE = 1e-2
 #: Bins of the model's values in which the prior is estimated, each a fiftieth wide.
 BINS, WIDTH = 4001, 0.02
 
 
-def train(rows: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
+def train(rows: DataFrame, labels: DataFrame, column: str = "quality", decay: float = RIDGE) -> Model:
     """Fits the model on ``rows`` of ``featured`` (doc_id, _x): every trusted positive and every unlabelled row counts.
 
-    Positives are documents labelled 1 that may be learned from; all without such a label, held-out ones too, are
-    unlabelled text. Labelled negatives are not read. The prior is estimated twice, each time on one half of the rows
-    (by hash) from a model of the other half, first fitted with a prior of one half; the last fit takes all rows. A
-    round is one pass over the stored features.
+    Positives are documents labelled 1 that may be learned from; all others, held-out ones and labelled negatives too,
+    are unlabelled text as it comes. The prior is estimated twice, each time on one half of the rows (by hash) from a
+    model of the other half, first fitted with a prior of one half; the last fit takes all rows. A round is one pass
+    over the stored features.
     """
     k = WIDE + 1
-    known = training_ids(rows, labels, column)
-    met = rows.select("doc_id", "_x").join(known, "doc_id", "left").where("label is null or label = 1")
+    known = training_ids(rows, labels, column).where("label = 1")
+    met = rows.select("doc_id", "_x").join(known, "doc_id", "left")
     half = (F.pmod(F.xxhash64("doc_id", "_x"), F.lit(2)) == 1).alias("half")
     met = common.written(met.select("_x", F.col("label").isNotNull().alias("positive"), half), "quality-training")
-    moments = dense(summed(met, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)])), 2 + 2 * WIDE)
+    moments = summed(met, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * WIDE)
     n, n_p = moments[:2]
     if not n_p or n == n_p:  # without positives or unlabelled rows nothing can be told apart
         return Model(np.zeros(k), np.zeros(WIDE), np.ones(WIDE), 0.5)
@@ -234,9 +236,9 @@ def train(rows: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
 
     def fitted(part: DataFrame) -> np.ndarray:
         def sums_at(w: np.ndarray) -> np.ndarray:
-            return dense(summed(part, lambda x, p: risk_sums(model.inputs(x), p, w)), 5 + 2 * k + k * k)
+            return summed(part, lambda x, p: risk_sums(model.inputs(x), p, w), 5 + 2 * k + k * k)
 
-        return fit(sums_at, k, model.prior, model.weights)
+        return fit(sums_at, k, model.prior, model.weights, decay=decay)
 
     def binned(x: np.ndarray, p: np.ndarray) -> np.ndarray:
         at = BINS // 2 - np.clip(np.round(model.raw(x) / WIDTH), -(BINS // 2), BINS // 2).astype(int)
@@ -244,7 +246,7 @@ def train(rows: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
 
     for _ in range(2):
         model.weights = fitted(met.where("half"))
-        counts = dense(summed(met.where("not half"), binned), 2 * BINS)
+        counts = summed(met.where("not half"), binned, 2 * BINS)
         model.prior = class_prior(counts[:BINS], counts[BINS:])
     model.weights = fitted(met)
     return model
