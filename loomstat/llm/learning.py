@@ -31,17 +31,29 @@ def logistic(x: np.ndarray) -> np.ndarray:
 def calibration(z: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """(slope, shift) of the logistic curve that best gives label ``y`` from score ``z``, ``n`` times each; the slope is not negative.
 
-    Newton steps on the log likelihood; labels are softened by one example each way, so clear cuts stay finite.
+    Newton steps on the log likelihood, halved while they do not raise it; labels are softened by one example each way,
+    so clear cuts stay finite.
     """
     if not n.sum():
         return 1.0, 0.0
     n1, n0 = n[y == 1].sum(), n[y == 0].sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    X, w = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+    X, w = np.column_stack([z, np.ones(len(z))]), np.zeros(2)
+
+    def loss(w: np.ndarray) -> float:
+        f = X @ w
+        return float((n * (np.logaddexp(0, f) - t * f)).sum() + ridge * w[0] ** 2 / 2)
+
+    now = loss(w)
     for _ in range(100):
         p = logistic(X @ w)
         step = np.linalg.solve((X * (n * p * (1 - p))[:, None]).T @ X + ridge * np.eye(2), X.T @ (n * (t - p)) - ridge * w * [1, 0])
-        w = w + step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-8:
+        part = 1.0
+        while (then := loss(w + part * step)) > now and part > 1e-6:
+            part /= 2
+        if then > now:
+            break
+        w, gained, now = w + part * step, now - then, then
+        if gained < 1e-9:
             break
     return float(max(w[0], 0.0)), float(w[1])
