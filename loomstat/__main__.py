@@ -42,7 +42,7 @@ def main() -> None:
     elif args.what == "meta":
         runner.meta_all(spark, args.results_dir, args.output_dir, args.run)
     else:
-        text = report.summary(results.read_results(spark, results.discover(args.results_dir)), results.read_meta(spark, results.discover(args.meta_dir, meta=True)))
+        text = report.summary(results.read_results(spark, results.discover(spark, args.results_dir)), results.read_meta(spark, results.discover(spark, args.meta_dir, meta=True)))
         if args.output:
             with open(args.output, "w") as f:
                 f.write(text)

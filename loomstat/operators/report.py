@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.special import CHI2_MEDIAN, chi2_1_quantile
 from ..sources.config import ALPHA, GENOMEWIDE
+from ..plans.stages import written
 from .running import running
+from .selection import medians
 
 #: Bands of minor allele frequency, and the fewest rows of a band that is shown.
 BANDS = (("common", 0.05, 0.5001), ("low", 0.01, 0.05), ("rare", 0.0, 0.01))
@@ -19,10 +21,12 @@ def usable_p(c: Column) -> Column:
 
 
 def lambda_gc(df: DataFrame, by: list[str], chi2: str | None = None, p: str = "P") -> DataFrame:
-    """Exact median of chi-square values over the distribution's median; from ``chi2``, or from P-values."""
+    """Exact median of chi-square values over the distribution's median; from ``chi2``, or from P-values. Found by refined
+    counts, so no task holds a group's values."""
     value = F.col(chi2) if chi2 else chi2_1_quantile(F.col(p))
     rows = df if chi2 else df.where(usable_p(F.col(p)))
-    return rows.withColumn("_x", value).groupBy(*by).agg((F.median("_x") / CHI2_MEDIAN).alias("lambda"), F.count("_x").alias("n"))
+    found = medians(written(rows.select(*by, value.alias("_x")), "chi2"), by, "_x")
+    return found.select(*by, (F.col("median") / CHI2_MEDIAN).alias("lambda"), "n")
 
 
 def maf(df: DataFrame) -> Column:
@@ -131,10 +135,20 @@ def united_hits(results: DataFrame, meta: DataFrame | None = None, limit: int =
     return hits.select("run", "predictor", "_best.*").orderBy("P", "run", "predictor").limit(limit)
 
 
+def primary_rows(results: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """(run, P, EAF) that stand for each run: its fixed effects if it has a meta table, else its first stratum."""
+    first = results.groupBy("run").agg(F.min("stratum").alias("stratum"))
+    frequency = F.coalesce("MAF", F.least(F.col("EAF"), 1 - F.col("EAF"))) if "MAF" in results.columns else F.col("EAF")
+    out = results.join(first, ["run", "stratum"], "left_semi").select("run", "P", frequency.alias("EAF"))
+    if meta is None:
+        return out
+    return meta.select("run", F.col("P_FE").alias("P"), "EAF").unionByName(out.join(meta.select("run").distinct(), "run", "left_anti"))
+
+
 def summary(results: DataFrame, meta: DataFrame | None = None) -> str:
     """The Markdown report: coverage, calibration by source and by allele frequency, hits."""
     three = {"lambda": ".3f"}
-    primary = meta.withColumnRenamed("P_FE", "P") if meta is not None else results
+    primary = primary_rows(results, meta)
     parts = ["# Results", "", "## Coverage", "", markdown(coverage(results, ["run"]).orderBy("run")), "", "## Calibration", ""]
     parts += [markdown(calibration(results, meta).orderBy("run", "source"), three), "", markdown(lambda_by_band(primary, ["run"]).orderBy("run", "band"), three), "", "## Hits", ""]
     columns = ["run", "source", "predictor", "beta", "SE", "P"]

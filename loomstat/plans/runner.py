@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_p, norm_sf, normal_p
 from ..operators import design, meta, nulls, report, scans, tails
-from ..sources import binary, clinical, genotypes, results
+from ..sources import binary, clinical, files, genotypes, results
 from ..sources.config import GENOMEWIDE, Config, Run, load
 from .stages import written
 
@@ -345,17 +345,16 @@ def run_all(spark: SparkSession, config: Config | str, folder: str = ".", only:
     """All runs of a configuration; writes a CSV for each run and stratum, returns the tables by run."""
     config = load(config) if isinstance(config, str) else config
     base = config.runs[0] if config.runs else Run("", "linear", {}, config.defaults)
-    table = clinical.read_clinical(spark, clinical.latest(base.get("clinical_file"), folder), base.get("sample_id_col"))
+    table = clinical.read_clinical(spark, clinical.latest(spark, base.get("clinical_file"), folder), base.get("sample_id_col"))
     table = design.filtered(table, base.get("prefilter"))
     prefix = base.get("genotype_prefix")
-    geno = Genotypes.read(spark, prefix if os.path.isabs(prefix) else os.path.join(folder, prefix)) if prefix else None
+    geno = Genotypes.read(spark, prefix if prefix.startswith("/") or "://" in prefix else files.joined(folder, prefix)) if prefix else None
     entries = base.get("derive") or {}
     snps = [m[1] for how in entries.values() if (m := design.SNP.match(how))]
     dosages = geno.of(snps) if geno and snps else None
     table = design.all_derived(table, entries, id_column=base.get("sample_id_col"), time_column=base.get("time_col"), dosages=dosages)
     study, out = Study(spark, written(table, "clinical"), geno), {}
-    target = os.path.join(folder, base.get("output_dir"))
-    os.makedirs(target, exist_ok=True)
+    target = files.made(spark, files.joined(folder, base.get("output_dir")))
     stamp = datetime.datetime.now().strftime("%Y%m%d_%H%M%S")
     for run in config.runs:
         if only and run.name not in only:
@@ -367,7 +366,7 @@ def run_all(spark: SparkSession, config: Config | str, folder: str = ".", only:
         found = written(found, f"result-{run.name}")
         for r in report.lambda_gc(found, ["strata"]).collect():
             log.info("%s %s: %d tests, lambda %.3f", run.name, r["strata"], r["n"], r["lambda"] or float("nan"))
-            results.write_csv(found.where(F.col("strata") == r["strata"]), os.path.join(target, f"{run.name}-{r['strata']}-{stamp}.csv"))
+            files.write_csv(found.where(F.col("strata") == r["strata"]), files.joined(target, f"{run.name}-{r['strata']}-{stamp}.csv"))
         out[run.name] = found
     return out
 
@@ -375,15 +374,15 @@ def run_all(spark: SparkSession, config: Config | str, folder: str = ".", only:
 def meta_all(spark: SparkSession, folder: str, target: str, only: list[str] | None = None) -> dict[str, DataFrame]:
     """Meta-analysis of every run with result files in ``folder``; writes META_ files. Runs without a usable file are
     passed over."""
-    files, out = results.discover(folder), {}
-    os.makedirs(target, exist_ok=True)
+    there, out = results.discover(spark, folder), {}
+    files.made(spark, target)
     stamp = datetime.datetime.now().strftime("%Y%m%d_%H%M%S")
-    for name in sorted({r for r, _ in files}):
+    for name in sorted({r for r, _ in there}):
         if only and name not in only:
             continue
-        usable = results.usable(spark, {k: p for k, p in files.items() if k[0] == name})
+        usable = results.usable(spark, {k: p for k, p in there.items() if k[0] == name})
         if usable:
-            out[name] = meta_of(spark, usable, os.path.join(target, f"META_{name}-{stamp}.csv"))
+            out[name] = meta_of(spark, usable, files.joined(target, f"META_{name}-{stamp}.csv"))
     return out
 
 
@@ -392,7 +391,8 @@ def meta_explicit(spark: SparkSession, paths: list[str], output: str) -> DataFra
     usable = results.usable(spark, results.named(paths))
     if not usable:
         raise ValueError("no file with predictor and N among the inputs")
-    os.makedirs(os.path.dirname(os.path.abspath(output)), exist_ok=True)
+    if "/" in output:
+        files.made(spark, output.rsplit("/", 1)[0])
     return meta_of(spark, usable, output)
 
 
@@ -401,5 +401,5 @@ def meta_of(spark: SparkSession, paths: dict[tuple[str, str], str], output: str)
     for p in ("P_FE", "P_RE"):
         for r in report.lambda_gc(found.withColumn("strata", F.lit("all")), ["strata"], p=p).collect():
             log.info("%s: lambda of %s %.4f over %d", os.path.basename(output), p, r["lambda"] or float("nan"), r["n"])
-    results.write_csv(found, output)
+    files.write_csv(found, output)
     return found

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 #: What counts as missing in a text table.
 MISSING = ["", "#N/A", "#NA", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 ROW = "_row"
 
 
-def latest(pattern: str, folder: str = ".") -> str:
-    """The lexically last file that matches ``pattern``; none is an error."""
-    found = sorted(glob.glob(pattern if os.path.isabs(pattern) else os.path.join(folder, pattern)))
+def latest(spark: SparkSession, pattern: str, folder: str = ".") -> str:
+    """The lexically last file that matches ``pattern``, in ``folder`` unless it is a whole path; none is an error."""
+    whole = pattern.startswith("/") or "://" in pattern
+    found = files.matching(spark, pattern if whole else files.joined(folder, pattern))
     if not found:
         raise FileNotFoundError(f"no file matches {pattern!r} in {folder!r}")
     return found[-1]

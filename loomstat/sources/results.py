@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import logging
 import os
 import re
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 log = logging.getLogger(__name__)
 
 #: The columns of a result table, in order.
@@ -26,7 +27,7 @@ RESULT_COLUMNS = [
     "model_type", "test", "genomewide_sig",
     "bonferroni_threshold", "significant", "conditioned_on", "strata",
 ]
-#: File names: run, stratum, time stamp; a run may hold hyphens, a stratum can't.
+#: File names are run, stratum, time stamp; a run may hold hyphens, a stratum can't.
 STUDY = re.compile(r"^(?P<run>.+)-(?P<stratum>[^-]+)-(?P<stamp>\d{8}[_-]\d{6})\.csv$")
 META = re.compile(r"^META_(?P<run>.+)-(?P<stamp>\d{8}[_-]\d{6})\.csv$")
 
@@ -43,11 +44,11 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields))
 
 
-def discover(folder: str, meta: bool = False) -> dict[tuple[str, ...], str]:
+def discover(spark: SparkSession, folder: str, meta: bool = False) -> dict[tuple[str, ...], str]:
     """Latest file of each (run, stratum), or of each run for meta tables; files named otherwise are passed over."""
     pattern = META if meta else STUDY
     found: dict[tuple[str, ...], tuple[str, str]] = {}
-    for path in glob.glob(os.path.join(folder, "*.csv")):
+    for path in files.in_folder(spark, folder):
         name = os.path.basename(path)
         m = pattern.match(name)
         if not m or (not meta and name.startswith("META_")):
@@ -101,17 +102,6 @@ def read_results(spark: SparkSession, paths: dict[tuple[str, str], str]) -> Data
     return out
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file for people, through the driver row by row; the tables themselves are written as Parquet."""
-    import csv
-
-    with open(path, "w", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        for row in df.toLocalIterator():
-            out.writerow(["" if v is None else v for v in row])
-
-
 def write_results(df: DataFrame, folder: str) -> None:
     """Parquet, partitioned by run and stratum."""
     df.write.mode("append").partitionBy("run", "stratum").parquet(folder)

@@ -287,12 +287,12 @@ def test_calibration_and_failures(spark):
     assert q["rank"] == 1 and q["expected"] == pytest.approx(-math.log10(0.5 / 1001))
 
 
-def test_discovery_and_config(tmp_path):
+def test_discovery_and_config(spark, tmp_path):
     for name in ("a-b-EUR-20260101_000000.csv", "a-b-EUR-20260201_000000.csv", "a-b-ALL-20260101_000000.csv", "META_a-b-20260101_000000.csv", "other.csv"):
         (tmp_path / name).write_text("x")
-    found = results.discover(str(tmp_path))
+    found = results.discover(spark, str(tmp_path))
     assert set(found) == {("a-b", "EUR"), ("a-b", "ALL")} and "20260201" in found[("a-b", "EUR")]
-    assert list(results.discover(str(tmp_path), meta=True)) == [("a-b",)]
+    assert list(results.discover(spark, str(tmp_path), meta=True)) == [("a-b",)]
     c = config.parse({"defaults": {"covariates": ["a", "b"]}, "runs": [{"name": "r", "outcome": "y", "add_covariates": ["c", "a"], "drop_covariates": ["b"]}]})
     assert c.runs[0].covariates == ["a", "c"] and c.runs[0].get("min_n") == 30 and c.runs[0].strata == [None]
     for bad in ({}, {"runs": 1}, {"runs": [{"model": "nope"}]}, {"runs": [{"strata": ["x"]}]}):
@@ -342,11 +342,11 @@ def test_a_whole_configuration(spark, data, tmp_path):
     folder = str(tmp_path / "results")
     metas = runner.meta_all(spark, folder, str(tmp_path / "meta"), ["lin"])
     assert metas["lin"].where("predictor = 'rs0'").first()["n_studies"] == 2 and os.listdir(tmp_path / "meta")
-    combined = results.read_meta(spark, results.discover(str(tmp_path / "meta"), meta=True))
-    text = report.summary(results.read_results(spark, results.discover(folder)), combined)
+    combined = results.read_meta(spark, results.discover(spark, str(tmp_path / "meta"), meta=True))
+    text = report.summary(results.read_results(spark, results.discover(spark, folder)), combined)
     assert "## Coverage" in text and "rs0" in text and all(f"| lin | {s} |" in text for s in ("EUR", "AJ", "FE", "RE"))
     (tmp_path / "odd.csv").write_text("a,b\n1,2\n")
-    paths = [p for (run, _), p in results.discover(folder).items() if run == "lin"]
+    paths = [p for (run, _), p in results.discover(spark, folder).items() if run == "lin"]
     again = runner.meta_explicit(spark, [*paths, str(tmp_path / "odd.csv")], str(tmp_path / "own.csv"))
     assert again.where("predictor = 'rs0'").first()["n_studies"] == 2 and (tmp_path / "own.csv").exists()
 
@@ -363,13 +363,13 @@ def test_repeated_ids_and_statistics(spark):
 def test_clinical_types(spark, tmp_path):
     (tmp_path / "x_1.tsv").write_text("IID\ta\tb\n001\t1\tNA\n002\tNaN\tt\n")
     (tmp_path / "x_2.tsv").write_text("IID\ta\tb\n001\t1\t1.5\n002\tNaN\t2\n")
-    path = clinical.latest("x_*.tsv", str(tmp_path))
+    path = clinical.latest(spark, "x_*.tsv", str(tmp_path))
     assert path.endswith("x_2.tsv")
     df = clinical.read_clinical(spark, path)
     assert dict(df.dtypes) | {"_row": ""} == {"IID": "string", "a": "bigint", "b": "double", "_row": ""}
     assert [r["IID"] for r in df.orderBy("_row").collect()] == ["001", "002"]
     with pytest.raises(FileNotFoundError):
-        clinical.latest("none*", str(tmp_path))
+        clinical.latest(spark, "none*", str(tmp_path))
 
 
 def test_every_query_is_named_after_its_operator():
