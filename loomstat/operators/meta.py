@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_p, normal_p
+from ..plans.stages import written
 from ..sources.config import ALPHA, GENOMEWIDE
 
 #: Effect columns by preference, and their errors and P-values.
@@ -132,7 +133,7 @@ def meta_analysis(results: DataFrame) -> DataFrame:
     strata = sorted(r["stratum"] for r in results.select("stratum").distinct().collect())  # one row a stratum
     key = ("predictor", "_place")
     beta, se, p = effect_axis(results, strata[0])
-    rows = harmonised(placed(results).withColumns({"beta": F.col(beta), "SE": F.col(se), "P": F.col(p)}), key)
+    rows = written(harmonised(placed(results).withColumns({"beta": F.col(beta), "SE": F.col(se), "P": F.col(p)}), key), "studies")
     there = [c for c in ("CHR", "POS", "model_type") if c in rows.columns]
     out = combined(rows, key).join(strand_flags(rows, key), list(key)).join(by_stratum(rows, strata, key), list(key))
     if there:

@@ -535,7 +535,7 @@ two AS (SELECT predictor, 1 AS v, stratum, beta, se, n, ea, ref FROM hm UNION AL
 SELECT predictor, count(*) AS n_studies, sum(n)::BIGINT AS "N_total", round(sum(CASE WHEN ea <> ref THEN -beta ELSE beta END / (se * se)) / sum(1 / (se * se)), 3) AS "beta_FE" FROM two GROUP BY predictor, v""")
 def meta_repeated_ids(spark, sf_dir):
     """One variant more under an id that another has: two rows, each with its own studies."""
-    s = studies(spark, sf_dir).withColumns({"CHR": F.lit("1"), "POS": F.lit(1).cast("long")})
+    s = written(studies(spark, sf_dir), "studies").withColumns({"CHR": F.lit("1"), "POS": F.lit(1).cast("long")})
     more = s.where("predictor = 'Brand#12'").withColumns({"predictor": F.lit("Brand#11"), "POS": F.lit(2).cast("long"), "beta": -F.col("beta"), "SE": 2 * F.col("SE")})
     m = meta.meta_analysis(s.unionByName(more))
     return m.select("predictor", "n_studies", "N_total", F.round("beta_FE", 3).alias("beta_FE"))
@@ -544,7 +544,7 @@ def meta_repeated_ids(spark, sf_dir):
 @query()
 def meta_table(spark, sf_dir):
     """The whole table with P-values, identities and per-stratum columns."""
-    return meta.meta_analysis(studies(spark, sf_dir))
+    return meta.meta_analysis(written(studies(spark, sf_dir), "studies"))
 
 
 # ---- reports
