@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import design, meta, report, tails
+from ..operators import design, meta, report, scans, tails, truth
 from ..sources import genotypes
 from . import trade
 from .queries import QUERIES, SQL, STUDIES, D, S, T, V, combined, logistic, query, rounded, studies  # noqa: F401
+from .stages import written
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -114,3 +115,22 @@ SELECT predictor, n AS "N", n_obs, round(u / v, 5) AS beta, round(1 / sqrt(v), 5
 @query(SCORE)
 def logistic_score_covariates(spark, sf_dir):
     return rounded(logistic(spark, sf_dir, ["acct"])[0].select("predictor", "N", "n_obs", "beta", "SE", "chi2", "P"), 5)
+
+
+@query(f"""WITH {S}, {D}, o AS (SELECT IID, any_value(y) / 1000 + 30 * coalesce(max(value) FILTER (predictor = 'Brand#11'), 0) - 20 * coalesce(max(value) FILTER (predictor = 'Brand#12'), 0) AS o FROM cells JOIN subj USING (IID) GROUP BY IID),
+i AS (SELECT predictor, o, coalesce(value, avg(value) OVER (PARTITION BY predictor)) AS g FROM cells JOIN o USING (IID)),
+c AS (SELECT predictor, count(*) AS n, regr_sxx(g, g) AS gg, regr_sxx(o, o) AS yy, regr_sxy(g, o) AS gy FROM i GROUP BY 1),
+r AS (SELECT predictor, gy / gg AS beta, sqrt((yy - gy * gy / gg) / (n - 2) / gg) AS se FROM c)
+SELECT 'planted' AS run, 2::BIGINT AS planted, count(*) FILTER (predictor IN ('Brand#11', 'Brand#12')) AS found,
+count(*) FILTER (predictor = 'Brand#11' AND abs(beta - 30) <= 4 * se OR predictor = 'Brand#12' AND abs(beta + 20) <= 4 * se) AS covered, count(*) FILTER (predictor NOT IN ('Brand#11', 'Brand#12')) AS n FROM r""")
+def truth_coverage(spark, sf_dir):
+    """Two effects planted into the outcome: does the scan cover them within four standard errors?"""
+    s = trade.subjects(spark, sf_dir).withColumn("strata", F.lit("ALL"))
+    d = written(trade.dosages(spark, sf_dir, s), "dosages")
+    effects = {"Brand#11": 30.0, "Brand#12": -20.0}
+    own = d.groupBy("IID").agg(*(F.coalesce(F.max(F.when(F.col("predictor") == v, F.col("value"))), F.lit(0.0)).alias(f"_{k}") for k, v in enumerate(effects)))
+    planted = sum((F.col(f"_{k}") * b for k, b in enumerate(effects.values())), F.col("y") / 1000)
+    null = scans.linear_null(s.join(own, "IID").select("strata", "IID", planted.alias("o")), "o", [])
+    scan = written(scans.linear_scan(d, null, 0, ["IID"], ["predictor"]), "scan").withColumn("run", F.lit("planted"))
+    known = spark.createDataFrame([("planted", *e) for e in effects.items()], "run string, predictor string, true_effect double")
+    return truth.truth_check(scan, known).select("run", "planted", "found", "covered", "n")
