@@ -202,11 +202,13 @@ def train(docs: DataFrame, labels: DataFrame, drift: float = DRIFT, shrink: floa
     counts = common.written(token_counts(known), "token-counts")
     sums = [F.sum(c).alias(c) for c in ("toxic", "clean", "times")]
     step = F.round(F.log1p("evidence") / STEP).cast("long").alias("step")
-    seen = []
-    for fold in range(FOLDS):
+
+    def seen_by_others(fold: int) -> pd.DataFrame:  # their model is let go with the call
         others = counted(counts.where(F.col("fold") != fold).groupBy("token").agg(*sums), drift, shrink, most)
         own = evidence_rows(known.where(F.col("fold") == fold), others)
-        seen.append(own.groupBy("label", step).agg(F.count(F.lit(1)).alias("n")).toPandas())
+        return own.groupBy("label", step).agg(F.count(F.lit(1)).alias("n")).toPandas()
+
+    seen = [seen_by_others(fold) for fold in range(FOLDS)]
     model, steps = counted(counts.groupBy("token").agg(*sums), drift, shrink, most), pd.concat(seen)
     model.curve = calibration(steps["step"].to_numpy(float) * STEP, steps["label"].to_numpy(float), steps["n"].to_numpy(float))
     return model
