@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .running import running
+from ..plans.stages import written
+from .running import ranged, running
 
 
 def summed(df: DataFrame, f: Callable[[str, pd.DataFrame], np.ndarray]) -> dict[str, np.ndarray]:
@@ -144,15 +145,22 @@ def cox_null(design: DataFrame, duration: str, event: str, covariates: list[str]
 
     t, e = F.col(duration).cast("double"), F.col(event).cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    base = design.withColumns({"_t": t, "_e": e})
+    # times don't move from round to round, so neither do their ranges
+    base = written(design.withColumns({"_t": t, "_e": e}), "survival")
+    times = ranged(base.select("strata", "_t").distinct(), ["strata"], ["_t"])
+    base = written(base.join(times.drop("_row"), ["strata", "_t"]), "survival")
 
     def by_time() -> DataFrame:
         r = F.col("_risk")
         columns = {"r": r, **{f"r{i}": r * F.col(c) for i, c in enumerate(covariates)}, **{f"r{i}_{j}": r * F.col(covariates[i]) * F.col(covariates[j]) for i, j in pairs}}
         sums = [F.sum(v).alias(f"_s_{n}") for n, v in columns.items()] + [F.sum(v * F.col("_e")).alias(f"_d_{n}") for n, v in columns.items()]
         sums += [F.sum("_e").alias("_d")] + [F.sum(F.col("_e") * F.col(c)).alias(f"_x{i}") for i, c in enumerate(covariates)]
-        times = base.withColumn("_risk", risk()).groupBy("strata", "_t").agg(*sums)
-        return running(times, ["strata"], [F.desc("_t")], "_t", {f"_s_{n}": f"_c_{n}" for n in columns}, descending=True)
+        return base.withColumn("_risk", risk()).groupBy("strata", "_t", "_range").agg(*sums)
+
+    def at_risk() -> DataFrame:
+        sums = by_time()
+        names = [c for c in sums.columns if c.startswith("_s_")]
+        return running(sums, ["strata"], [F.desc("_t")], {c: "_c_" + c[3:] for c in names}, backwards=True)
 
     def step(s: str, rows: pd.DataFrame) -> np.ndarray:
         rows = rows[rows["_d"] > 0]
@@ -169,15 +177,16 @@ def cox_null(design: DataFrame, duration: str, event: str, covariates: list[str]
 
     for _ in range(rounds if k else 0):
         largest = 0.0
-        for s, v in summed(by_time(), step).items():
+        for s, v in summed(at_risk(), step).items():
             move = np.linalg.solve(v[k:].reshape(k, k) + 1e-12 * np.eye(k), v[:k])
             b[s] = b[s] + move
             largest = max(largest, float(np.abs(move).max()))
         if largest < 1e-8:
             break
-    hazard = running(by_time().withColumn("_h", F.col("_d") / F.col("_c_r")), ["strata"], ["_t"], "_t", {"_h": "_cum"}).select("strata", "_t", "_cum")
+    jumps = at_risk().withColumn("_h", F.col("_d") / F.col("_c_r")).join(times.drop("_row"), ["strata", "_t"])
+    hazard = running(jumps, ["strata"], ["_t"], {"_h": "_cum"}).select("strata", "_t", "_cum")
     out = base.withColumn("_risk", risk()).join(hazard, ["strata", "_t"]).withColumn("_m", F.col("_e") - F.col("_risk") * F.col("_cum"))
-    return out.drop("_t", "_e", "_risk", "_cum"), b
+    return out.drop("_t", "_e", "_risk", "_cum", "_range"), b
 
 
 def _gram(design: DataFrame, columns: list[str]):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.special import CHI2_MEDIAN, chi2_1_quantile
 from ..sources.config import ALPHA, GENOMEWIDE
 from ..plans.stages import written
-from .running import running
+from .running import ranged, running
 from .selection import medians
 
 #: Bands of minor allele frequency, and the fewest rows of a band that is shown.
@@ -52,8 +52,9 @@ def lambda_by_band(df: DataFrame, by: list[str], chi2: str | None = None) -> Dat
 def qq(df: DataFrame, by: list[str], p: str = "P") -> DataFrame:
     """Observed and expected -log10 P by rank; groups with too few rows are left out."""
     rows = df.where(usable_p(F.col(p))).withColumns({"_one": F.lit(1).cast("long"), "_p": F.col(p)})
+    rows = ranged(rows, by, ["_p", "predictor"])
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
-    ranked = running(rows.join(F.broadcast(sizes), by), by, ["_p", "predictor"], "_p", {"_one": "rank"})
+    ranked = running(rows.join(sizes, by), by, ["_p", "predictor"], {"_one": "rank"})
     return ranked.withColumns({"observed": -F.log10("_p"), "expected": -F.log10((F.col("rank") - 0.5) / F.col("n"))}).drop("_one", "_p")
 
 

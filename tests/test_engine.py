@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions import expressions, special
 from loomstat.operators import design, meta, nulls, report, scans, tails
-from loomstat.operators.running import running
+from loomstat.operators.running import ranged, running
 from loomstat.plans import queries, runner
 from loomstat.sources import clinical, config, genotypes, results
 
@@ -70,12 +70,41 @@ def test_running_sums(spark):
     df = spark.createDataFrame(rows, "g string, x double, k int, one double")
     for down in (False, True):
         order = [F.desc("x") if down else F.asc("x"), "k"]
-        got = running(df, ["g"], order, "x", {"one": "rank"}, descending=down).collect()
+        got = running(df, ["g"], order, {"one": "rank"}).collect()
         for g in "ab":
             mine = sorted((r for r in got if r["g"] == g), key=lambda r: (-r["x"] if down else r["x"], r["k"]))
             assert [r["rank"] for r in mine] == list(range(1, 701))
 
 
+def test_running_sums_both_ways_over_one_cut(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(rng.integers(0, 400)), k, int(rng.integers(0, 9))) for g in ("a", None) for k in range(900)]
+    df = ranged(spark.createDataFrame(rows, "g string, x double, k int, v long"), ["g"], ["x", "k"], rows=100)
+    assert df.select("_range").distinct().count() > 10
+    up = running(df, ["g"], ["x", "k"], {"v": "s"}).collect()
+    down = running(df, ["g"], [F.desc("x"), F.desc("k")], {"v": "s"}, backwards=True).collect()
+    for g in ("a", None):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: r[1:3])
+        total = np.cumsum([r[3] for r in mine])
+        assert [r["s"] for r in sorted((r for r in up if r["g"] == g), key=lambda r: (r["x"], r["k"]))] == total.tolist()
+        back = [r["s"] for r in sorted((r for r in down if r["g"] == g), key=lambda r: (r["x"], r["k"]))]
+        assert back == (total[-1] - total + [r[3] for r in mine]).tolist()
+
+
+def test_running_splits_ties(spark):
+    """A million equal values of one group, a third of the rows equal in all columns: no range is far above its size."""
+    third = F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("v"), "id"))
+    df = spark.range(1_000_000).select(F.lit("run").alias("g"), F.lit(0.5).alias("p"), third.alias("predictor"), F.lit(1).cast("long").alias("one"))
+    cut = ranged(df, ["g"], ["p", "predictor"], rows=50_000)
+    largest = cut.groupBy("_range").count().agg(F.max("count")).first()[0]
+    assert largest <= 100_000
+    ranks = running(cut, ["g"], ["p", "predictor"], {"one": "rank"})
+    got = ranks.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first()
+    assert tuple(got) == (1, 1_000_000, 1_000_000)
+    same = ranks.where("predictor = 'same'").agg(F.min("rank"), F.max("rank"), F.count(F.lit(1))).first()
+    assert same[1] - same[0] + 1 == same[2] and same[2] == 333_334
+
+
 @pytest.fixture(scope="module")
 def data():
     """300 subjects, 12 variants, planted effects."""
