@@ -101,8 +101,7 @@ def signatures(docs: DataFrame, width: int, m: int, rows: int) -> DataFrame:
             signed = []
             for t in pdf["text"]:  # one text's set at a time
                 s = shingle(t)
-                sums = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, mixed(s ^ _MULTIPLY)))
-                signed.append((len(s), *sums, signer(s) if len(s) else None))
+                signed.append((len(s), *set_sums(s), signer(s) if len(s) else None))
             out = pd.DataFrame(signed, columns=["n", "f1", "f2", "codes"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
             yield out
@@ -110,18 +109,27 @@ def signatures(docs: DataFrame, width: int, m: int, rows: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sign, "doc_id long, n long, f1 long, f2 long, codes array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the documents whose id is in ``ids``."""
+def set_sums(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two longs."""
+    return tuple(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, mixed(s ^ _MULTIPLY)))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of ``wanted`` (node, doc_id, n, f1, f2): of a document's texts only those whose set is the node's."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["doc_id"], "shingles": [shingle(t).view(np.int64) for t in pdf["text"]]})
+            found = [shingle(t) for t in pdf["text"]]
+            sums = pd.DataFrame([(len(s), *set_sums(s)) for s in found], columns=["n", "f1", "f2"])
+            yield pd.concat([pdf[["doc_id"]], sums], axis=1).assign(shingles=[s.view(np.int64) for s in found])
 
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = ids.select(F.col("node").alias("doc_id"))
-    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    return some.mapInPandas(sets, "node long, shingles array<long>")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    near = F.broadcast if few else lambda df: df
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    some = texts.join(near(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    all_ = some.mapInPandas(sets, "doc_id long, n long, f1 long, f2 long, shingles array<long>")
+    return all_.join(near(wanted), ["doc_id", "n", "f1", "f2"]).select("node", "shingles")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,6 +203,17 @@ def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.applyInPandas(compare, "a long, b long").distinct()
 
 
+def one_document(able: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) from the smallest node of every doc_id with several sets to its others."""
+    of = F.struct("n", "f1", "f2")
+    several = able.groupBy("doc_id").agg(F.min(of).alias("_x"), F.max(of).alias("_y")).where("_x <> _y").select("doc_id")
+    several = common.written(several, "minhash-several")
+    texts = able.join(several, "doc_id", "left_semi").select("doc_id", "n", "f1", "f2").distinct()
+    held = common.written(texts.join(nodes.select("node", "n", "f1", "f2"), ["n", "f1", "f2"]).select("doc_id", "node"), "minhash-held")
+    first = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return held.join(first, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 3, miss: float = 1e-3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -202,7 +221,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     links reach, named by its smallest doc_id, which is kept. A pair exactly at the threshold fails to meet in any
     table with probability ``miss``.
 
-    1. One pass shingles whole texts and signs them. Equal sets, found by size and 128 bits, become one node.
+    1. One pass shingles whole texts and signs them. Equal sets, found by size and 128 bits, become one node with a
+       number of its own. Different sets under one doc_id are nodes that are linked, as they are one document.
     2. Every bucket with several nodes links each of them to its smallest, checked on the full sets.
     3. Documents of buckets that still span components are joined exactly, by prefixes: with shingles ordered from
        rare to common among them, two sets that similar share one of the first n - ceil(t * n) + 1 of each. A list of
@@ -211,17 +231,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
        nodes that meet is lost, and nothing that is written grows with the square of a group.
 
     Null and empty texts have an empty set and no links. A null doc_id is linked with nothing and kept, its
-    component_id is null. Rows that share a doc_id are one document. Other columns are not read.
+    component_id is null. Rows that share a doc_id are one document: what any of its
+    texts is linked with, all of them are; n_shingles is the row's own. Other columns are not read.
     """
     m = collections(percent / 100, rows, miss)
     signed = common.written(signatures(docs, width, m, rows), "minhash-rows")
     able = signed.where("n > 0 and doc_id is not null")
-    nodes = common.written(able.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.min("codes").alias("codes")), "minhash-nodes")
+    each = able.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.min("codes").alias("codes"))
+    nodes = common.written(each.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    same = common.written(one_document(able, nodes), "minhash-same")
     keyed = tables(nodes, m)
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
     members = common.written(keyed.join(shared, "key"), "minhash-buckets")
     ids = common.written(members.select("node").distinct(), "minhash-candidates")
-    sets = common.written(shingle_sets(docs, ids, width), "minhash-sets")
+    wanted = common.written(nodes.drop("codes").join(ids, "node", "left_semi"), "minhash-wanted")
+    sets = common.written(shingle_sets(docs, wanted, width), "minhash-sets")
+    if sets.count() > ids.count():  # rows that are repeated
+        sets = common.written(sets.dropDuplicates(["node"]), "minhash-sets")
     sizes = members.select("node", "n").distinct()
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -231,6 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     first = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"))
     tried = common.written(possible(first.distinct().join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")), "minhash-pairs")
     links = common.written(linked(tried, sets, percent), "minhash-links")
+    links = links.unionByName(same)
     labels = common.written(common.components(ids, links), "minhash-components")
     # written, so that the joins with them can split a key that many rows hold
     spanning = members.join(labels, "node").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
@@ -246,13 +273,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     new = possible(one.join(other, "key").where("a < b and ca <> cb")).join(tried, ["a", "b"], "left_anti")
     found = common.written(linked(common.written(new, "minhash-pairs"), sets, percent), "minhash-links")
     within = common.written(block_links(parts.where(F.col("size") > SHORT_LIST), sets, percent), "minhash-links")
-    labels = common.components(ids, links.unionByName(found).unionByName(within))
-    of_node = nodes.join(labels, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("_component"))
+    linked_ = ids.unionByName(same.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    labels = common.components(linked_, links.unionByName(found).unionByName(within))
+    placed = common.written(nodes.drop("codes").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-placed")
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("_component"))
+    of_node = placed.join(names, "component").select("n", "f1", "f2", "_component")
     out = signed.join(of_node, ["n", "f1", "f2"], "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.least("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

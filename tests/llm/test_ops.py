@@ -285,6 +285,39 @@ def test_near_duplicates(spark, docs, empty, width, percent):
     assert neardups.near_duplicates(empty, width, percent).count() == 0
 
 
+def test_near_duplicates_one_id_with_several_texts(spark, docs):
+    """Rows of one doc_id are one document: whatever one of its texts is linked with, all are; none is taken for another."""
+    a, b, c, d = (" ".join(random.Random(k).choices(WORDS, k=40)) for k in range(4))
+    near_c = c + " more"
+    rows = [(3, b), (5, a), (5, b), (5, b), (7, c), (7, d), (8, near_c), (9, d), (2, a), (11, "other words stand here alone"), (12, ""), (12, c)]
+    got = neardups.near_duplicates(table(spark, [(i, t, None, None) for i, t in rows]), 3, 85).collect()
+    want = {2: 2, 3: 2, 5: 2, 7: 7, 8: 7, 9: 7, 11: 11}
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] == 12:  # without words a row has no links
+            assert r["component_id"] == (7 if r["n_shingles"] else 12)
+        else:
+            assert (r["component_id"], r["kept"]) == (want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
+
+
+def test_near_duplicates_long_lists(spark, monkeypatch):
+    """Lists above a block go through pairs of blocks, and find what brute force finds."""
+    monkeypatch.setattr(neardups, "SHORT_LIST", 4)
+    monkeypatch.setattr(neardups, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = {}
+    for f in range(3):  # chains whose members are near only here and there, with one passage in common
+        base = rng.choices(WORDS, k=60) + [f"rare{k}" for k in range(12)]
+        for k in range(60):
+            words = list(base)
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(60)] = f"w{rng.randrange(9)}"
+            rows[100 * f + k] = " ".join(words)
+    want = brute_components(rows.items(), 3, 85)
+    got = neardups.near_duplicates(table(spark, [(i, t, None, None) for i, t in rows.items()]), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_tensored_collections_are_enough():
     for t in (0.8, 0.85, 0.9):
         m = neardups.collections(t, 3, 1e-3)
