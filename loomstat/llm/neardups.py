@@ -15,7 +15,7 @@ from . import common
 
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Lists up to this size are compared pair by pair, longer ones in blocks of BLOCK documents.
+#: Lists with up to the square of this many pairs are compared pair by pair, longer ones in blocks of BLOCK documents.
 SHORT_LIST, BLOCK = 32, 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -149,13 +149,40 @@ def tables(nodes: DataFrame, m: int) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n): the prefix of every set, its shingles from rare to common, without those that no other set has."""
+    """(key, node, n, index): the prefix of every set, its shingles from rare to common, without those that no other set has.
+
+    Linked sets have at least t of the larger in common, and 2t / (1 + t) of the smaller, since the larger is no
+    smaller. So the first n - ceil(t * n) + 1 shingles of the larger and the first n - ceil(2t / (1 + t) * n) + 1 of the
+    smaller share one; ``index`` marks the latter. Sets that differ in more than their like could, but have a passage in
+    common, don't bring it into their index part.
+    """
     each = common.written(sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key")), "shingle-rows")
     counts = common.written(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "shingle-counts")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))  # one document's shingles
-    least = F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9)
+    upto = lambda x, y: F.col("n") - F.expr(f"(n * {x}L + {y - 1}L) div {y}L") + 1
     ranked = each.join(counts, "key").withColumn("_rank", rank)
-    return ranked.where((F.col("_rank") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("key", "node", "n")
+    kept = ranked.where((F.col("_rank") <= upto(percent, 100)) & (F.col("df") > 1))
+    return kept.select("key", "node", "n", (F.col("_rank") <= upto(2 * percent, 100 + percent)).alias("index"))
+
+
+def sided(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(key, band, node, n, component, index, few, many): lists whose index rows meet all rows of ``few`` x ``many``.
+
+    A list is cut into bands of sizes, each 1 / t of the one before: a row of the list stands in the band of its own
+    size; as an index row it also stands in every band in which a set no smaller may be linked with it. Lists without
+    rows of both sides, or within one component, are left out.
+    """
+    at = F.log("n") / F.lit(-math.log(percent / 100)) if percent < 100 else F.col("n").cast("double")
+    band = lambda x: F.floor(at + x).cast("int")
+    own = prefixes.select("key", "node", "n", F.lit(False).alias("index"), band(0.0).alias("band"))
+    reach = F.explode(F.sequence(band(-1e-9), band(1 + 1e-9)))
+    rows = own.unionByName(prefixes.where("index").select("key", "node", "n", "index", reach.alias("band")))
+    placed = common.written(rows.join(labels, "node"), "minhash-sided")
+    sizes = placed.groupBy("key", "band").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count_if("index").alias("few"), F.count_if(~F.col("index")).alias("many")
+    )
+    spanning = common.written(sizes.where("x < y and few > 0 and many > 0").drop("x", "y"), "minhash-spanning")
+    return placed.join(spanning, ["key", "band"])
 
 
 def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -180,10 +207,11 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join what is linked within each list of (key, node, size), a row for each node and block pair at most."""
+    """Links (a, b) that join what is linked within each pair of blocks of ``sided`` lists, one block of each side: a row
+    for each node and pair at most."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
+        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
         same = similar(list(pdf["shingles"]), percent)
         label = np.arange(len(pdf))
         while True:
@@ -195,11 +223,13 @@ def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         out = pd.DataFrame({"a": pdf["node"].to_numpy()[label], "b": pdf["node"]})
         return out[out["a"] != out["b"]]
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
-    pair = lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"))
-    rows = lists.select("key", "node", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), pair)).alias("p"))
-    dealt = rows.join(sets, "node").groupBy("key", "p.i", "p.j")
+    few, many = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("few", "many"))
+    own = lambda n: F.pmod(F.xxhash64("node", "key"), n).cast("int")
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    across = F.transform(F.sequence(F.lit(0), many - 1), lambda j: place(own(few), j))
+    down = F.transform(F.sequence(F.lit(0), few - 1), lambda i: place(i, own(many)))
+    rows = lists.select("key", "band", "node", F.explode(F.when(F.col("index"), across).otherwise(down)).alias("p"))
+    dealt = rows.join(sets, "node").groupBy("key", "band", "p.i", "p.j")
     return dealt.applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -225,10 +255,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
        number of its own. Different sets under one doc_id are nodes that are linked, as they are one document.
     2. Every bucket with several nodes links each of them to its smallest, checked on the full sets.
     3. Documents of buckets that still span components are joined exactly, by prefixes: with shingles ordered from
-       rare to common among them, two sets that similar share one of the first n - ceil(t * n) + 1 of each. A list of
-       documents with such a shingle is compared only where it spans components: pair by pair up to a fixed length,
-       longer ones in pairs of blocks, of which tasks return no more than a row for each document. So no link between
-       nodes that meet is lost, and nothing that is written grows with the square of a group.
+       rare to common among them, two sets that similar share one of the first n - ceil(t * n) + 1 of the larger and
+       n - ceil(2t / (1 + t) * n) + 1 of the smaller. A list of documents with such a shingle is cut by size and
+       compared only where it spans components: few pairs one by one, more in pairs of blocks, of which tasks return no
+       more than a row for each document. So no link between nodes that meet is lost, and nothing that is written
+       grows with the square of a group.
 
     Null and empty texts have an empty set and no links. A null doc_id is linked with nothing and kept, its
     component_id is null. Rows that share a doc_id are one document: what any of its
@@ -264,15 +295,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     spanning = common.written(spanning.select("key"), "minhash-spanning")
     rest = common.written(members.join(spanning, "key").select("node").distinct(), "minhash-rest")
     lists = common.written(rare_shingles(sets.join(rest, "node", "left_semi"), percent), "minhash-prefixes")
-    placed = lists.join(labels, "node")
-    spanning = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y")
-    spanning = common.written(spanning.select("key", "size"), "minhash-spanning")
-    parts = common.written(placed.join(spanning, "key"), "minhash-lists")
-    short = parts.where(F.col("size") <= SHORT_LIST)
-    one, other = (short.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    new = possible(one.join(other, "key").where("a < b and ca <> cb")).join(tried, ["a", "b"], "left_anti")
+    parts = common.written(sided(lists, labels, percent), "minhash-lists")
+    short = F.col("few") * F.col("many") <= SHORT_LIST**2
+    sides = parts.where(short).select("key", "band", "index", "node", "n", "component")
+    one, other = (sides.where(F.col("index") == (x == "a")).select("key", "band", *(F.col(c).alias(d + x) for c, d in (("node", ""), ("n", "n"), ("component", "c")))) for x in "ab")
+    met = one.join(other, ["key", "band"]).where("na <= nb and ca <> cb")
+    met = met.select(*(F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))))
+    new = possible(met).join(tried, ["a", "b"], "left_anti")
     found = common.written(linked(common.written(new, "minhash-pairs"), sets, percent), "minhash-links")
-    within = common.written(block_links(parts.where(F.col("size") > SHORT_LIST), sets, percent), "minhash-links")
+    within = common.written(block_links(parts.where(~short), sets, percent), "minhash-links")
     linked_ = ids.unionByName(same.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     labels = common.components(linked_, links.unionByName(found).unionByName(within))
     placed = common.written(nodes.drop("codes").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-placed")

@@ -318,6 +318,67 @@ def test_near_duplicates_long_lists(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def sets_frame(spark, sets):
+    return spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, shingles array<long>")
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_two_sided_prefixes_lose_no_pair(spark, percent):
+    """Every pair of similar sets of different components meets in a list, those exactly at the threshold too."""
+    rng, sets = random.Random(percent), {}
+    for _ in range(40):  # sets around a core, of sizes on both sides of what the threshold allows
+        core = rng.sample(range(400), rng.choice([10, 17, 20, 34, 40, 85]))
+        sets[len(sets)] = set(core)
+        for cut in (percent, percent + 3, percent - 4):
+            sets[len(sets)] = set(core[: max(1, len(core) * cut // 100)])
+        sets[len(sets)] = set(core) | set(rng.sample(range(400), 3))
+    frame = sets_frame(spark, sets)
+    labels = spark.createDataFrame([(i, i) for i in sets], "node long, component long")
+    lists = neardups.sided(neardups.rare_shingles(frame, percent), labels, percent)
+    sides = lists.collect()
+    met = defaultdict(lambda: (set(), set()))
+    for r in sides:
+        met[r["key"], r["band"]][not r["index"]].add(r["node"])
+    pairs = {(a, b) for few, many in met.values() for a in few for b in many}
+    want = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert len(want) > 20 and all((a, b) in pairs or (b, a) in pairs for a, b in want)
+    for r in sides:
+        few, many = met[r["key"], r["band"]]
+        assert (r["few"], r["many"]) == (len(few), len(many))
+    for blocks in (2, 1000):  # whole lists in pairs of blocks reach what links reach
+        neardups.BLOCK, was = blocks, neardups.BLOCK
+        try:
+            links = neardups.block_links(lists, frame, percent).collect()
+        finally:
+            neardups.BLOCK = was
+        up = {i: i for i in sets}
+
+        def top(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for r in links:
+            up[max(top(r["a"]), top(r["b"]))] = min(top(r["a"]), top(r["b"]))
+        assert all(top(a) == top(b) for a, b in want)
+        reach = {i: i for i in sets}
+        for _ in range(len(sets)):
+            for a, b in want:
+                reach[a] = reach[b] = min(reach[a], reach[b])
+        assert {i: top(i) for i in sets} == reach
+
+
+def test_a_common_passage_makes_no_long_list(spark):
+    """Sets that have a passage in common, but too much of their own to be linked, meet in no list however many they are."""
+    n = 300
+    sets = {i: set(range(80)) | {1000 + 12 * i + k for k in range(12)} for i in range(n)}
+    frame = sets_frame(spark, sets)
+    prefixes = neardups.rare_shingles(frame, 85)
+    labels = spark.createDataFrame([(i, i) for i in sets], "node long, component long")
+    assert prefixes.groupBy("key").count().where(f"count = {n}").count() > 0  # by prefixes of one length all would meet
+    assert neardups.sided(prefixes, labels, 85).count() == 0
+
+
 def test_tensored_collections_are_enough():
     for t in (0.8, 0.85, 0.9):
         m = neardups.collections(t, 3, 1e-3)
