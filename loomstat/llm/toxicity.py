@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -98,10 +98,86 @@ def segments(places: list[int], gains: list[float], drift: float) -> list[tuple[
     return merged(before, after, places)
 
 
+#: Words whose net a task remembers.
+REMEMBERED = 120_000
+
+
+class Gains(Mapping):
+    """Tokens and what each adds, as four arrays in the order of the tokens' hashes: some 30 bytes a token, where a
+    dictionary takes 150. A token is found by its hash and compared byte by byte."""
+
+    def __init__(self, hashes: np.ndarray, nets: np.ndarray, sizes: np.ndarray, text: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.hashes, self.nets, self.ends, self.sizes = hashes[order], nets[order], ends[order], sizes[order]
+        self.text, self.seen = text, {}
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Gains:
+        """The whole of ``table`` (token, net): tasks pack their tokens, the driver joins the packs."""
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import xxhash
+
+            for pdf in batches:
+                words = list(map(bytes, pdf["token"]))
+                hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+                sizes = np.array([len(w) for w in words], np.int32)
+                yield pd.DataFrame({"h": [hashes.tobytes()], "n": [pdf["net"].to_numpy(float).tobytes()], "s": [sizes.tobytes()], "t": [b"".join(words)]})
+
+        packs = table.select("token", "net").mapInPandas(pack, "h binary, n binary, s binary, t binary").collect()
+        joined = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in packs), kind)
+        return cls(joined("h", np.uint64), joined("n", float), joined("s", np.int32), joined("t", np.uint8))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __iter__(self) -> Iterator[bytes]:
+        return (self.text[end - size : end].tobytes() for end, size in zip(self.ends, self.sizes, strict=True))
+
+    def __getitem__(self, word: bytes) -> float:
+        if (net := self.get(word)) is None:
+            raise KeyError(word)
+        return net
+
+    def get(self, word: bytes, otherwise: float | None = None) -> float | None:
+        import xxhash
+
+        h = xxhash.xxh3_64_intdigest(word)
+        i = int(np.searchsorted(self.hashes, np.uint64(h)))
+        while i < len(self.hashes) and int(self.hashes[i]) == h:
+            if self.text[self.ends[i] - self.sizes[i] : self.ends[i]].tobytes() == word:
+                return float(self.nets[i])
+            i += 1
+        return otherwise
+
+    def net(self, words: list[bytes], otherwise: float) -> np.ndarray:
+        """What each word adds, ``otherwise`` if it is unknown."""
+        import xxhash
+
+        try:
+            return np.fromiter((self.seen[w] for w in words), float, len(words))
+        except KeyError:
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            new = [w for w in set(words) if w not in self.seen]
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
+            known = np.zeros(len(new), bool)
+            if len(self):
+                known = self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)] == hashes
+            self.seen.update(dict.fromkeys(new, otherwise))
+            for i in np.flatnonzero(known):
+                self.seen[new[i]] = self.get(new[i], otherwise)
+            return np.fromiter((self.seen[w] for w in words), float, len(words))
+
+
 @dataclass
 class Model:
     #: What each known token adds: its log-odds less the drift. Too many for one task: a table (token, net) instead.
-    gains: dict[bytes, float] = field(default_factory=dict)
+    gains: Mapping[bytes, float] = field(default_factory=dict)
     table: DataFrame | None = None
     drift: float = 1.0
     decay: float = 1.0  # lambda of the extreme-value law
@@ -109,11 +185,11 @@ class Model:
     level: float = 0.01  # expected chance segments per text below which a passage is significant
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def passages(self, text: str, gains: dict[bytes, float] | None = None) -> tuple[int, list[tuple[float, int, int]]]:
+    def passages(self, text: str, gains: Mapping[bytes, float] | None = None) -> tuple[int, list[tuple[float, int, int]]]:
         """The number of tokens and the segments; unknown tokens cost the drift, as if their log-odds were zero."""
         words = tokens(text)
-        get, cost = (self.gains if gains is None else gains).get, -self.drift
-        net = np.fromiter((get(w, cost) for w in words), float, len(words))
+        known, cost = self.gains if gains is None else gains, -self.drift
+        net = known.net(words, cost) if isinstance(known, Gains) else np.fromiter((known.get(w, cost) for w in words), float, len(words))
         up = np.flatnonzero(net > 0)
         if not len(up):
             return len(words), []
@@ -157,8 +233,12 @@ def extreme_values(gains: np.ndarray, clean: np.ndarray, total: int, drift: floa
     return low, float(min(1.0, max(1e-4, (p * np.exp(low * s))[s > 0].sum())))
 
 
-#: Scored tokens that every task holds at most; of more, those of a document are joined to it.
-BROADCAST_TOKENS = 200_000
+#: Scored tokens that every task holds at most, packed to some 60 MB; of more, those of a document are joined to it.
+BROADCAST_TOKENS = 2_000_000
+#: Of these, so many at most stand in a dictionary, which is larger and faster.
+IN_DICTIONARY = 200_000
+#: Tokens of texts that a task hands on at once.
+HANDED = 50_000
 
 
 #: The curve is fitted on evidence in steps of so much (of its logarithm).
@@ -182,8 +262,8 @@ def counted(counts: DataFrame, drift: float, shrink: float, most: int) -> Model:
     model = Model(drift=max(drift, 2 * float(gains @ times) / max(total, 1)))
     net = scores.select("token", (F.col("gain") - model.drift).alias("net"))
     if law["n"].sum() <= most:
-        rows = net.toPandas()  # at most ``most``
-        model.gains = dict(zip(map(bytes, rows["token"]), rows["net"].tolist(), strict=True))
+        packed = Gains.of(net)  # at most ``most``
+        model.gains = packed if len(packed) > IN_DICTIONARY else dict(packed)
     else:
         model.table = net
     model.decay, model.scale = extreme_values(gains, times, total, model.drift)
@@ -226,13 +306,20 @@ def with_gains(docs: DataFrame, model: Model) -> tuple[DataFrame, Model]:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pairs = [(key, w) for key, text in zip(pdf["_key"], pdf["text"], strict=True) for w in set(tokens(text))]
-            if pairs:
-                yield pd.DataFrame(pairs, columns=["_key", "token"])
-
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+            keys, words = [], []
+            for key, text in zip(pdf["_key"], pdf["text"], strict=True):
+                own = set(tokens(text))
+                keys += [key] * len(own)
+                words += own
+                if len(words) >= HANDED:
+                    yield pd.DataFrame({"_key": keys, "token": words})
+                    keys, words = [], []
+            if words:
+                yield pd.DataFrame({"_key": keys, "token": words})
+
+    keyed = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     texts = keyed.select("_key", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["_key"])
-    met = texts.mapInPandas(split, "_key string, token binary").join(model.table, "token")
+    met = texts.mapInPandas(split, "_key binary, token binary").join(model.table, "token")
     one = met.groupBy("_key").agg(F.collect_list(F.struct("token", "net")).alias("_met"))  # a text's own tokens
     one = common.written(one.select("_key", F.col("_met.token").alias("_words"), F.col("_met.net").alias("_nets")), "text-tokens")
     return keyed.join(one, "_key", "left").drop("_key").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("_words", "array<binary>"), ("_nets", "array<double>"))}), alone

@@ -640,6 +640,43 @@ def test_every_word_scores(spark):
     assert a == b
 
 
+def test_packed_gains(spark):
+    """Packed tokens are found as in a dictionary, those of equal hashes too, and a task hands tokens on in small parts."""
+    import pickle
+
+    rows = [(f"w{i}".encode(), i / 7 - 20) for i in range(300)]
+    packed = toxicity.Gains.of(spark.createDataFrame(rows, "token binary, net double").repartition(3))
+    assert dict(packed) == dict(rows) and len(packed) == 300 and b"x" not in packed
+    words = [b"w3", b"x", b"w299", b"w3"]
+    assert pickle.loads(pickle.dumps(packed)).net(words, -9.0).tolist() == [dict(rows).get(w, -9.0) for w in words]
+    same = toxicity.Gains(np.full(2, 5, np.uint64), np.array([1.0, 2.0]), np.array([1, 2], np.int32), np.frombuffer(b"abc", np.uint8))
+    assert list(same) == [b"a", b"bc"]
+    assert toxicity.Gains.of(spark.createDataFrame([], "token binary, net double")).net(words, -9.0).tolist() == [-9.0] * 4
+
+
+def test_texts_meet_tokens_in_small_parts(spark, monkeypatch):
+    """What a task makes of a batch of long texts is handed on in parts of bounded size."""
+    frames, plain = [], toxicity.pd.DataFrame
+    monkeypatch.setattr(toxicity, "HANDED", 100)
+    split = {}
+
+    class Texts:
+        def mapInPandas(self, f, schema):  # noqa: N802
+            split["f"] = f
+            raise StopIteration
+
+    class Docs:
+        columns = ["text"]
+        withColumn = select = lambda self, *a: self
+        dropDuplicates = lambda self, keys: Texts()  # noqa: E731, N815
+
+    with pytest.raises(StopIteration):
+        toxicity.with_gains(Docs(), toxicity.Model(table=spark.range(0)))
+    batch = plain({"_key": [b"k"] * 50, "text": [" ".join(f"t{i}x{j}" for j in range(40)) for i in range(50)]})
+    frames = list(split["f"](iter([batch])))
+    assert sum(map(len, frames)) == 2000 and max(map(len, frames)) <= 140
+
+
 def test_segments_against_brute_force():
     """All maximal scoring segments, by their definition: split at the best segment, then left and right of it."""
     rng = random.Random(7)
