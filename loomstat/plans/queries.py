@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_p
-from ..operators import design, meta, nulls, report, scans, tails
+from ..operators import design, meta, nulls, refits, report, scans, tails
 from ..sources import binary, genotypes, results
 from . import trade
 from .stages import shared_dir, written
@@ -40,8 +40,9 @@ TABULAR = ["mean_quantity", "mean_discount", "mean_tax", "n_orders", "had_pendin
 
 
 def people(spark: SparkSession, sf_dir: str, strata: bool = False) -> DataFrame:
+    """Subjects, written: plans read them several times."""
     s = trade.subjects(spark, sf_dir)
-    return s.withColumn("strata", F.col("segment") if strata else F.lit("ALL"))
+    return written(s.withColumn("strata", F.col("segment") if strata else F.lit("ALL")), "people")
 
 
 # ---- filters, strata, rows
@@ -267,7 +268,8 @@ def bonferroni(spark, sf_dir):
 def logistic(spark, sf_dir, covariates) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = people(spark, sf_dir).withColumn("acct", F.col("acctbal") / 1000)
     null, _ = nulls.logistic_null(s.select("strata", "IID", "big", "acct"), "big", covariates)
-    d = trade.dosages(spark, sf_dir, s)
+    null = written(null, "null")
+    d = written(trade.dosages(spark, sf_dir, s), "dosages")  # read by the scan and by its tail
     return scans.logistic_scan(d, null, len(covariates) + 1, ["IID"], ["predictor"]), null, d
 
 
@@ -286,25 +288,18 @@ def tail_of(scan: DataFrame, spark, sf_dir) -> DataFrame:
 def spa_logistic(spark, sf_dir):
     """Score P-values of the tail, and from the saddlepoint; where that has none the score's stays."""
     scan, null, d = logistic(spark, sf_dir, ["acct"])
-
-    def f(rows: pd.DataFrame, people_: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
-        p, Q = people_["_p"].to_numpy(), people_[["_wq0", "_wq1"]].to_numpy() / people_[["_w"]].to_numpy()
-        return tails.spa_or_score(rows, tails.logistic_ps(G, p, Q, G @ (people_["_y"].to_numpy() - p))).assign(P_score=rows["P"])
-
-    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "P_score double, P double, test string")
-    return out.select("predictor", "P_score", "P", "test")
+    rows = written(tail_of(scan, spark, sf_dir).select("strata", "predictor", "P"), "tail")
+    met, p, w = refits.cells(rows, d, null), F.col("_p"), F.col("_w")
+    spa = refits.saddlepoint(met, F.col("g") * (F.col("_y") - p), w, [F.col("_wq0") / w, F.col("_wq1") / w], refits.bernoulli(p))
+    return refits.spa_or_score(rows, spa).select("predictor", "P_score", "P", "test")
 
 
 @query()
 def firth_hits(spark, sf_dir):
     scan, null, d = logistic(spark, sf_dir, ["acct"])
-
-    def f(rows: pd.DataFrame, people_: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
-        Q = people_[["_wq0", "_wq1"]].to_numpy() / people_[["_w"]].to_numpy()
-        fits = [tails.firth(np.column_stack([g, Q]), people_["_y"].to_numpy()) for g in G]
-        return pd.DataFrame({"beta": [b[0] for b, _ in fits], "SE": [se[0] for _, se in fits], "test": "firth"})
-
-    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "beta double, SE double, test string")
+    rows = written(tail_of(scan, spark, sf_dir).select("strata", "predictor", "P"), "tail")
+    w = F.col("_w")
+    out = refits.firth(refits.cells(rows, d, null), "_y", [F.col("_wq0") / w, F.col("_wq1") / w]).withColumn("test", F.lit("firth"))
     return out.select("predictor", "beta", "SE", "test", normal_p(F.col("beta") / F.col("SE")).alias("P"))
 
 
@@ -431,7 +426,7 @@ def cox_tail(spark, sf_dir):
     null, b = nulls.cox_null(survival(spark, sf_dir), "days", "event", ["acct"])
     null = written(null, "null")
     lin = scans.linear_null(null.select("strata", "IID", F.col("_m").alias("m"), "acct"), "m", ["acct"])
-    d = trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir))
+    d = written(trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir)), "dosages")
     return scans.linear_scan(d, lin, 1, ["IID"], ["predictor"]), null.select("strata", "IID", "_m", "days", "event", "acct"), d
 
 
@@ -453,13 +448,9 @@ def spacox(spark, sf_dir):
 @query()
 def cox_refit(spark, sf_dir):
     scan, null, d = cox_tail(spark, sf_dir)
-
-    def f(rows: pd.DataFrame, people_: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
-        t, e, a = (people_[c].to_numpy(float) for c in ("days", "event", "acct"))
-        fits = [tails.cox_tiers(np.column_stack([g, a]), t, e) or (None, None, None) for g in G]
-        return pd.DataFrame(fits, columns=["beta", "SE", "model_type"]).assign(test=["full" if x[2] else "score" for x in fits])
-
-    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "beta double, SE double, model_type string, test string")
+    rows = written(tail_of(scan, spark, sf_dir).select("strata", "predictor", "P"), "tail")
+    out = refits.cox(refits.cells(rows, d, null), "days", "event", ["acct"])
+    out = out.withColumn("test", F.when(F.col("model_type").isNull(), "score").otherwise("full"))
     return out.select("predictor", "beta", "SE", "model_type", "test", normal_p(F.col("beta") / F.col("SE")).alias("P"))
 
 

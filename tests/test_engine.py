@@ -417,3 +417,56 @@ def test_mixed_queries_use_all_rounds_and_say_if_unconverged(spark, monkeypatch,
     out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert asked == [{}]
     assert out.select("converged").distinct().collect() == [(False,)]
+
+
+def tail_cells_table(spark, n=400):
+    """Two predictors of two strata, one of them with missing values, against an outcome, a time with ties and a covariate."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for s in ("a", "b"):
+        x, g = rng.normal(size=n), rng.integers(0, 3, (2, n)).astype(float)
+        y = (rng.random(n) < 1 / (1 + np.exp(1 - g[0] - x / 2))).astype(float)
+        t = np.ceil(rng.exponential(20 / (1 + g[0])))
+        rows += [(s, f"{s}{i}", f"v{k}", None if k and i % 9 == 0 else float(g[k, i]), float(x[i]), float(y[i]), float(t[i])) for k in range(2) for i in range(n)]
+    df = spark.createDataFrame(rows, "strata string, IID string, predictor string, value double, x double, y double, t double")
+    return df.select("strata", "predictor").distinct(), df.select("IID", "predictor", "value"), df.select("strata", "IID", "x", "y", "t").distinct()
+
+
+def test_refits_by_sums_are_those_in_memory(spark):
+    """Firth, saddlepoint and Cox by distributed sums against the fits that see all subjects."""
+    from pyspark.sql import functions as F
+
+    from loomstat.operators import refits
+
+    rows, values, people = tail_cells_table(spark)
+    met = refits.cells(rows, values, people)
+    plain = {k: g for k, g in met.toPandas().groupby(["strata", "predictor"])}
+    assert len(plain) == 4 and all(g["g"].notna().all() for g in plain.values())
+    got = {(r["strata"], r["predictor"]): r for r in refits.firth(met, "y", [F.lit(1.0), F.col("x")]).collect()}
+    cox = {(r["strata"], r["predictor"]): r for r in refits.cox(met, "t", "y", ["x"]).collect()}
+    p = 0.2 + 0.3 * F.col("y") + 0.1 * (F.col("x") > 0).cast("double")
+    score = F.col("g") * (F.col("y") - p)
+    spa = {(r["strata"], r["predictor"]): r["spa"] for r in refits.saddlepoint(met, score / 8, p * (1 - p), [F.lit(1.0), F.col("x")], refits.bernoulli(p)).collect()}
+    for k, g in plain.items():
+        X = np.column_stack([g["g"], np.ones(len(g)), g["x"]])
+        b, se = tails.firth(X, g["y"].to_numpy())
+        assert np.allclose([got[k]["beta"], got[k]["SE"]], [b[0], se[0]], rtol=1e-6)
+        beta, se, model = tails.cox_tiers(X[:, [0, 2]], g["t"].to_numpy(), g["y"].to_numpy())
+        assert cox[k]["model_type"] == model and np.allclose([cox[k]["beta"], cox[k]["SE"]], [beta, se], rtol=1e-6)
+        q = (0.2 + 0.3 * g["y"] + 0.1 * (g["x"] > 0)).to_numpy()
+        s = float(g["g"] @ (g["y"] - q)) / 8
+        want = tails.logistic_ps(X[:, 0][None], q, X[:, 1:], np.array([s]))[0]
+        assert np.allclose(spa[k], want, rtol=1e-6, equal_nan=True)
+
+
+def test_cox_refit_of_what_has_no_fit(spark):
+    """A constant predictor, and a stratum without events, have no fit in any tier."""
+    from loomstat.operators import refits
+
+    rows = [("a", "const", 1.0, float(i % 7), float(i + 1), float(i % 2)) for i in range(40)] + [("b", "calm", float(i % 3), float(i % 5), float(i + 1), 0.0) for i in range(40)]
+    met = spark.createDataFrame(rows, "strata string, predictor string, g double, x double, t double, y double")
+    got = {r["predictor"]: r for r in refits.cox(met, "t", "y", ["x"]).collect()}
+    assert got["const"]["model_type"] is None and set(got) == {"const", "calm"}
+    g = met.where("predictor = 'calm'").toPandas()
+    want = tails.cox_tiers(g[["g", "x"]].to_numpy(), g["t"].to_numpy(), g["y"].to_numpy())
+    assert got["calm"]["model_type"] == (want and want[2])
