@@ -20,6 +20,8 @@ COLLINEAR, LEAST_INFORMATION = 1e-6, 1e-12
 #: A null model's table goes to every task up to this many numbers; a larger one is cut into blocks of samples, which
 #: meet groups of about GROUP variants.
 SENT, BLOCK, GROUP = 8_000_000, 4096, 1024
+#: Dosages that a task works on at once.
+AT_ONCE = 1_000_000
 
 
 def total(columns: list[Column]) -> Column:
@@ -65,14 +67,25 @@ def long_sums(values: DataFrame, subjects: DataFrame, on: list[str], keys: list[
     )
 
 
-def block_products(dosages: np.ndarray, subjects: pd.DataFrame, xs: list[str], weights: list[str]) -> Iterator[tuple[str, np.ndarray]]:
-    """For each stratum of ``subjects`` (strata, at: a column of ``dosages``, xs, weights) a row of sums for each variant."""
-    for stratum, rows in subjects.groupby("strata"):
-        g = dosages[:, rows["at"].to_numpy()].astype(float)
-        seen = (g != MISSING_DOSAGE) & ~np.isnan(g)
-        g = np.where(seen, g, 0.0)
-        x, w = rows[xs].to_numpy(float), rows[weights].to_numpy(float)
-        yield stratum, np.column_stack([seen.sum(1), g.sum(1), (g * g).sum(1), g @ x, (g * g) @ w, seen @ np.column_stack([x, w])])
+Columns = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def by_stratum(subjects: pd.DataFrame, xs: list[str], weights: list[str]) -> Columns:
+    """For each stratum of ``subjects`` (strata, at, xs, weights) the columns of dosages it has, xs and weights, as arrays."""
+    return {s: (rows["at"].to_numpy(), rows[xs].to_numpy(float), rows[weights].to_numpy(float)) for s, rows in subjects.groupby("strata")}
+
+
+def block_products(dosages: np.ndarray, columns: Columns) -> Iterator[tuple[str, np.ndarray]]:
+    """For each stratum a row of sums for each variant, over AT_ONCE dosages at a time."""
+    step = max(1, AT_ONCE // max(len(dosages), 1))
+    for stratum, (at, xs, ws) in columns.items():
+        out = 0.0
+        for k in range(0, len(at), step):
+            g, x, w = dosages[:, at[k : k + step]].astype(float), xs[k : k + step], ws[k : k + step]
+            seen = (g != MISSING_DOSAGE) & ~np.isnan(g)
+            g = np.where(seen, g, 0.0)
+            out = out + np.column_stack([seen.sum(1), g.sum(1), (g * g).sum(1), g @ x, (g * g) @ w, seen @ np.column_stack([x, w])])
+        yield stratum, out
 
 
 def packed_sums(values: Packed, subjects: DataFrame, xs: list[str], weights: list[str]) -> DataFrame:
@@ -87,18 +100,19 @@ def packed_sums(values: Packed, subjects: DataFrame, xs: list[str], weights: lis
     placed = subjects.select("strata", "IID", *dict.fromkeys([*xs, *weights])).join(values.samples, "IID").drop("IID")
     rows = values.rows.select("variant_idx", "dosage")
 
-    def of(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    def of(pdf: pd.DataFrame, table: Columns) -> pd.DataFrame:
         g = np.stack(pdf["dosage"])
-        parts = [pd.DataFrame(p, columns=sums).assign(strata=s, variant_idx=pdf["variant_idx"].to_numpy()) for s, p in block_products(g, table, xs, weights)]
+        parts = [pd.DataFrame(p, columns=sums).assign(strata=s, variant_idx=pdf["variant_idx"].to_numpy()) for s, p in block_products(g, table)]
         return pd.concat(parts)[["strata", "variant_idx", *sums]] if parts else pd.DataFrame(columns=["strata", "variant_idx", *sums])
 
     if subjects.count() * len(placed.columns) <= SENT:
-        sent = rows.sparkSession.sparkContext.broadcast(placed.withColumnRenamed("sample_idx", "at").toPandas())
+        sent = rows.sparkSession.sparkContext.broadcast(by_stratum(placed.withColumnRenamed("sample_idx", "at").toPandas(), xs, list(weights)))
 
         def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for i in range(0, len(pdf), 64):
-                    yield of(pdf.iloc[i : i + 64], sent.value)
+                step = min(64, max(1, AT_ONCE // max(len(pdf["dosage"].iloc[0]), 1))) if len(pdf) else 1
+                for i in range(0, len(pdf), step):
+                    yield of(pdf.iloc[i : i + step], sent.value)
 
         out = rows.mapInPandas(whole, schema)
     else:
@@ -109,7 +123,7 @@ def packed_sums(values: Packed, subjects: DataFrame, xs: list[str], weights: lis
         tables = tables.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
         def part(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-            return of(pdf, table) if len(pdf) and len(table) else pd.DataFrame(columns=["strata", "variant_idx", *sums])
+            return of(pdf, by_stratum(table, xs, weights)) if len(pdf) and len(table) else pd.DataFrame(columns=["strata", "variant_idx", *sums])
 
         met = slices.groupBy("block", "group").cogroup(tables.groupBy("block", "group")).applyInPandas(part, schema)
         out = met.groupBy("strata", "variant_idx").agg(*(F.sum(c).alias(c) for c in sums))

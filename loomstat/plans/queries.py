@@ -40,9 +40,8 @@ TABULAR = ["mean_quantity", "mean_discount", "mean_tax", "n_orders", "had_pendin
 
 
 def people(spark: SparkSession, sf_dir: str, strata: bool = False) -> DataFrame:
-    """Subjects, written: plans read them several times."""
     s = trade.subjects(spark, sf_dir)
-    return written(s.withColumn("strata", F.col("segment") if strata else F.lit("ALL")), "people")
+    return s.withColumn("strata", F.col("segment") if strata else F.lit("ALL"))
 
 
 # ---- filters, strata, rows
@@ -266,7 +265,7 @@ def bonferroni(spark, sf_dir):
 
 
 def logistic(spark, sf_dir, covariates) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s = people(spark, sf_dir).withColumn("acct", F.col("acctbal") / 1000)
+    s = written(people(spark, sf_dir), "people").withColumn("acct", F.col("acctbal") / 1000)  # a round of the fit reads it
     null, _ = nulls.logistic_null(s.select("strata", "IID", "big", "acct"), "big", covariates)
     null = written(null, "null")
     d = written(trade.dosages(spark, sf_dir, s), "dosages")  # read by the scan and by its tail
@@ -590,7 +589,7 @@ def association_results(spark, sf_dir):
 
 def packed(spark, sf_dir) -> tuple[DataFrame, genotypes.Packed, DataFrame]:
     """(subjects, packed dosages, variants with their predictor)."""
-    s = people(spark, sf_dir)
+    s = written(people(spark, sf_dir), "people")
     samples = genotypes.numbered(written(s.select("IID").withColumn("_at", F.monotonically_increasing_id()), "samples"), "sample_idx")
     d = trade.dosages(spark, sf_dir, s)
     variants = d.select("predictor").distinct().withColumn("variant_idx", F.xxhash64("predictor"))

@@ -470,3 +470,28 @@ def test_cox_refit_of_what_has_no_fit(spark):
     g = met.where("predictor = 'calm'").toPandas()
     want = tails.cox_tiers(g[["g", "x"]].to_numpy(), g["t"].to_numpy(), g["y"].to_numpy())
     assert got["calm"]["model_type"] == (want and want[2])
+
+
+def test_packed_products_in_pieces(spark, monkeypatch):
+    """Sums over packed dosages are the same in pieces, and a task's arrays stay small however many subjects there are."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    n = 5000
+    dosages = rng.integers(0, 3, (6, n)).astype(np.float32)
+    dosages[rng.random(dosages.shape) < 0.05] = genotypes.MISSING_DOSAGE
+    table = pd.DataFrame({"strata": np.where(np.arange(n) % 3, "a", "b"), "at": np.arange(n), "x": rng.normal(size=n), "w": rng.random(n)})
+    columns = scans.by_stratum(table, ["x"], ["w"])
+    whole = dict(scans.block_products(dosages, columns))
+    monkeypatch.setattr(scans, "AT_ONCE", 600)
+    largest = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            out = np.asarray(self)[at]
+            largest.append(out.size)
+            return out
+
+    parts = dict(scans.block_products(dosages.view(Watched), columns))
+    assert set(parts) == {"a", "b"} and all(np.allclose(parts[s], whole[s]) for s in parts)
+    assert max(largest) <= 600
