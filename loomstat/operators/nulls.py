@@ -240,7 +240,7 @@ class Products:
 
     def inverse(self, D: np.ndarray, s2: float) -> np.ndarray:
         """K with V^-1 = (I - Z K Z') / s2 for every subject: K = (s2 D^-1 + Z'Z)^-1 = D (s2 I + Z'Z D)^-1, also for a singular D."""
-        return D @ np.linalg.inv(s2 * np.eye(2) + self.zz @ D)
+        return D @ two_by_two_inverse(s2 * np.eye(2) + self.zz @ D)[0]
 
     def weighted(self, left: np.ndarray, middle: np.ndarray, right: np.ndarray, K: np.ndarray, s2: float) -> np.ndarray:
         """A' V^-1 B from A'Z, A'B and Z'B."""
@@ -251,6 +251,16 @@ class Products:
 _ENTRIES = np.array([[[1.0, 0.0], [0.0, 0.0]], [[0.0, 1.0], [1.0, 0.0]], [[0.0, 0.0], [0.0, 1.0]]])
 
 
+def two_by_two_inverse(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses and determinants of many 2 x 2 matrices, without a call for each."""
+    det = a[:, 0, 0] * a[:, 1, 1] - a[:, 0, 1] * a[:, 1, 0]
+    if not det.all():
+        raise np.linalg.LinAlgError("Singular matrix")
+    out = np.empty_like(a)
+    out[:, 0, 0], out[:, 0, 1], out[:, 1, 0], out[:, 1, 1] = a[:, 1, 1], -a[:, 0, 1], -a[:, 1, 0], a[:, 0, 0]
+    return out / det[:, None, None], det
+
+
 def mixed_sums(q: Products, D: np.ndarray, s2: float, p: int) -> np.ndarray:
     """All that a round needs of a batch of subjects, summed: products under V^-1 and V^-2, and their traces."""
     K = q.inverse(D, s2)
@@ -259,12 +269,14 @@ def mixed_sums(q: Products, D: np.ndarray, s2: float, p: int) -> np.ndarray:
     trace = lambda k: np.einsum("nij,nji->n", k, q.zz)
     P, u, M = q.weighted(q.zz, q.zz, q.zz, K, s2), q.weighted(q.zz, zy, zy, K, s2)[..., 0], q.weighted(q.zz, q.zx, q.zx, K, s2)
     yy = q.yy[:, None, None]
-    determinant = q.n * np.log(s2) + np.log(np.linalg.det(np.eye(2) + q.zz @ D / s2))
+    determinant = q.n * np.log(s2) + np.log(two_by_two_inverse(np.eye(2) + q.zz @ D / s2)[1])
+    flat = lambda x: x.reshape(len(x), -1)
+    summed_outer = lambda a, b: (flat(a).T @ flat(b))[None]  # noqa: E731  # no product by subject is kept
     parts = [
         q.weighted(xz, q.xx, q.zx, K, s2), q.weighted(xz, xy, zy, K, s2), q.weighted(zy.transpose(0, 2, 1), yy, zy, K, s2), determinant,
-        u[:, :, None] * u[:, None, :], u[:, :, None, None] * M[:, None], np.einsum("nij,nkl->nijkl", M, M),
+        summed_outer(u, u), summed_outer(u, M), summed_outer(M, M),
         q.weighted(zy.transpose(0, 2, 1), yy, zy, K2, s2 * s2), q.weighted(xz, xy, zy, K2, s2 * s2), q.weighted(xz, q.xx, q.zx, K2, s2 * s2),
-        (q.n - trace(K)) / s2, (q.n - trace(K2)) / s2**2, P, np.einsum("nij,nkl->nijkl", P, P), q.weighted(q.zz, q.zz, q.zz, K2, s2 * s2),
+        (q.n - trace(K)) / s2, (q.n - trace(K2)) / s2**2, P, summed_outer(P, P), q.weighted(q.zz, q.zz, q.zz, K2, s2 * s2),
     ]
     return np.concatenate([x.sum(0).ravel() for x in parts])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_p, normal_p, t_p
 from ..sources.config import ALPHA, GENOMEWIDE
-from ..sources.genotypes import MISSING_DOSAGE, Packed
+from ..sources.genotypes import MISSING_DOSAGE, BySubject, Packed
 
 #: A predictor this close to the covariates (share of its variation left) can't be told from them.
 COLLINEAR, LEAST_INFORMATION = 1e-6, 1e-12
@@ -28,18 +28,23 @@ def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
 
 
-def imputed_sums(values: DataFrame | Packed, subjects: DataFrame, on: list[str], by: list[str], xs: list[str], weights: list[str] = ()) -> DataFrame:
+def imputed_sums(values: DataFrame | Packed | BySubject, subjects: DataFrame, on: list[str], by: list[str], xs: list[str], weights: list[str] = ()) -> DataFrame:
     """Sums over all subjects with missing predictor values at the predictor's mean, without making such rows.
 
     ``values`` has ``by``, ``on`` and value (null: missing); ``subjects`` has strata, ``on`` and per-subject columns.
     For x in ``xs``: S_x = sum of g * x; for w in ``weights``: W_w = sum of w * g * g; also n_obs, mu, N, SS = sum of
     (g - mu)^2 over observed values. Observed sums are partial on the map side; the rest needs totals by stratum.
-    Packed values stay packed: no dosage becomes a row.
+    Packed values, and those by subject, stay so: no dosage becomes a row.
     """
     every = [*xs, *weights]
     keys = list(dict.fromkeys(["strata", *by]))
     totals = subjects.groupBy("strata").agg(F.count(F.lit(1)).alias("N"), *(F.sum(x).alias(f"_all_{x}") for x in every))
-    seen = packed_sums(values, subjects, xs, list(weights)) if isinstance(values, Packed) else long_sums(values, subjects, on, keys, xs, list(weights))
+    if isinstance(values, Packed):
+        seen = packed_sums(values, subjects, xs, list(weights))
+    elif isinstance(values, BySubject):
+        seen = subject_sums(values, subjects, xs, list(weights))
+    else:
+        seen = long_sums(values, subjects, on, keys, xs, list(weights))
     out = seen.where("n_obs > 0").join(F.broadcast(totals), "strata")  # one row a stratum
     rest = lambda x: F.col(f"_all_{x}") - F.col(f"_o_{x}")
     return out.select(
@@ -88,6 +93,40 @@ def block_products(dosages: np.ndarray, columns: Columns) -> Iterator[tuple[str,
         yield stratum, out
 
 
+def sum_names(xs: list[str], weights: list[str]) -> list[str]:
+    """What ``block_products`` sums, in its order."""
+    return ["_n", "_g", "_gg", *(f"_g_{x}" for x in xs), *(f"_gg_{w}" for w in weights), *(f"_o_{x}" for x in [*xs, *weights])]
+
+
+def with_facts(sums: DataFrame) -> DataFrame:
+    """n_obs, mu, SS and predictor_sd from the sums of values and of their squares."""
+    n = F.col("_n")
+    spread = F.greatest(F.col("_gg") - F.col("_g") * F.col("_g") / n, F.lit(0.0))
+    facts = {"n_obs": n.cast("long"), "mu": F.col("_g") / n, "SS": spread, "predictor_sd": F.sqrt(F.try_divide(spread, n - 1))}
+    return sums.where("_n > 0").withColumns(facts).drop("_n", "_g", "_gg")
+
+
+def subject_sums(values: BySubject, subjects: DataFrame, xs: list[str], weights: list[str]) -> DataFrame:
+    """The same sums as ``long_sums`` from one row of values a subject: subjects are met before any value becomes a row, and
+    a task adds up its matrix products, so that one row a task, stratum and predictor is shuffled."""
+    sums = sum_names(xs, weights)
+    schema = "strata string, at int" + "".join(f", {c} double" for c in sums)
+    columns = list(dict.fromkeys([*xs, *weights]))
+    met = values.rows.select("IID", "values").join(subjects.select("strata", "IID", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns)), "IID").drop("IID")
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            if len(pdf):
+                for s, p in block_products(np.stack(pdf["values"]).T, by_stratum(pdf.assign(at=np.arange(len(pdf))), xs, weights)):
+                    total[s] = total[s] + p if s in total else p
+        for s, p in total.items():
+            yield pd.DataFrame(p, columns=sums).assign(strata=s, at=np.arange(len(p)))[["strata", "at", *sums]]
+
+    out = met.mapInPandas(part, schema).groupBy("strata", "at").agg(*(F.sum(c).alias(c) for c in sums))
+    return with_facts(out).join(F.broadcast(values.predictors), "at").drop("at")  # few predictors
+
+
 def packed_sums(values: Packed, subjects: DataFrame, xs: list[str], weights: list[str]) -> DataFrame:
     """The same sums as ``long_sums`` by matrix products over packed rows.
 
@@ -95,7 +134,7 @@ def packed_sums(values: Packed, subjects: DataFrame, xs: list[str], weights: lis
     cut into blocks of BLOCK samples; dosages are cut alike and shuffled once, as arrays, to groups of about GROUP
     variants by block, whose sums are added up. So neither a task nor the driver holds what grows with the subjects.
     """
-    sums = ["_n", "_g", "_gg", *(f"_g_{x}" for x in xs), *(f"_gg_{w}" for w in weights), *(f"_o_{x}" for x in [*xs, *weights])]
+    sums = sum_names(xs, weights)
     schema = "strata string, variant_idx long" + "".join(f", {c} double" for c in sums)
     placed = subjects.select("strata", "IID", *dict.fromkeys([*xs, *weights])).join(values.samples, "IID").drop("IID")
     rows = values.rows.select("variant_idx", "dosage")
@@ -127,10 +166,7 @@ def packed_sums(values: Packed, subjects: DataFrame, xs: list[str], weights: lis
 
         met = slices.groupBy("block", "group").cogroup(tables.groupBy("block", "group")).applyInPandas(part, schema)
         out = met.groupBy("strata", "variant_idx").agg(*(F.sum(c).alias(c) for c in sums))
-    n = F.col("_n")
-    spread = F.greatest(F.col("_gg") - F.col("_g") * F.col("_g") / n, F.lit(0.0))
-    facts = {"n_obs": n.cast("long"), "mu": F.col("_g") / n, "SS": spread, "predictor_sd": F.sqrt(F.try_divide(spread, n - 1))}
-    return out.where("_n > 0").withColumns(facts).drop("_n", "_g", "_gg")
+    return with_facts(out)
 
 
 def gram(design: DataFrame, columns: list[str], weight: Column | None = None) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
@@ -174,7 +210,7 @@ def linear_null(design: DataFrame, y: str, covariates: list[str]) -> DataFrame:
     return met.withColumn("_y", centred[k] - total([F.col("_b")[j] * F.col(f"_q{j + 1}") for j in range(k)])).drop("_m", "_t", "_b")
 
 
-def linear_scan(values: DataFrame | Packed, null: DataFrame, covariates: int, on: list[str], by: list[str]) -> DataFrame:
+def linear_scan(values: DataFrame | Packed | BySubject, null: DataFrame, covariates: int, on: list[str], by: list[str]) -> DataFrame:
     """beta, SE, t, dof and P of a linear model for every predictor and stratum; null where it can't be told apart."""
     qs = [f"_q{j + 1}" for j in range(covariates)]
     sums = imputed_sums(values, null.select("strata", *[c for c in on if c != "strata"], "_y", *qs), on, by, ["_y", *qs])
@@ -200,7 +236,7 @@ def linear_statistics(sums: DataFrame, covariates: int) -> DataFrame:
     )
 
 
-def logistic_scan(values: DataFrame | Packed, null: DataFrame, columns: int, on: list[str], by: list[str]) -> DataFrame:
+def logistic_scan(values: DataFrame | Packed | BySubject, null: DataFrame, columns: int, on: list[str], by: list[str]) -> DataFrame:
     """Score test: beta = U / V, SE = V^-1/2, P of U * U / V. ``null`` has _r, _w and _wq0 ... (weights times weighted-
     orthonormal design columns, the constant one included)."""
     qs = [f"_wq{j}" for j in range(columns)]
@@ -211,7 +247,7 @@ def logistic_scan(values: DataFrame | Packed, null: DataFrame, columns: int, on:
     return out.withColumn("P", chi2_p(F.col("chi2"), F.lit(1.0))).drop("W__w", "S__r", *(f"S_{q}" for q in qs))
 
 
-def gallop_scan(values: DataFrame | Packed, null: DataFrame, a_inverse: dict[str, np.ndarray], on: list[str], by: list[str]) -> DataFrame:
+def gallop_scan(values: DataFrame | Packed | BySubject, null: DataFrame, a_inverse: dict[str, np.ndarray], on: list[str], by: list[str]) -> DataFrame:
     """Main effect and effect on the slope of every predictor in the mixed model.
 
     Per subject ``null`` has P (_p11, _p12, _p22), q (_q1, _q2) and M (_m1_j, _m2_j); ``a_inverse`` is the inverse

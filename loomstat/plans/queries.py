@@ -329,32 +329,36 @@ def slope_scan(spark, sf_dir):
 
 
 def mixed(spark, sf_dir):
-    v = trade.visits(spark, sf_dir).join(trade.subjects(spark, sf_dir).select("IID", (F.col("acctbal") / 1000).alias("acct")), "IID").withColumn("strata", F.lit("ALL"))
+    """Subjects, their visits, the visits' products and the fits."""
+    s = written(trade.subjects(spark, sf_dir).select("IID", "id", (F.col("acctbal") / 1000).alias("acct")), "people")
+    v = trade.visits(spark, sf_dir).select("IID", "id", "years", "price").join(s.select("id", "acct"), "id").withColumn("strata", F.lit("ALL"))  # visits are dealt by id
     products = nulls.subject_products(v, "price", "years", ["acct"], ["strata", "IID"])
     products = written(products, "products")
-    return v, products, nulls.fit_mixed(products, 3)
+    return s, v, products, nulls.fit_mixed(products, 3)
 
 
 @query()
 def lmm_components(spark, sf_dir):
-    _, _, fits = mixed(spark, sf_dir)
+    *_, fits = mixed(spark, sf_dir)
     rows = [(s, *map(float, f.alpha), float(f.D[0, 0]), float(f.D[0, 1]), float(f.D[1, 1]), float(f.sigma2), f.rounds, f.converged) for s, f in fits.items()]
     return spark.createDataFrame(rows, "strata string, a0 double, a1 double, a2 double, d00 double, d01 double, d11 double, sigma2 double, rounds int, converged boolean")
 
 
 @query()
 def gallop_scan(spark, sf_dir):
-    _, products, fits = mixed(spark, sf_dir)
-    null = nulls.gallop_null(products, fits, 3)
-    out = scans.gallop_scan(trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir)), null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["predictor"])
+    s, _, products, fits = mixed(spark, sf_dir)
+    null = written(nulls.gallop_null(products, fits, 3), "null")
+    out = scans.gallop_scan(trade.cells(spark, sf_dir, s), null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["predictor"])
     return out.withColumn("converged", F.lit(fits["ALL"].converged))  # one stratum
 
 
 def dispersion(v: DataFrame, residual: F.Column, t: str) -> DataFrame:
-    """Per subject the excess of squared residuals over their log-linear trend in time, and its visits."""
-    e = v.withColumn("_l", F.log(residual * residual + 1e-8)).withColumn("_e2", residual * residual)
-    line = e.groupBy("strata").agg(F.regr_slope("_l", t).alias("_s"), F.regr_intercept("_l", t).alias("_i"))
-    ratio = e.join(F.broadcast(line), "strata").withColumn("_ratio", F.col("_e2") / F.exp(F.col("_i") + F.col("_s") * F.col(t)))  # one row a stratum
+    """Per subject the excess of squared residuals over their log-linear trend in time, and its visits.
+
+    Residuals are written: the trend, the mean and the sums read them one after the other."""
+    e = written(v.select("strata", "IID", F.col(t).alias("_t"), (residual * residual).alias("_e2")), "residuals").withColumn("_l", F.log(F.col("_e2") + 1e-8))
+    line = e.groupBy("strata").agg(F.regr_slope("_l", "_t").alias("_s"), F.regr_intercept("_l", "_t").alias("_i"))
+    ratio = e.join(F.broadcast(line), "strata").withColumn("_ratio", F.col("_e2") / F.exp(F.col("_i") + F.col("_s") * F.col("_t")))  # one row a stratum
     mean = ratio.groupBy("strata").agg(F.avg("_ratio").alias("_mean"))
     return ratio.join(F.broadcast(mean), "strata").groupBy("strata", "IID").agg(F.sum(F.col("_ratio") / F.col("_mean") - 1).alias("excess"), F.count(F.lit(1)).alias("n"))
 
@@ -373,14 +377,16 @@ def trajgwas_scan(spark, sf_dir):
     """Mean axis from the mixed model, variance axis from a scan of scaled excess dispersion, and both together."""
     from ..functions.special import chi2_p
 
-    v, products, fits = mixed(spark, sf_dir)
-    null = nulls.gallop_null(products, fits, 3)
-    d = trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir))
+    s, v, products, fits = mixed(spark, sf_dir)
+    null = written(nulls.gallop_null(products, fits, 3), "null")
+    d = trade.cells(spark, sf_dir, s)
+    d = genotypes.BySubject(written(d.rows, "cells"), d.predictors)  # read by both scans
     mean = scans.gallop_scan(d, null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["predictor"])
     a = fits["ALL"].alpha
     fit = F.lit(float(a[0])) + F.lit(float(a[1])) * F.col("acct") + (F.lit(float(a[2])) + F.col("_b1")) * F.col("years") + F.col("_b0")
-    excess = dispersion(v.join(null.select("IID", "_b0", "_b1"), "IID"), F.col("price") - fit, "years")
-    scaled = excess.withColumn("tau", F.col("excess") / F.sqrt(2.0 * F.col("n"))).join(v.select("IID", "acct").distinct(), "IID")
+    effects = null.select("IID", "_b0", "_b1").join(s.select("IID", "id").distinct(), "IID").drop("IID")
+    excess = dispersion(v.join(effects, "id"), F.col("price") - fit, "years")
+    scaled = written(excess.withColumn("tau", F.col("excess") / F.sqrt(2.0 * F.col("n"))).join(s.select("IID", "acct").distinct(), "IID"), "scaled")
     tau = scans.linear_scan(d, scans.linear_null(scaled.select("strata", "IID", "tau", "acct"), "tau", ["acct"]), 1, ["IID"], ["predictor"])
     tau = tau.select("strata", "predictor", F.col("beta").alias("tau_var"), F.col("SE").alias("SE_var"), F.col("t").alias("_t"), normal_p(F.col("t")).alias("P_var"))
     out = mean.join(tau, ["strata", "predictor"]).withColumn("_z", F.col("beta_SNP") / F.col("SE_SNP"))

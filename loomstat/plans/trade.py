@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.genotypes import BySubject
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,19 +41,29 @@ subj AS (
   FROM customer JOIN orders ON c_custkey = o_custkey LEFT JOIN lines ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4)"""
 
 
-def dosages(spark: SparkSession, sf_dir: str, people: DataFrame) -> DataFrame:
-    """(IID, predictor, value): lines of a brand that a customer bought, at most 2; one cell in 37 is missing."""
+def cells(spark: SparkSession, sf_dir: str, people: DataFrame) -> BySubject:
+    """Lines of a brand that a customer bought, at most 2; one cell in 37 is missing.
+
+    Bought lines are dealt by customer once, counted there and kept as one array a customer; no cell is a row.
+    """
     part = table(spark, sf_dir, "part")
-    brands = part.select("p_brand").distinct().withColumn("v", F.row_number().over(Window.orderBy("p_brand")) - 1)  # few brands
+    names = [r["p_brand"] for r in part.select("p_brand").distinct().orderBy("p_brand").collect()]  # few brands
+    known = F.array(*map(F.lit, names)).cast("array<string>")
+    parts = part.select("p_partkey", (F.array_position(known, F.col("p_brand")) - 1).alias("at"))
     bought = (
         table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-        .join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("o_custkey").alias("id"), "p_brand").count()
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id")), F.col("l_orderkey") == F.col("o_orderkey"))
+        .select("id", "at").repartition("id").groupBy("id").agg(F.count(F.lit(1)), *(F.count_if(F.col("at") == v).alias(f"_{v}") for v in range(len(names))))
     )
-    every = people.select("IID", "id").crossJoin(F.broadcast(brands))  # one row a brand
-    value = F.when((F.col("id") * 31 + F.col("v")) % 37 != 0, F.least(F.lit(2.0), F.coalesce("count", F.lit(0)).cast("double")))
-    return every.join(bought, ["id", "p_brand"], "left").select("IID", F.col("p_brand").alias("predictor"), value.alias("value"))
+    value = lambda v: F.when((F.col("id") * 31 + v) % 37 != 0, F.least(F.lit(2.0), F.coalesce(f"_{v}", F.lit(0)).cast("double")))
+    rows = people.select("IID", "id").join(bought, "id", "left").select("IID", F.array(*map(value, range(len(names)))).cast("array<double>").alias("values"))
+    return BySubject(rows, spark.range(len(names)).select(F.col("id").cast("int").alias("at"), F.get(known, F.col("id").cast("int")).alias("predictor")))
+
+
+def dosages(spark: SparkSession, sf_dir: str, people: DataFrame) -> DataFrame:
+    """(IID, predictor, value) of ``cells``."""
+    return cells(spark, sf_dir, people).long()
 
 
 DOSAGES = """
@@ -64,12 +76,12 @@ cells AS (
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IID, visit order, years since the first order, price (thousands): one row an order."""
+    """IID, its number, visit order, years since the first order, price (thousands): one row an order."""
     o = table(spark, sf_dir, "orders")
     first = Window.partitionBy("o_custkey")
     years = (F.unix_timestamp("o_orderdate") - F.unix_timestamp(F.min("o_orderdate").over(first))) / F.lit(86400 * 365.25)
     return o.select(
-        F.col("o_custkey").cast("string").alias("IID"), F.col("o_orderkey").alias("_row"), years.alias("years"), (F.col("o_totalprice") / 1000).alias("price"), F.col("o_orderpriority").alias("priority")
+        F.col("o_custkey").cast("string").alias("IID"), F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("_row"), years.alias("years"), (F.col("o_totalprice") / 1000).alias("price"), F.col("o_orderpriority").alias("priority")
     )
 
 

@@ -24,6 +24,19 @@ class Packed:
         return unpacked(self.rows.join(variants.select("variant_idx").distinct(), "variant_idx", "left_semi"), self.samples).withColumnRenamed("dosage", "value")
 
 
+@dataclass
+class BySubject:
+    """Dosages with one row a subject (IID, values: an array in predictor order, null: missing) and the predictor list (at, predictor)."""
+
+    rows: DataFrame
+    predictors: DataFrame
+
+    def long(self) -> DataFrame:
+        """(IID, predictor, value): one row a cell."""
+        cells = self.rows.select("IID", F.posexplode("values").alias("at", "value"))
+        return cells.join(F.broadcast(self.predictors), "at").select("IID", "predictor", "value")  # few predictors
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, by the file system of its scheme."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomstat.functions import expressions, special
 from loomstat.operators import design, meta, nulls, report, scans, tails
 from loomstat.operators.running import ranged, running
-from loomstat.plans import queries, runner
+from loomstat.plans import queries, runner, trade
 from loomstat.sources import clinical, config, genotypes, results
 
 
@@ -495,3 +495,38 @@ def test_packed_products_in_pieces(spark, monkeypatch):
     parts = dict(scans.block_products(dosages.view(Watched), columns))
     assert set(parts) == {"a", "b"} and all(np.allclose(parts[s], whole[s]) for s in parts)
     assert max(largest) <= 600
+
+
+def test_values_by_subject_give_the_sums_of_rows(spark):
+    """Scans over one array a subject: the statistics of one row a cell, with missing values and a subject in two strata."""
+    rng = np.random.default_rng(11)
+    n, names = 120, ["a", "b", "c"]
+    cells = [[None if rng.random() < 0.1 or (v == 2 and i % 2) else float(rng.integers(0, 3)) for v in range(3)] for i in range(n)]
+    values = genotypes.BySubject(
+        spark.createDataFrame([(f"s{i}", c) for i, c in enumerate(cells)], "IID string, values array<double>").repartition(5), spark.createDataFrame(list(enumerate(names)), "at int, predictor string")
+    )
+    assert sorted((r["IID"], r["predictor"], r["value"]) for r in values.long().where("value is not null").collect()) == sorted((f"s{i}", names[v], x) for i, c in enumerate(cells) for v, x in enumerate(c) if x is not None)
+    rows = [(s, f"s{i}", float(rng.normal()), float(rng.normal()), float(rng.random()) if i else None) for s in ("x", "y") for i in range(n) if s == "x" or i % 3]
+    people = spark.createDataFrame(rows, "strata string, IID string, u double, v double, w double")
+    want, got = ({(r["strata"], r["predictor"]): r.asDict() for r in scans.imputed_sums(d, people, ["IID"], ["predictor"], ["u", "v"], ["w"]).collect()} for d in (values.long(), values))
+    assert set(want) == set(got) and len(got) == 6
+    for k, r in want.items():
+        assert set(got[k]) == set(r) and all(got[k][c] == pytest.approx(x, rel=1e-9, abs=1e-9) if isinstance(x, float) else got[k][c] == x for c, x in r.items()), k
+
+
+def test_bought_lines_by_customer(spark):
+    """Cells of the trade tables, counted by hand: at most 2 a brand, one in 37 missing, none for customers without lines of it."""
+    sf = "/root/testdata/sf0.001"
+    read = lambda name: trade.table(spark, sf, name).toPandas()
+    lines = read("lineitem").merge(read("orders"), left_on="l_orderkey", right_on="o_orderkey").merge(read("part"), left_on="l_partkey", right_on="p_partkey")
+    bought = lines.groupby(["o_custkey", "p_brand"]).size().to_dict()
+    brands, ids = sorted(read("part")["p_brand"].unique()), sorted(read("orders")["o_custkey"].unique())
+    want = {(str(i), b): None if (i * 31 + v) % 37 == 0 else min(2.0, float(bought.get((i, b), 0))) for i in ids for v, b in enumerate(brands)}
+    got = trade.dosages(spark, sf, trade.subjects(spark, sf)).collect()
+    assert len(got) == len(want) and {(r["IID"], r["predictor"]): r["value"] for r in got} == want
+
+
+def test_trajgwas_reads_the_tables_once(spark):
+    """What both axes share is written: the result reads neither lines nor orders again."""
+    files = queries.QUERIES["trajgwas_scan"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any(t in f for f in files for t in ("lineitem", "orders", "customer"))
