@@ -186,13 +186,18 @@ lin AS (SELECT *, gy2 / g2 AS beta, sqrt((y2 - gy2 * gy2 / g2) / ("N" - 3) / g2)
 OUT = """SELECT strata, predictor, "N", n_obs, round(beta, 4) AS beta, round("SE", 4) AS "SE", round(beta / "SE", 6) AS t FROM lin"""
 
 
+def written_cells(d: genotypes.BySubject) -> genotypes.BySubject:
+    return genotypes.BySubject(written(d.rows, "cells"), d.predictors)
+
+
 def linear(spark, sf_dir, strata=False, covariates=("acctbal",), extra=None) -> DataFrame:
-    s = people(spark, sf_dir, strata)
-    d = trade.dosages(spark, sf_dir, s)
+    s = written(people(spark, sf_dir, strata).select("strata", "IID", "id", "y", "acctbal"), "people")
+    d = trade.cells(spark, sf_dir, s)
     frame = s.select("strata", "IID", "y", "acctbal")
     if extra:
-        one = genotypes.mean_imputed(d.where(F.col("predictor") == extra).withColumnRenamed("value", "dosage"), ("predictor",))
-        frame = frame.join(one.select("IID", F.col("dosage").alias("_snp")), "IID")
+        d = written_cells(d)  # read by the covariate and by the scan
+        one = genotypes.mean_imputed(d.of(extra).withColumnRenamed("value", "dosage"), ("predictor",))
+        frame = written(frame.join(one.select("IID", F.col("dosage").alias("_snp")), "IID"), "frame")
         covariates = (*covariates, "_snp")
     null = scans.linear_null(frame, "y", list(covariates))
     return scans.linear_scan(d, null, len(covariates), ["IID"], ["predictor"])
@@ -268,8 +273,8 @@ def logistic(spark, sf_dir, covariates) -> tuple[DataFrame, DataFrame, DataFrame
     s = written(people(spark, sf_dir), "people").withColumn("acct", F.col("acctbal") / 1000)  # a round of the fit reads it
     null, _ = nulls.logistic_null(s.select("strata", "IID", "big", "acct"), "big", covariates)
     null = written(null, "null")
-    d = written(trade.dosages(spark, sf_dir, s), "dosages")  # read by the scan and by its tail
-    return scans.logistic_scan(d, null, len(covariates) + 1, ["IID"], ["predictor"]), null, d
+    d = written_cells(trade.cells(spark, sf_dir, s))  # read by the scan and by its tail
+    return scans.logistic_scan(d, null, len(covariates) + 1, ["IID"], ["predictor"]), null, d.long()
 
 
 @query(f"""WITH {S}, {D}, i AS (SELECT predictor, IID, coalesce(value, avg(value) OVER (PARTITION BY predictor)) AS g FROM cells), n AS (SELECT avg(big) AS p FROM subj),
@@ -323,8 +328,8 @@ def slope_scan(spark, sf_dir):
     """Two stages: each subject's slope, then a linear scan of the slopes."""
     s = trade.subjects(spark, sf_dir)
     slopes = design.subject_slopes(trade.visits(spark, sf_dir), "IID", "price", "years").where("sxx > 0.01").withColumn("strata", F.lit("ALL"))
-    null = scans.linear_null(slopes.select("strata", "IID", "slope"), "slope", [])
-    out = scans.linear_scan(trade.dosages(spark, sf_dir, s), null, 0, ["IID"], ["predictor"])
+    null = scans.linear_null(written(slopes.select("strata", "IID", "slope"), "slopes"), "slope", [])
+    out = scans.linear_scan(trade.cells(spark, sf_dir, s), null, 0, ["IID"], ["predictor"])
     return out.select("predictor", "N", F.round("beta", 4).alias("beta"), F.round("SE", 4).alias("SE"))
 
 
@@ -379,8 +384,7 @@ def trajgwas_scan(spark, sf_dir):
 
     s, v, products, fits = mixed(spark, sf_dir)
     null = written(nulls.gallop_null(products, fits, 3), "null")
-    d = trade.cells(spark, sf_dir, s)
-    d = genotypes.BySubject(written(d.rows, "cells"), d.predictors)  # read by both scans
+    d = written_cells(trade.cells(spark, sf_dir, s))  # read by both scans
     mean = scans.gallop_scan(d, null, {s: f.a_inverse for s, f in fits.items()}, ["IID"], ["predictor"])
     a = fits["ALL"].alpha
     fit = F.lit(float(a[0])) + F.lit(float(a[1])) * F.col("acct") + (F.lit(float(a[2])) + F.col("_b1")) * F.col("years") + F.col("_b0")
@@ -422,8 +426,8 @@ SELECT predictor, "N", round(gy / gg, 6) AS beta, round(sqrt((yy - gy * gy / gg)
 @query(COX)
 def cox_scan(spark, sf_dir):
     null, _ = nulls.cox_null(survival(spark, sf_dir), "days", "event", [])
-    lin = scans.linear_null(null.select("strata", "IID", "_m").withColumnRenamed("_m", "m"), "m", [])
-    out = scans.linear_scan(trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir)), lin, 0, ["IID"], ["predictor"])
+    lin = scans.linear_null(written(null.select("strata", "IID", F.col("_m").alias("m")), "null"), "m", [])
+    out = scans.linear_scan(trade.cells(spark, sf_dir, trade.subjects(spark, sf_dir)), lin, 0, ["IID"], ["predictor"])
     return rounded(out.select("predictor", "N", "beta", "SE"))
 
 
@@ -431,8 +435,8 @@ def cox_tail(spark, sf_dir):
     null, b = nulls.cox_null(survival(spark, sf_dir), "days", "event", ["acct"])
     null = written(null, "null")
     lin = scans.linear_null(null.select("strata", "IID", F.col("_m").alias("m"), "acct"), "m", ["acct"])
-    d = written(trade.dosages(spark, sf_dir, trade.subjects(spark, sf_dir)), "dosages")
-    return scans.linear_scan(d, lin, 1, ["IID"], ["predictor"]), null.select("strata", "IID", "_m", "days", "event", "acct"), d
+    d = written_cells(trade.cells(spark, sf_dir, trade.subjects(spark, sf_dir)))
+    return scans.linear_scan(d, lin, 1, ["IID"], ["predictor"]), null.select("strata", "IID", "_m", "days", "event", "acct"), d.long()
 
 
 @query()

@@ -36,6 +36,11 @@ class BySubject:
         cells = self.rows.select("IID", F.posexplode("values").alias("at", "value"))
         return cells.join(F.broadcast(self.predictors), "at").select("IID", "predictor", "value")  # few predictors
 
+    def of(self, predictor: str) -> DataFrame:
+        """The cells of one predictor."""
+        one = self.rows.crossJoin(F.broadcast(self.predictors.where(F.col("predictor") == predictor)))  # one row
+        return one.select("IID", "predictor", F.get("values", F.col("at")).alias("value"))
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, by the file system of its scheme."""

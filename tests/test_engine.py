@@ -530,3 +530,12 @@ def test_trajgwas_reads_the_tables_once(spark):
     """What both axes share is written: the result reads neither lines nor orders again."""
     files = queries.QUERIES["trajgwas_scan"](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any(t in f for f in files for t in ("lineitem", "orders", "customer"))
+
+
+def test_linear_conditional_reads_the_tables_once(spark):
+    """The covariate and the scan share written cells; one predictor's cells are those among all."""
+    files = queries.QUERIES["linear_conditional"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any(t in f for f in files for t in ("lineitem", "orders", "customer"))
+    d = trade.cells(spark, "/root/testdata/sf0.001", trade.subjects(spark, "/root/testdata/sf0.001"))
+    one, all_ = (sorted(map(tuple, x.collect()), key=str) for x in (d.of("Brand#12"), d.long().where("predictor = 'Brand#12'")))
+    assert one == all_ and len(one) > 50
