@@ -77,11 +77,11 @@ cells AS (
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IID, its number, visit order, years since the first order, price (thousands): one row an order."""
-    o = table(spark, sf_dir, "orders")
-    first = Window.partitionBy("o_custkey")
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "id")
+    first = Window.partitionBy("id")  # joins on id then find visits dealt by it
     years = (F.unix_timestamp("o_orderdate") - F.unix_timestamp(F.min("o_orderdate").over(first))) / F.lit(86400 * 365.25)
     return o.select(
-        F.col("o_custkey").cast("string").alias("IID"), F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("_row"), years.alias("years"), (F.col("o_totalprice") / 1000).alias("price"), F.col("o_orderpriority").alias("priority")
+        F.col("id").cast("string").alias("IID"), "id", F.col("o_orderkey").alias("_row"), years.alias("years"), (F.col("o_totalprice") / 1000).alias("price"), F.col("o_orderpriority").alias("priority")
     )
 
 
