@@ -74,8 +74,8 @@ def spa_logistic(g: np.ndarray, p: np.ndarray, Q: np.ndarray, score: float) -> f
     return float(logistic_ps(g[None], p, Q, np.array([score]))[0])
 
 
-#: How far the grid of an empirical generating function reaches, and its points.
-REACH, POINTS = 30.0, 4001
+#: How far the grid of an empirical generating function reaches, its points, and residuals met at once.
+REACH, POINTS, RESIDUALS = 30.0, 4001, 256
 
 
 class Empirical:
@@ -95,8 +95,8 @@ class Empirical:
         def part(s: str, rows: pd.DataFrame) -> np.ndarray:
             out = np.zeros((3, POINTS))
             every = rows[residual].dropna().to_numpy(float) - centre[s]
-            for i in range(0, len(every), 1024):
-                m = every[i : i + 1024]
+            for i in range(0, len(every), RESIDUALS):
+                m = every[i : i + RESIDUALS]
                 e = np.exp(np.outer(grid, m) - top[s][:, None])
                 out += e.sum(1), e @ m, e @ (m * m)
             return out.ravel()
@@ -107,6 +107,12 @@ class Empirical:
             laws[s] = (centre[s], cls(np.log(zero / facts[s]["n"]) + top[s], one / zero, two / zero - (one / zero) ** 2))
         return laws
 
+    def sums(self, G: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """What the subjects of ``G`` (residualised) add to K, K' and K'' of each row's score at its ``t``."""
+        x = t[:, None] * G
+        k0, k1, k2 = (np.interp(x, self.grid, table) for table in (self.k0, self.k1, self.k2))
+        return np.stack([k0.sum(1), (G * k1).sum(1), (G * G * k2).sum(1)])
+
     def ps(self, G: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Saddlepoint P of scores, one for each row of ``G`` (residualised)."""
         at = lambda table, t, rows: np.interp(t[:, None] * G[rows], self.grid, table)

@@ -5,8 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -432,33 +430,27 @@ def cox_scan(spark, sf_dir):
 
 
 def cox_tail(spark, sf_dir):
+    """The scan of martingale residuals, their null models (Cox, linear) and the cells."""
     null, b = nulls.cox_null(survival(spark, sf_dir), "days", "event", ["acct"])
     null = written(null, "null")
     lin = scans.linear_null(null.select("strata", "IID", F.col("_m").alias("m"), "acct"), "m", ["acct"])
     d = written_cells(trade.cells(spark, sf_dir, trade.subjects(spark, sf_dir)))
-    return scans.linear_scan(d, lin, 1, ["IID"], ["predictor"]), null.select("strata", "IID", "_m", "days", "event", "acct"), d.long()
+    return scans.linear_scan(d, lin, 1, ["IID"], ["predictor"]), null.select("strata", "IID", "_m", "days", "event", "acct"), lin, d
 
 
 @query()
 def spacox(spark, sf_dir):
-    scan, null, d = cox_tail(spark, sf_dir)
-    laws = tails.Empirical.of(null, "_m")
-
-    def f(rows: pd.DataFrame, people_: pd.DataFrame, G: np.ndarray) -> pd.DataFrame:
-        (mean, law), m = laws[rows["strata"].iloc[0]], people_["_m"].to_numpy()
-        Q = np.linalg.qr(np.column_stack([np.ones(len(m)), people_["acct"]]))[0]
-        R = G - (G @ Q) @ Q.T
-        return tails.spa_or_score(rows, law.ps(R, R @ (m - mean))).assign(P_score=rows["P"])
-
-    out = tails.refined(tail_of(scan, spark, sf_dir), d, null, f, "P_score double, P double, test string")
-    return out.select("predictor", "P_score", "P", "test")
+    scan, null, lin, d = cox_tail(spark, sf_dir)
+    rows = written(tail_of(scan, spark, sf_dir).select("strata", "predictor", "P"), "tail")
+    spa = refits.empirical(rows, d, lin, 1, tails.Empirical.of(null, "_m"))
+    return refits.spa_or_score(rows, spa).select("predictor", "P_score", "P", "test")
 
 
 @query()
 def cox_refit(spark, sf_dir):
-    scan, null, d = cox_tail(spark, sf_dir)
+    scan, null, _, d = cox_tail(spark, sf_dir)
     rows = written(tail_of(scan, spark, sf_dir).select("strata", "predictor", "P"), "tail")
-    out = refits.cox(refits.cells(rows, d, null), "days", "event", ["acct"])
+    out = refits.cox(refits.cells(rows, d.long(), null), "days", "event", ["acct"])
     out = out.withColumn("test", F.when(F.col("model_type").isNull(), "score").otherwise("full"))
     return out.select("predictor", "beta", "SE", "model_type", "test", normal_p(F.col("beta") / F.col("SE")).alias("P"))
 

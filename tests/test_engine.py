@@ -539,3 +539,43 @@ def test_linear_conditional_reads_the_tables_once(spark):
     d = trade.cells(spark, "/root/testdata/sf0.001", trade.subjects(spark, "/root/testdata/sf0.001"))
     one, all_ = (sorted(map(tuple, x.collect()), key=str) for x in (d.of("Brand#12"), d.long().where("predictor = 'Brand#12'")))
     assert one == all_ and len(one) > 50
+
+
+def test_empirical_tails_by_subject_are_those_in_memory(spark, monkeypatch):
+    """The saddlepoint under the residuals' law by sums over one array a subject, against the rows that see all subjects:
+    missing values, subjects of one stratum only, one without values, a predictor that is not in the tail."""
+    from loomstat.operators import refits
+
+    rng = np.random.default_rng(5)
+    n, names = 300, ["a", "b", "c", "d"]
+    x, G = rng.normal(size=n), rng.binomial(2, 0.3, (4, n)).astype(float)
+    G[rng.random(G.shape) < 0.05] = np.nan
+    G[:, 7] = np.nan  # no row
+    m = rng.exponential(size=n) ** 1.5 + 0.3 * np.nan_to_num(G[0]) - 0.2 * np.nan_to_num(G[3]) + 0.1 * x
+    rows = [(f"s{i}", [None if np.isnan(g) else float(g) for g in G[:, i]]) for i in range(n) if i != 7]
+    values = genotypes.BySubject(spark.createDataFrame(rows, "IID string, values array<double>").repartition(3), spark.createDataFrame(list(enumerate(names)), "at int, predictor string"))
+    strata = {"x": np.arange(n), "y": np.arange(0, n, 2) + 1}
+    people = spark.createDataFrame([(s, f"s{i}", float(m[i]), float(x[i])) for s, who in strata.items() for i in who], "strata string, IID string, m double, x double")
+    tail = spark.createDataFrame([(s, v, 0.01) for s in strata for v in "adc" if (s, v) != ("y", "c")], "strata string, predictor string, P double")
+    laws = tails.Empirical.of(people, "m")
+    null = scans.linear_null(people, "m", ["x"])
+    monkeypatch.setattr(refits, "AT_ONCE", 90)
+    found = refits.empirical(tail, values, null, 1, laws)
+    assert found.dtypes == [("strata", "string"), ("predictor", "string"), ("spa", "double")]
+    got = {(r["strata"], r["predictor"]): r["spa"] for r in found.collect()}
+    assert set(got) == {("x", "a"), ("x", "d"), ("x", "c"), ("y", "a"), ("y", "d")}
+    for (s, v), p in got.items():
+        who, g = strata[s], G[names.index(v)]
+        g = np.where(np.isnan(g[who]), np.nanmean(g[who]), g[who])
+        Q = np.linalg.qr(np.column_stack([np.ones(len(who)), x[who]]))[0]
+        R, (mean, law) = g - Q @ (Q.T @ g), laws[s]
+        want = law.p(R, float(R @ (m[who] - mean)))
+        assert 0 < want < 1 and p == pytest.approx(want, rel=1e-7), (s, v)
+    far = refits.empirical(tail.where("predictor = 'a'"), values, null.withColumn("_y", F.col("_y") * 1000), 1, laws)
+    assert all(np.isnan(r["spa"]) for r in far.collect())  # no saddlepoint inside the bracket
+    assert refits.empirical(tail.where("P > 1"), values, null, 1, laws).count() == 0
+
+
+def test_spacox_has_no_group_of_all_subjects(spark):
+    plan = queries.QUERIES["spacox"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Generate" not in plan
